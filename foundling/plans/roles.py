@@ -84,6 +84,9 @@ def runs(spark, d) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("failed at "), F.col("props"))).alias("error_message"),
         F.when(kind == "signup", F.lit("lost 3")).alias("warning"),
         (F.col("value") * 1000).cast("bigint").alias("duration_ms"),
+        F.floor(found / 2).cast("int").alias("added"),
+        (found - F.floor(found / 2)).cast("int").alias("updated"),
+        (F.col("event_id") % 3).cast("int").alias("removed"),
     )
 
 
@@ -115,7 +118,10 @@ RUNS = """runs AS (
          ELSE CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value) AS INTEGER) END END AS db_count,
     CASE WHEN event_type = 'error' THEN 'failed at ' || props END AS error_message,
     CASE WHEN event_type = 'signup' THEN 'lost 3' END AS warning,
-    CAST(trunc(value * 1000) AS BIGINT) AS duration_ms
+    CAST(trunc(value * 1000) AS BIGINT) AS duration_ms,
+    CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value) AS INTEGER) END // 2 AS added,
+    CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value) AS INTEGER) - CAST(floor(value) AS INTEGER) // 2 END AS updated,
+    event_id % 3 AS removed
   FROM events)"""
 SERVE = f"WITH {LISTING}, {FACILITY}, {REGION}"
 DETAIL = f"""{SERVE}, detail AS (
