@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import alternation, col, collapse_spaces, strip_tags
+from .text import alternation, col, collapse_spaces, let, strip_tags
 
 MARK = "\x01"
 TOKEN = r"<[^>]+>|[^<]+"
@@ -81,15 +81,12 @@ def plain(html: str | Column) -> Column:
 def containers(html: str | Column, tag: str = "div", classes: Sequence[str] = ()) -> Column:
     """Outer text of each ``tag`` with one of ``classes`` (all when empty),
     with proper nesting: an element ends at its own closing tag."""
-    pieces = split_before(html, rf"(?i)</?{tag}[\s>]")
     opens = lambda p: p.rlike(rf"(?i)^<{tag}[\s>]")
     if classes:
         names = alternation(classes)
         wanted = lambda p: opens(p) & p.rlike(rf"(?i)^<[^>]*\sclass\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:{names})[\s\"'>]")
     else:
         wanted = opens
-    indexed = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("i"), wanted(p).alias("hit")))
-    starts = F.filter(indexed, lambda x: x["hit"])
     empty = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
 
     def step(acc, p):
@@ -99,9 +96,14 @@ def containers(html: str | Column, tag: str = "div", classes: Sequence[str] = ()
         moved = F.struct(depth.alias("depth"), (depth <= 0).alias("done"), text.alias("text"))
         return F.when(acc["done"], acc).otherwise(moved)
 
-    return F.transform(
-        starts, lambda s: F.aggregate(F.slice(pieces, s["i"], F.size(pieces)), empty, step)["text"]
-    )
+    def found(pieces: Column) -> Column:
+        indexed = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("i"), wanted(p).alias("hit")))
+        starts = F.filter(indexed, lambda x: x["hit"])
+        return F.transform(
+            starts, lambda s: F.aggregate(F.slice(pieces, s["i"], F.size(pieces)), empty, step)["text"]
+        )
+
+    return let(split_before(html, rf"(?i)</?{tag}[\s>]"), found)
 
 
 def pairs(html: str | Column, key_tag: str = "th", value_tag: str = "td") -> Column:
@@ -115,16 +117,17 @@ def pairs(html: str | Column, key_tag: str = "th", value_tag: str = "td") -> Col
 
 def stacked_pairs(html: str | Column) -> Column:
     """Key row above value row: cell *i* of an odd row labels cell *i* of the next."""
-    rows = elements(html, "tr")
-    cells = F.transform(rows, lambda r: F.transform(elements(r, "td|th"), plain))
-    paired = F.transform(
-        F.filter(F.transform(cells, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: x["i"] % 2 == 0),
-        lambda x: F.zip_with(
-            x["r"], F.coalesce(F.get(cells, x["i"] + 1), F.array().cast("array<string>")),
-            lambda k, v: F.struct(k.alias("key"), v.alias("value")),
-        ),
-    )
-    return F.flatten(paired)
+    none = F.array().cast("array<string>")
+
+    def paired(cells: Column) -> Column:
+        below = F.concat(F.slice(cells, 2, F.size(cells)), F.array(none))
+        both = F.zip_with(cells, below, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        odd = F.filter(F.transform(both, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: x["i"] % 2 == 0)
+        return F.flatten(F.transform(
+            odd, lambda o: F.zip_with(o["x"]["k"], o["x"]["v"], lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        ))
+
+    return let(grid(html), paired)
 
 
 def label_pairs(text: str | Column, separators: str = "：:／") -> Column:
@@ -152,10 +155,13 @@ def grid(html: str | Column) -> Column:
 
 def transpose(rows: str | Column) -> Column:
     """Columns of a grid as records; short rows give nulls."""
-    rows = col(rows)
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    columns = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(columns, lambda i: F.transform(rows, lambda r: F.get(r, i)))
+
+    def turned(rows: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+        columns = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(columns, lambda i: F.transform(rows, lambda r: F.get(r, i)))
+
+    return let(col(rows), turned)
 
 
 def sections(html: str | Column, heading_tags: str = "h1|h2|h3|h4|h5|h6") -> Column:

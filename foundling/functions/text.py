@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -15,6 +15,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.  A lambda of a higher-order
+    function evaluates an outer expression again for every element; bound as a
+    lambda variable it is a plain reference."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def alternation(words: Sequence[str]) -> str:
     """A regular expression that matches any of ``words`` literally."""
     return "|".join(re.escape(w).replace("\\ ", " ") for w in words)
@@ -109,7 +116,8 @@ def digits_misread_as_letters(c: str | Column) -> Column:
 def keyword_context(c: str | Column, keyword: str, width: int, stop: str = "。") -> Column:
     """Up to ``width`` characters around ``keyword`` within one sentence."""
     w = f"[^{stop}]{{0,{width}}}"
-    return F.nullif(F.trim(F.regexp_extract(col(c), f"{w}{re.escape(keyword)}{w}", 0)), F.lit(""))
+    found = F.nullif(F.trim(F.regexp_extract(col(c), f"{w}{re.escape(keyword)}{w}", 0)), F.lit(""))
+    return F.when(col(c).contains(keyword), found)  # the search is cheap, the pattern is not
 
 
 def all_contexts(
@@ -165,7 +173,7 @@ def flag_phrase(c: str | Column, flags: Sequence[tuple[str, str]], sep: str = "
 
 def lines(c: str | Column) -> Column:
     """Trimmed non-empty lines."""
-    split = F.transform(F.split(col(c), r"\r?\n"), F.trim)
+    split = F.transform(F.split(col(c), r"\r?\n"), lambda x: F.trim(x))
     return F.filter(split, lambda x: x != "")
 
 

@@ -1,0 +1,211 @@
+"""Loading queries: dedupe, naming, overlay, upsert, soft delete."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import load as L, quality as Q
+from . import roles as R
+from .registry import query
+
+c = F.col
+NOW = "2001-12-31 00:00:00"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+# lineitem rows as snapshot rows, in a total order
+ORDER = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_quantity, l_returnflag, l_linestatus"
+ORDER_COLUMNS = ORDER.split(", ")
+FIELDS = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def items(s, d):
+    """Snapshot rows with a null external id planted in some."""
+    return R.table(s, d, "lineitem").select(
+        c("l_orderkey").alias("facility_id"),
+        F.when(c("l_quantity") == 1, None).otherwise(c("l_linenumber").cast("string")).alias("external_id"),
+        *ORDER_COLUMNS,
+    )
+
+
+ITEMS = "item AS (SELECT *, l_orderkey AS facility_id, CASE WHEN l_quantity <> 1 THEN CAST(l_linenumber AS VARCHAR) END AS external_id FROM lineitem)"
+DEDUPED = f"""WITH {ITEMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY facility_id, external_id ORDER BY
+  {', '.join(x + ' DESC' for x in ORDER_COLUMNS)}) AS rn FROM item WHERE external_id IS NOT NULL)"""
+
+
+@query("batch_last_wins", f"""{DEDUPED}
+SELECT facility_id, external_id, l_partkey, l_quantity, l_extendedprice FROM ranked WHERE rn = 1
+UNION ALL SELECT facility_id, external_id, l_partkey, l_quantity, l_extendedprice FROM item WHERE external_id IS NULL""")
+def batch_last_wins(s, d):
+    return L.last_wins(items(s, d), ORDER_COLUMNS).select(
+        "facility_id", "external_id", "l_partkey", "l_quantity", "l_extendedprice"
+    )
+
+
+def halves(s, d):
+    """Two snapshots: older and newer shipments, one row per key each."""
+    it = items(s, d)
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    return L.last_wins(it.filter(c("l_shipdate") < cut), ORDER_COLUMNS), L.last_wins(it.filter(c("l_shipdate") >= cut), ORDER_COLUMNS)
+
+
+def target_of(rows):
+    """Snapshot rows as a loaded table."""
+    return rows.select(
+        "facility_id", "external_id", c("l_returnflag").alias("animal_type"), c("l_partkey").alias("name"),
+        c("l_extendedprice").alias("price"),
+        F.when(c("l_linestatus") == "O", "available").otherwise("adopted").alias("status"),
+        c("l_shipdate").cast("timestamp").alias("created_at"), c("l_shipdate").cast("timestamp").alias("updated_at"),
+    )
+
+
+def source_of(rows):
+    return target_of(rows).drop("created_at", "updated_at")
+
+
+SIDES = f"""WITH {ITEMS}, base AS (SELECT facility_id, external_id, {ORDER}, l_shipdate < TIMESTAMP '1998-01-01' AS old,
+    row_number() OVER (PARTITION BY facility_id, external_id, l_shipdate < TIMESTAMP '1998-01-01' ORDER BY
+    {', '.join(x + ' DESC' for x in ORDER_COLUMNS)}) AS rn FROM item),
+one AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'available' ELSE 'adopted' END AS status FROM base WHERE rn = 1 OR external_id IS NULL),
+t AS (SELECT * FROM one WHERE old), s AS (SELECT * FROM one WHERE NOT old)"""
+
+
+@query("upsert_merge", f"""{SIDES}
+SELECT coalesce(t.facility_id, s.facility_id) AS facility_id, coalesce(t.external_id, s.external_id) AS external_id,
+  CASE WHEN t.facility_id IS NOT NULL THEN t.l_returnflag ELSE s.l_returnflag END AS animal_type,
+  CASE WHEN s.facility_id IS NOT NULL THEN s.l_partkey ELSE t.l_partkey END AS name,
+  CASE WHEN s.facility_id IS NOT NULL THEN s.l_extendedprice ELSE t.l_extendedprice END AS price,
+  CASE WHEN s.facility_id IS NOT NULL THEN s.status ELSE t.status END AS status,
+  strftime(CASE WHEN t.facility_id IS NOT NULL THEN t.l_shipdate ELSE TIMESTAMP '{NOW}' END, '%Y-%m-%d') AS created_at,
+  strftime(CASE WHEN s.facility_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE t.l_shipdate END, '%Y-%m-%d') AS updated_at
+FROM t FULL OUTER JOIN s ON t.facility_id = s.facility_id AND t.external_id = s.external_id""")
+def upsert_merge(s, d):
+    old, new = halves(s, d)
+    out = L.upsert(target_of(old), source_of(new), now())
+    return out.withColumns({x: F.date_format(x, "yyyy-MM-dd") for x in ("created_at", "updated_at")})
+
+
+@query("upsert_classify", f"""{SIDES}
+SELECT s.facility_id, s.external_id, s.l_partkey AS name, t.facility_id IS NULL AS is_new FROM s
+LEFT JOIN t ON t.facility_id = s.facility_id AND t.external_id = s.external_id""")
+def upsert_classify(s, d):
+    old, new = halves(s, d)
+    return L.classify_upsert(source_of(new), target_of(old)).select("facility_id", "external_id", "name", "is_new")
+
+
+@query("mark_removed", f"""{SIDES}
+SELECT t.facility_id, t.external_id, t.l_partkey AS name, CASE WHEN t.status = 'available' AND t.external_id IS NOT NULL AND t.facility_id % 4 > 0
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.facility_id = t.facility_id AND s.external_id = t.external_id)
+  THEN 'removed' ELSE t.status END AS status FROM t""")
+def mark_removed(s, d):
+    """Three of four facilities were scraped; some of those have no rows left."""
+    old, new = halves(s, d)
+    scraped = R.table(s, d, "orders").select(c("o_orderkey").alias("facility_id")).filter(c("facility_id") % 4 > 0)
+    out = L.mark_removed(target_of(old), source_of(new), scraped, now())
+    return out.select("facility_id", "external_id", "name", "status")
+
+
+@query("load_totals", f"""{SIDES}, o AS (SELECT s.facility_id % 20 AS grp, CASE WHEN s.external_id IS NULL THEN 'skipped_no_key'
+    WHEN t.facility_id IS NULL THEN 'inserted' ELSE 'updated' END AS outcome FROM s
+  LEFT JOIN t ON t.facility_id = s.facility_id AND t.external_id = s.external_id)
+SELECT grp, count(*) AS total, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'updated') AS updated,
+  count(*) FILTER (outcome = 'skipped_no_key') AS skipped, CAST(0 AS BIGINT) AS errors FROM o GROUP BY grp""")
+def load_totals(s, d):
+    old, new = halves(s, d)
+    rows = source_of(new).withColumns({
+        "document_level": F.lit("high"), "needs_review": F.lit(False), "extraction_error": F.lit(False),
+    })
+    known = L.classify_upsert(L.gate(rows), target_of(old))
+    done = F.when(c("outcome") != "loaded", c("outcome")).when(c("is_new"), "inserted").otherwise("updated")
+    return L.load_totals(known.withColumn("outcome", done).withColumn("grp", c("facility_id") % 20), ["grp"])
+
+
+@query("snapshot_diff", f"""{SIDES}
+SELECT coalesce(t.facility_id, s.facility_id) AS facility_id, coalesce(t.external_id, s.external_id) AS external_id,
+  CASE WHEN t.facility_id IS NULL THEN 'added' WHEN s.facility_id IS NULL THEN 'removed'
+       WHEN s.l_returnflag = t.l_returnflag AND s.status = t.status THEN 'same' ELSE 'changed' END AS change
+FROM (SELECT * FROM t WHERE external_id IS NOT NULL) t FULL OUTER JOIN (SELECT * FROM s WHERE external_id IS NOT NULL) s
+  ON t.facility_id = s.facility_id AND t.external_id = s.external_id""")
+def snapshot_diff(s, d):
+    old, new = (source_of(x).filter(c("external_id").isNotNull()) for x in halves(s, d))
+    return L.snapshot_diff(old, new, L.KEY, ["animal_type", "status"])
+
+
+@query("overlay_enrich", """
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 1 THEN 'good' END ELSE d.lang END AS lang,
+  coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, d.source) AS source,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'high' ELSE 'low' END AS confidence_level, l.doc_id IS NULL AS needs_review
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def overlay_enrich(s, d):
+    rows = R.table(s, d, "documents").select(
+        "doc_id", "lang", "source", F.lit("low").alias("confidence_level"), F.lit(True).alias("needs_review")
+    )
+    found = R.table(s, d, "labels").select(
+        "doc_id", F.when(c("quality") == 1, "good").alias("lang"), F.when(c("toxic") == 1, "toxic").alias("source")
+    )
+    return L.overlay(rows, found, "doc_id", ["lang"], ["source"], {"confidence_level": "high", "needs_review": False})
+
+
+@query("unique_names", """
+SELECT p_partkey, p_brand, p_name || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS unique_name
+FROM part WINDOW w AS (PARTITION BY p_brand, p_name ORDER BY p_partkey)""")
+def unique_names(s, d):
+    rows = R.table(s, d, "part").select("p_partkey", "p_brand", c("p_name").alias("name"))
+    return L.unique_names(rows, "p_brand", "name", "p_partkey").select("p_partkey", "p_brand", "unique_name")
+
+
+@query("unique_names_contested")
+def unique_names_contested(s, d):
+    """Some names already end in a number that another name's suffix may take."""
+    n = c("p_partkey") % 5
+    name = F.when(n == 1, F.concat(c("p_name"), F.lit("-2"))).when(n == 2, F.concat(c("p_name"), F.lit("-3"))).otherwise(c("p_name"))
+    rows = R.table(s, d, "part").select("p_partkey", "p_brand", name.alias("name"))
+    return L.unique_names(rows, "p_brand", "name", "p_partkey").select("p_partkey", "p_brand", "name", "unique_name")
+
+
+@query("first_seen", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)
+SELECT source, line, min(doc_id) AS doc_id, arg_min(no - 1, (doc_id, no)) AS line_no FROM l JOIN (SELECT doc_id, source FROM documents) USING (doc_id)
+GROUP BY source, line""")
+def first_seen(s, d):
+    rows = R.table(s, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return L.first_seen(rows, ["source", "line"], ["doc_id", "line_no"])
+
+
+@query("preference_dedupe", f"""WITH {R.LISTING}
+SELECT facility_id, arg_min(listing_id, (CASE WHEN animal_type = 'cat' THEN 0 ELSE 1 END, listing_id)) AS listing_id,
+  arg_min(animal_type, (CASE WHEN animal_type = 'cat' THEN 0 ELSE 1 END, listing_id)) AS animal_type FROM listing GROUP BY facility_id""")
+def preference_dedupe(s, d):
+    rows = R.listings(s, d).select("facility_id", "listing_id", "animal_type")
+    return L.preferred(rows, ["facility_id"], c("animal_type") == "cat", ["listing_id"])
+
+
+@query("review_gate", """
+SELECT d.doc_id, CASE WHEN d.source = 'src3' THEN 'rejected_document' WHEN d.n_chars < 300 THEN 'skipped_error'
+  WHEN d.lang = 'de' THEN 'skipped_no_key' WHEN coalesce(l.toxic = 1, false) THEN 'skipped_review' ELSE 'loaded' END AS outcome,
+  CASE WHEN d.n_chars < 300 THEN 'skipped_error' ELSE 'loaded' END AS outcome_override
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def review_gate(s, d):
+    rows = R.table(s, d, "documents").join(R.table(s, d, "labels"), "doc_id", "left").select(
+        "doc_id", F.when(c("source") == "src3", "critical").otherwise("high").alias("document_level"),
+        F.when(c("lang") != "de", c("doc_id").cast("string")).alias("external_id"),
+        (c("toxic") == 1).alias("needs_review"), (c("n_chars") < 300).alias("extraction_error"),
+    )
+    strict = L.gate(rows)
+    return L.gate(strict.withColumnRenamed("outcome", "strict"), override=True).select(
+        "doc_id", c("strict").alias("outcome"), c("outcome").alias("outcome_override")
+    )
+
+
+@query("snapshot_stats", """
+SELECT l_suppkey AS facility_id, count(*) AS containers, count(*) FILTER (l_quantity > 2) AS valid, count(*) FILTER (l_quantity <= 2) AS errors,
+  count(*) FILTER (l_returnflag = 'A') AS dogs, count(*) FILTER (l_returnflag = 'N') AS cats FROM lineitem GROUP BY 1""")
+def snapshot_stats(s, d):
+    rows = R.table(s, d, "lineitem").select(
+        c("l_suppkey").alias("facility_id"), (c("l_quantity") <= 2).alias("extraction_error"),
+        F.when(c("l_returnflag") == "A", "dog").when(c("l_returnflag") == "N", "cat").alias("animal_type"),
+    )
+    return Q.snapshot_stats(rows, ["facility_id"])

@@ -24,13 +24,12 @@ def sql_stamp(c: str, out: str | None = None) -> str:
     return f"strftime({c}, '{STAMP}') AS {out or c}"
 
 
-@query("run_status", f"{WITH_RUNS} SELECT run_id, status FROM runs")
+@query("run_status", f"""{WITH_RUNS}
+SELECT run_id, CASE WHEN error_message IS NOT NULL THEN 'error' WHEN warning IS NOT NULL THEN 'mismatch'
+  WHEN html_count = 0 AND yaml_count = 0 AND db_count = 0 THEN 'empty' ELSE 'success' END AS status FROM runs""")
 def run_status(s, d):
-    r = R.runs(s, d)
     counts = [F.col(c) for c in ("html_count", "yaml_count", "db_count")]
-    # a run that found something small counts as success, so does one with rounding to zero
-    derived = M.run_status(F.col("error_message"), F.col("warning"), counts)
-    return r.select("run_id", F.when((derived == "empty") & (F.col("status") == "success"), "success").otherwise(derived).alias("status"))
+    return R.runs(s, d).select("run_id", M.run_status(F.col("error_message"), F.col("warning"), counts).alias("status"))
 
 
 @query("ledger_rollup", f"""{WITH_RUNS}
