@@ -16,33 +16,44 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def _run_hash(w: Column, start: Column | int, n: int) -> Column:
+    return F.xxhash64(*[F.get(w, F.lit(start) + k) for k in range(n)])
+
+
 def _anchor(needle: Column) -> Column:
     """A part every text with the needle must have: up to four inner words (the
     outer two may be cut inside a word of the text), or the first signs when
     the needle is short.  ``mode`` is the number of words, or minus the signs."""
-    w = _words(needle)
-    k = F.least(F.size(w) - 2, F.lit(WORDS))
-    n = F.least(F.length(needle), F.lit(SIGNS))
-    inner = F.array_join(F.slice(w, F.lit(2), F.greatest(k, F.lit(1))), " ")
-    return F.when(k >= 1, F.struct(k.alias("mode"), inner.alias("anchor"))).otherwise(
-        F.struct((-n).alias("mode"), F.substring(needle, F.lit(1), n).alias("anchor"))
-    )
+
+    def of(w: Column) -> Column:
+        k = F.least(F.size(w) - 2, F.lit(WORDS))
+        n = F.least(F.length(needle), F.lit(SIGNS))
+        inner = F.lit(None).cast("bigint")
+        for m in range(1, WORDS + 1):
+            inner = F.when(k == m, _run_hash(w, 1, m)).otherwise(inner)
+        return F.when(k >= 1, F.struct(k.alias("mode"), inner.alias("hash"))).otherwise(
+            F.struct((-n).alias("mode"), F.xxhash64(F.substring(needle, F.lit(1), n)).alias("hash"))
+        )
+
+    return let(_words(needle), of)
 
 
 def _runs(text: Column, mode: int) -> Column:
-    """All word (or sign) runs of one length as ``array<struct<_mode,_h>>``."""
-    hashed = lambda x: F.struct(F.lit(mode).alias("_mode"), F.xxhash64(x).alias("_h"))
+    """All word (or sign) runs of one length as ``array<struct<_mode,_h>>``.
+    Runs are made distinct as plain numbers, which is linear."""
     if mode < 0:
         # a look-ahead matches at every sign: one linear pass gives all runs
         grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{-mode}}}))"), F.lit(1))
-        return F.transform(F.array_distinct(grams), hashed)
+        hashes = F.transform(grams, lambda g: F.xxhash64(g))
+    else:
 
-    def of_words(w: Column) -> Column:
-        last = F.size(w) - mode
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: hashed(F.array_join(F.slice(w, i + 1, mode), " ")))
+        def of(w: Column) -> Column:
+            last = F.size(w) - mode
+            at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda i: _run_hash(w, i, mode))
 
-    return F.array_distinct(let(_words(text), of_words))
+        hashes = let(_words(text), of)
+    return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(mode).alias("_mode"), h.alias("_h")))
 
 
 def contains_join(
@@ -59,7 +70,7 @@ def contains_join(
     on = [*within]
     some = needles.filter(F.length(needle) > 0)
     anchored = some.select(needle_key, *on, _anchor(F.col(needle)).alias("_a")).select(
-        needle_key, *on, F.col("_a.mode").alias("_mode"), F.xxhash64("_a.anchor").alias("_h")
+        needle_key, *on, F.col("_a.mode").alias("_mode"), F.col("_a.hash").alias("_h")
     )
     # at most WORDS + SIGNS different modes exist
     modes = [r[0] for r in anchored.select("_mode").distinct().collect()]
