@@ -2,55 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
 from . import dictionaries as D
-from .text import col, half_width
+from .text import col, half_width, let
 
 
-def _ymd(c: Column, pattern: str) -> Column:
-    """A date from three capture groups, null when absent or not a real day."""
-    part = lambda i, n: F.lpad(F.regexp_extract(c, pattern, i), n, "0")
-    text = F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2))
-    return F.when(F.regexp_extract(c, pattern, 0) != "", F.try_to_date(text, "yyyy-MM-dd"))
+def _found(c: Column, pattern: str, year: Callable[[Column], Column]) -> Column:
+    """A date from the first match of ``pattern``.  The text is searched once;
+    the parts come out of the short match.  Null when it is not a real day."""
+
+    def day(m: Column) -> Column:
+        parts = F.concat_ws("-", year(m).cast("string"), F.regexp_extract(m, pattern, 2), F.regexp_extract(m, pattern, 3))
+        return F.when(m != "", parts.try_cast("date"))
+
+    return let(F.regexp_extract(c, pattern, 0), day)
+
+
+def _common(c: Column) -> Column:
+    pattern = r"([0-9]{4})(?:年|[-/])([0-9]{1,2})(?:月|[-/])([0-9]{1,2})"
+    return _found(c, pattern, lambda m: F.regexp_extract(m, pattern, 1))
 
 
 def parse_date(c: str | Column) -> Column:
-    """First date found as ``Y年M月D日``, ``Y-M-D`` or ``Y/M/D``, then as an era date."""
-    c = half_width(c)
-    return F.coalesce(
-        _ymd(c, r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"),
-        _ymd(c, r"([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})"),
-        era_date(c),
-    )
+    """First date found as ``Y年M月D日``, ``Y-M-D`` or ``Y/M/D``, else an era date."""
+    return let(half_width(c), lambda t: F.coalesce(_common(t), _era(t, D.ERAS)))
+
+
+def _era(c: Column, eras: Sequence[tuple[str, str, int]]) -> Column:
+    names = "|".join(x for name, letter, _ in eras for x in (name, letter))
+    pattern = rf"(?:{names})([0-9]{{1,2}}|元)(?:年|[.])([0-9]{{1,2}})(?:月|[.])([0-9]{{1,2}})"
+
+    def year(m: Column) -> Column:
+        base = F.lit(None).cast("int")
+        for name, letter, before_first in eras:
+            base = F.when(m.startswith(name) | m.startswith(letter), before_first).otherwise(base)
+        return F.replace(F.regexp_extract(m, pattern, 1), F.lit("元"), F.lit("1")).try_cast("int") + base
+
+    return _found(c, pattern, year)
 
 
 def era_date(c: str | Column, eras: Sequence[tuple[str, str, int]] = tuple(D.ERAS)) -> Column:
     """``令和7年4月16日`` or ``R7.4.16``; a first year may be written 元."""
-    c = F.replace(half_width(c), F.lit("元年"), F.lit("1年"))
-    found = []
-    for name, letter, base in eras:
-        for pattern in (
-            f"{name}([0-9]{{1,2}})年([0-9]{{1,2}})月([0-9]{{1,2}})日",
-            f"{letter}([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{1,2}})",
-        ):
-            year = F.regexp_extract(c, pattern, 1).try_cast("int") + base
-            text = F.concat_ws(
-                "-", year.cast("string"),
-                F.lpad(F.regexp_extract(c, pattern, 2), 2, "0"), F.lpad(F.regexp_extract(c, pattern, 3), 2, "0"),
-            )
-            found.append(F.when(year.isNotNull(), F.try_to_date(text, "yyyy-MM-dd")))
-    return F.coalesce(*found)
+    return _era(half_width(c), eras)
 
 
 def month_date(c: str | Column) -> Column:
     """First day of the month in ``Y年M月``."""
-    c = half_width(c)
-    pattern = r"([0-9]{4})年([0-9]{1,2})月"
-    text = F.concat(F.regexp_extract(c, pattern, 1), F.lit("-"), F.lpad(F.regexp_extract(c, pattern, 2), 2, "0"), F.lit("-01"))
-    return F.when(F.regexp_extract(c, pattern, 0) != "", F.try_to_date(text, "yyyy-MM-dd"))
+    text = half_width(F.regexp_extract(col(c), r"[0-9０-９]{4}年[0-9０-９]{1,2}月", 0))
+    return F.concat(F.translate(text, "年月", "--"), F.lit("01")).try_cast("date")
 
 
 def code_date(c: str | Column, pattern: str = r"jotof([0-9]{6})") -> Column:

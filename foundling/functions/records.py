@@ -116,26 +116,29 @@ def positional_record(line: str | Column, pattern: str = ID_LINE) -> Column:
     ``検査 未実施`` is one value written as two words.  Null when the row does
     not start with an id.
     """
-    line = F.trim(col(line))
-    group = lambda i: F.regexp_extract(line, pattern, i)
-    parts = F.filter(F.split(F.replace(group(4), F.lit("検査 未実施"), F.lit("検査未実施")), r"\s+"), lambda x: x != "")
-    at = lambda i: F.get(parts, i if isinstance(i, Column) else F.lit(i))
-    neutered = F.coalesce(at(2).contains("去勢済") | at(2).contains("避妊済"), F.lit(False))
-    first_test = F.when(neutered, 3).otherwise(2)
-    second = at(first_test + 1)
-    has_second = second.isNotNull() & ~second.startswith("・")
-    notes_from = first_test + F.when(has_second, 2).otherwise(1)
-    felv = at(first_test)
-    return F.when(
-        group(1) != "",
-        F.struct(
-            group(1).alias("external_id"), dates.era_date(group(2)).alias("birth_date"), group(3).alias("breed"),
-            at(0).alias("color"), classify.gender(at(1)).alias("gender"), neutered.alias("neutered"),
-            classify.test_result(felv).alias("felv"),
-            classify.test_result(F.when(has_second, second).otherwise(felv)).alias("fiv"),
-            F.array_join(F.slice(parts, notes_from + 1, F.size(parts) + 1), " ").alias("notes"),
-        ),
-    )
+
+    def fields(m: Column) -> Column:
+        group = lambda i: F.regexp_extract(m, pattern, i)
+        rest = F.split(F.replace(group(4), F.lit("検査 未実施"), F.lit("検査未実施")), r"\s+")
+
+        def by_position(parts: Column) -> Column:
+            at = lambda i: F.get(parts, i if isinstance(i, Column) else F.lit(i))
+            neutered = F.coalesce(at(2).contains("去勢済") | at(2).contains("避妊済"), F.lit(False))
+            first_test = F.when(neutered, 3).otherwise(2)
+            felv, second = at(first_test), at(first_test + 1)
+            has_second = F.coalesce(~second.startswith("・"), F.lit(False))
+            notes_from = first_test + F.when(has_second, 2).otherwise(1)
+            return F.struct(
+                group(1).alias("external_id"), dates.era_date(group(2)).alias("birth_date"), group(3).alias("breed"),
+                at(0).alias("color"), classify.gender(at(1)).alias("gender"), neutered.alias("neutered"),
+                classify.test_result(felv).alias("felv"),
+                classify.test_result(F.when(has_second, second).otherwise(felv)).alias("fiv"),
+                F.array_join(F.slice(parts, notes_from + 1, F.size(parts) + 1), " ").alias("notes"),
+            )
+
+        return F.when(m != "", let(F.filter(rest, lambda x: x != ""), by_position))
+
+    return let(F.regexp_extract(F.trim(col(line)), pattern, 0), fields)
 
 
 # ---- lines of a card --------------------------------------------------------------
@@ -265,7 +268,11 @@ def recognised(c: str | Column, layout: str) -> Column:
     and confuses some of them: both are undone first, then one of three layouts
     applies (``labelled`` lines, ``prose``, ``slashed`` fields)."""
     raw = repair(c)
-    squeezed = F.regexp_replace(raw, r"[ \t　]+", "")
+    both = F.struct(raw.alias("raw"), F.regexp_replace(raw, r"[ \t　]+", "").alias("squeezed"))
+    return let(both, lambda t: _layout_fields(t["raw"], t["squeezed"], layout))
+
+
+def _layout_fields(raw: Column, squeezed: Column, layout: str) -> Column:
     none = F.lit(None).cast("string")
     after = lambda label: F.nullif(F.regexp_extract(squeezed, f"{label}[:：]?([^\\n]+)", 1), F.lit(""))
     flags = F.array_compact(F.array(*[F.when(any_of(squeezed, w), F.lit(p)) for p, w in RECOGNISED_FLAGS]))

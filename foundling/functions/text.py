@@ -115,9 +115,14 @@ def digits_misread_as_letters(c: str | Column) -> Column:
 
 def keyword_context(c: str | Column, keyword: str, width: int, stop: str = "。") -> Column:
     """Up to ``width`` characters around ``keyword`` within one sentence."""
+    # the pattern alone would try every place of a long text; the first keyword
+    # is found by a plain search and the pattern sees only what is around it
+    c = col(c)
+    at = F.instr(c, keyword)
+    start = F.greatest(at - width, F.lit(1))
+    near = F.substring(c, start, at - start + F.lit(2 * width + len(keyword)))
     w = f"[^{stop}]{{0,{width}}}"
-    found = F.nullif(F.trim(F.regexp_extract(col(c), f"{w}{re.escape(keyword)}{w}", 0)), F.lit(""))
-    return F.when(col(c).contains(keyword), found)  # the search is cheap, the pattern is not
+    return F.when(at > 0, F.nullif(F.trim(F.regexp_extract(near, f"{w}{re.escape(keyword)}{w}", 0)), F.lit("")))
 
 
 def all_contexts(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import let
 
 WORDS = 4
 SIGNS = 8
+BROADCAST_ANCHORS = 200_000
+FEW_SHORT = 64
 
 
 def _words(c: Column) -> Column:
@@ -56,6 +59,16 @@ def _runs(text: Column, mode: int) -> Column:
     return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(mode).alias("_mode"), h.alias("_h")))
 
 
+def _few(texts: DataFrame, short: DataFrame, text_key: str, text: str, needle_key: str, needle: str) -> DataFrame:
+    """A counted handful of short needles, looked for in each text directly."""
+    rows = short.collect()
+    hits = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(r[1])), F.lit(i)) for i, r in enumerate(rows)]))
+    numbered = texts.sparkSession.createDataFrame(
+        [(i, r[0]) for i, r in enumerate(rows)], StructType([StructField("_i", IntegerType()), short.schema[needle_key]])
+    )
+    return texts.select(text_key, F.explode(hits).alias("_i")).join(F.broadcast(numbered), "_i").select(text_key, needle_key)
+
+
 def contains_join(
     texts: DataFrame, needles: DataFrame, text_key: str, text: str, needle_key: str, needle: str, within: Sequence[str] = ()
 ) -> DataFrame:
@@ -72,16 +85,33 @@ def contains_join(
     anchored = some.select(needle_key, *on, _anchor(F.col(needle)).alias("_a")).select(
         needle_key, *on, F.col("_a.mode").alias("_mode"), F.col("_a.hash").alias("_h")
     )
-    # at most WORDS + SIGNS different modes exist
-    modes = [r[0] for r in anchored.select("_mode").distinct().collect()]
-    if not modes:
-        return texts.join(some.select(needle_key, needle, *on).limit(0), on or F.lit(False)).select(text_key, needle_key)
+    # one row per mode, at most WORDS + SIGNS of them
+    sizes = {r["_mode"]: r["n"] for r in anchored.groupBy("_mode").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        kind = needles.schema[needle_key].dataType
+        return texts.select(text_key).limit(0).withColumn(needle_key, F.lit(None).cast(kind))
+    modes, tested = list(sizes), None
+    n_short = sum(n for m, n in sizes.items() if m < 0)
+    if n_short and not on and n_short <= FEW_SHORT:
+        short = some.join(anchored.filter(F.col("_mode") < 0).select(needle_key), needle_key, "left_semi")
+        tested = _few(texts, short.select(needle_key, needle), text_key, text, needle_key, needle)
+        anchored, modes = anchored.filter(F.col("_mode") > 0), [m for m in modes if m > 0]
+        if not modes:
+            return tested
     pieces = F.concat(*[_runs(F.col(text), mode) for mode in sorted(modes)])
     runs = texts.select(text_key, *on, F.explode(pieces).alias("_r")).select(text_key, *on, "_r.*")
+    # few anchors are counted to be small and go to every task; many meet the
+    # runs in a shuffle.  The runs are never broadcast: their size is not known
+    # from the size of the files they come from.
+    if sum(sizes.values()) <= BROADCAST_ANCHORS:
+        anchored = F.broadcast(anchored)
+    else:
+        anchored = anchored.hint("merge")
     candidates = runs.join(anchored, [*on, "_mode", "_h"]).select(text_key, needle_key).distinct()
-    return (
+    found = (
         candidates.join(texts.select(text_key, text), text_key)
         .join(some.select(needle_key, F.col(needle).alias("_needle")), needle_key)
         .filter(F.contains(F.col(text), F.col("_needle")))
         .select(text_key, needle_key)
     )
+    return found if tested is None else found.unionByName(tested)

@@ -332,10 +332,10 @@ def reading_order(s, d):
 
 @query("contains_join", """
 SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)
-UNION ALL SELECT doc_id, 1000 + k FROM documents d, (VALUES (0, 'src1'), (1, 'the other'), (2, 'License, Version 2.0'), (3, 'Que')) t(k, w) WHERE contains(d.text, w)""")
+UNION ALL SELECT doc_id, 1000 + k FROM documents d, (VALUES (0, 'src1'), (1, 'the other'), (2, 'License, Version 2.0')) t(k, w) WHERE contains(d.text, w)""")
 def contains_join_(s, d):
     """Benchmark passages, and short terms, found in documents."""
-    terms = s.createDataFrame([(1000, "src1"), (1001, "the other"), (1002, "License, Version 2.0"), (1003, "Que")], "item_id bigint, text string")
+    terms = s.createDataFrame([(1000, "src1"), (1001, "the other"), (1002, "License, Version 2.0")], "item_id bigint, text string")
     needles = R.table(s, d, "benchmark").unionByName(terms).withColumnRenamed("text", "needle")
     return contains_join(R.table(s, d, "documents").select("doc_id", "text"), needles, "doc_id", "text", "item_id", "needle")
 
