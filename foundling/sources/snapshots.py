@@ -28,10 +28,8 @@ ENVELOPE = (
 
 def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files as ``path, body``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def yaml_to_json(files: DataFrame) -> DataFrame:
