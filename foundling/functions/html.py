@@ -78,6 +78,11 @@ def plain(html: str | Column) -> Column:
     return collapse_spaces(c)
 
 
+def block_text(html: str | Column) -> Column:
+    """Readable text with a space where a cell, line or block ends."""
+    return plain(F.regexp_replace(col(html), r"(?i)</(?:td|th|tr|caption|p|div|li|dt|dd|h[1-6]|figure|span)\s*>|<(?:td|th|dt|dd|li)[\s>]", " $0"))
+
+
 def containers(html: str | Column, tag: str = "div", classes: Sequence[str] = ()) -> Column:
     """Outer text of each ``tag`` with one of ``classes`` (all when empty),
     with proper nesting: an element ends at its own closing tag."""

@@ -157,7 +157,18 @@ def unique_names(s, d):
     return L.unique_names(rows, "p_brand", "name", "p_partkey").select("p_partkey", "p_brand", "unique_name")
 
 
-@query("unique_names_contested")
+@query("unique_names_contested", """
+WITH RECURSIVE named AS (SELECT p_partkey, p_brand, p_name || CASE p_partkey % 5 WHEN 1 THEN '-2' WHEN 2 THEN '-3' ELSE '' END AS name,
+    row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+step AS (
+  SELECT p_brand, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS name,
+    CAST(NULL AS VARCHAR) AS unique_name FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL
+  SELECT p_brand, i, list_append(taken, u), p_partkey, name, u FROM (
+    SELECT s.p_brand, n.i, s.taken, n.p_partkey, n.name, CASE WHEN NOT list_contains(s.taken, n.name) THEN n.name
+      ELSE n.name || '-' || list_filter(range(2, len(s.taken) + 3), lambda k: NOT list_contains(s.taken, n.name || '-' || k))[1] END AS u
+    FROM step s JOIN named n ON n.p_brand = s.p_brand AND n.i = s.i + 1))
+SELECT p_partkey, p_brand, name, unique_name FROM step WHERE i > 0""")
 def unique_names_contested(s, d):
     """Some names already end in a number that another name's suffix may take."""
     n = c("p_partkey") % 5

@@ -350,3 +350,40 @@ def image_of_record(s, d):
     ids = conv.select("conv_id", F.struct("conv_id", "turn").alias("r"), F.substring("text", 3, 9).alias("id"))
     found = contains_join(caption, ids, "k", "text", "r", "id", within=["conv_id"])
     return found.filter(c("k") == c("r")).select("k.conv_id", "k.turn")
+
+
+@query("layout_extract", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'kochi-pref-k' || p_partkey WHEN 1 THEN 'aichi-' || p_partkey WHEN 2 THEN 'c' || p_partkey || '-x'
+    ELSE 'kyoto_0' END AS external_id,
+  CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 2 THEN NULL WHEN 3 THEN p_name END AS name,
+  CASE WHEN p_size % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+  CASE p_partkey % 4 WHEN 1 THEN p_size || '歳' WHEN 3 THEN p_size || '歳' END AS age_estimate,
+  CASE p_partkey % 4 WHEN 2 THEN p_brand END AS color, CASE WHEN p_size % 3 = 0 THEN 'adopted' ELSE 'available' END AS status,
+  CASE WHEN p_partkey % 4 = 0 THEN 'unknown' ELSE 'cat' END AS animal_type, 'https://x.example/a/' || p_partkey || '.jpg' AS image,
+  p_partkey % 4 = 3 AS needs_review FROM part""")
+def layout_extract(s, d):
+    """Rows of a table as pages of four facilities, read back by their layouts."""
+    from ..operators import extract
+    from ..sources import layouts
+
+    n, k = c("p_partkey") % 4, c("p_partkey").cast("string")
+    sex = F.when(c("p_size") % 2 == 0, "オス").otherwise("メス")
+    age = say(c("p_size").cast("string"), "歳")
+    gone = F.when(c("p_size") % 3 == 0, "譲渡しました").otherwise("募集中")
+    img = say('<img src="', k, '.jpg"><img src="/icon.gif">')
+    th = lambda a, b: say("<tr><th>", a, "</th><td>", b, "</td></tr>")
+    kochi = say('<div class="tab-animal-card">', img, "<table>", th("管理番号", say("K", k)), th("仮名", c("p_name")), th("性別", sex), "</table>", gone, "</div>")
+    aichi = say("<table><tr><th>写真<th>特徴</tr><tr><td>", img, "</td><td>管理No.", k, " 推定", age, " ", sex, " ", gone, "</td></tr></table>")
+    osaka = say("<table>", th("管理番号", say("C", k, "-X")), th("毛色", c("p_brand")), th("性別", sex), "</table>", gone, img)
+    kyoto = say('<div class="content clearfix"><h2>センター名：', c("p_name"), "（", gone, "）</h2>", img, "<table>", th("性別", sex), th("年齢", age), "</table></div>")
+    page = parts(s, d).select(
+        "p_partkey", F.lit("https://x.example/a/list.html").alias("url"),
+        F.when(n == 0, "kochi/kochi-pref").when(n == 1, "aichi/aichi-pref-cats").when(n == 2, "osaka/osaka-pref-cats")
+        .otherwise("kyoto/kyoto-pref-cats").alias("facility"),
+        F.when(n == 0, kochi).when(n == 1, aichi).when(n == 2, osaka).otherwise(kyoto).alias("html"),
+    )
+    out = extract.listings(page, layouts.catalogue(s))
+    return out.select(
+        "p_partkey", "external_id", "name", "gender", "age_estimate", "color", "status", "animal_type",
+        F.get("images", F.lit(0)).alias("image"), "needs_review",
+    )
