@@ -92,21 +92,27 @@ def containers(html: str | Column, tag: str = "div", classes: Sequence[str] = ()
         wanted = lambda p: opens(p) & p.rlike(rf"(?i)^<[^>]*\sclass\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:{names})[\s\"'>]")
     else:
         wanted = opens
-    empty = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
-    def step(acc, p):
+    def step(acc: Column, p: Column) -> Column:
         depth = acc["depth"] + F.when(opens(p), 1).when(p.rlike(rf"(?i)^</{tag}"), -1).otherwise(0)
-        closing = F.regexp_extract(p, rf"(?i)^</{tag}\s*>", 0)
-        text = F.concat(acc["text"], F.when(depth > 0, p).otherwise(closing))
-        moved = F.struct(depth.alias("depth"), (depth <= 0).alias("done"), text.alias("text"))
+        moved = F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth <= 0).alias("done"))
         return F.when(acc["done"], acc).otherwise(moved)
 
     def found(pieces: Column) -> Column:
         indexed = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("i"), wanted(p).alias("hit")))
         starts = F.filter(indexed, lambda x: x["hit"])
-        return F.transform(
-            starts, lambda s: F.aggregate(F.slice(pieces, s["i"], F.size(pieces)), empty, step)["text"]
-        )
+
+        def element(i: Column) -> Column:
+            def text(end: Column) -> Column:
+                # the last piece begins with the closing tag; what follows it is outside
+                whole = F.array_join(F.slice(pieces, i, F.when(end["done"], end["n"] - 1).otherwise(end["n"])), "")
+                closing = F.regexp_extract(F.get(pieces, i + end["n"] - 2), rf"(?i)^</{tag}\s*>", 0)
+                return F.when(end["done"], F.concat(whole, closing)).otherwise(whole)
+
+            return let(F.aggregate(F.slice(pieces, i, F.size(pieces)), start, step), text)
+
+        return F.transform(starts, lambda s: element(s["i"]))
 
     return let(split_before(html, rf"(?i)</?{tag}[\s>]"), found)
 

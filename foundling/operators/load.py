@@ -96,11 +96,14 @@ def classify_upsert(source: DataFrame, target: DataFrame, keys: Sequence[str] =
 
 
 def upsert(
-    target: DataFrame, source: DataFrame, now: Column, keys: Sequence[str] = KEY, kept: Sequence[str] = KEPT_ON_UPDATE
+    target: DataFrame, source: DataFrame, now: Column, keys: Sequence[str] = KEY, kept: Sequence[str] = KEPT_ON_UPDATE,
+    position: Sequence[str] = (),
 ) -> DataFrame:
     """The target after the source is merged in.
 
-    Both sides hold one row per key (see ``last_wins``).  A matched row takes
+    The target holds one row per key.  So does the source, or ``position``
+    names the columns that order it and the last row of a key wins; the join
+    then reuses the exchange of that step.  A matched row takes
     the source's values (null included) except ``kept``; a new row gets
     ``created_at`` and both get ``updated_at``.  Columns only the target has
     stay as they are.
@@ -109,8 +112,11 @@ def upsert(
     values = [c for c in target.columns if c not in keys]
     stamps = ("created_at", "updated_at")
     t = target.filter(_has_key(keys)).select(*keys, F.struct(*values).alias("_t"))
-    s_values = [c for c in source.columns if c not in keys]
-    s = source.filter(_has_key(keys)).select(*keys, F.struct(*s_values).alias("_s"))
+    s_values = [c for c in source.columns if c not in keys and c not in position]
+    keyed = source.filter(_has_key(keys))
+    if position:
+        keyed = newest_per_key(keyed, keys, list(position))
+    s = keyed.select(*keys, F.struct(*s_values).alias("_s"))
     both = t.join(s, keys, "full_outer")
     old, new = F.col("_t").isNotNull(), F.col("_s").isNotNull()
 

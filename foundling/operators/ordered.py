@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import freeze
 
 CHUNK = "_chunk"
+SMALL = 10_000
 
 
 def fixed_chunks(df: DataFrame, position: str | Column, width: int) -> DataFrame:
@@ -30,28 +31,44 @@ def quantile_chunks(
 ) -> DataFrame:
     """Chunks of about equal row counts for the keys that need it.
 
-    Only keys longer than ``rows_per_chunk`` get split points, so the table of
-    split points has at most ``rows / rows_per_chunk`` rows.  It is frozen
-    before use: both levels of a carry must see the same chunks.  ``position``
+    A count per key finds the keys longer than ``rows_per_chunk``; there are at
+    most ``rows / rows_per_chunk`` of them.  Usually there is none and that is
+    all.  Otherwise split points are taken from the rows of those keys alone
+    and frozen: both levels of a carry must see the same chunks.  ``position``
     must be numeric and may repeat; rows at one position share a chunk.
     """
+    keys = list(keys)
+    hot = freeze(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk).select(*keys))
+    found = hot.limit(SMALL + 1).count()
+    if not found:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
     cuts = [i / splits for i in range(1, splits)]
-    hot = freeze(
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(position, cuts, 10_000).alias("_cuts"))
-        .filter(F.col("_n") > rows_per_chunk)
-        .select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+    points = freeze(
+        _by_key(df, _sized(hot, found), keys, "left_semi").groupBy(*keys)
+        .agg(F.array_distinct(F.percentile_approx(position, cuts, 10_000)).alias("_cuts"))
     )
-    if hot.isEmpty():  # one small checkpointed table: nothing to split
-        return df.withColumn(CHUNK, F.lit(0).cast("long"))
     below = F.size(F.filter(F.col("_cuts"), lambda c: c < position))
     return (
-        df.join(hot, list(keys), "left")
-        .withColumn(CHUNK, F.coalesce(below, F.lit(0)).cast("long"))
+        _by_key(df, _sized(points, found), keys, "left")
+        .withColumn(CHUNK, F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("long"))
         .drop("_cuts")
     )
 
 
+def _sized(side: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side that has been counted to be small; leave others to Spark."""
+    return F.broadcast(side) if rows <= SMALL else side
+
+
+def _by_key(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys that may be null on both sides; the side's keys are dropped."""
+    renamed = side.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in side.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _carried(df: DataFrame, keys: Sequence[str], summary: Column, carry) -> DataFrame:
     """One row per (keys, chunk) with the value carried in from the chunks before."""
     per_chunk = df.groupBy(*keys, CHUNK).agg(summary.alias("_s"))
@@ -59,15 +76,6 @@ def _carried(df: DataFrame, keys: Sequence[str], summary: Column, carry) -> Data
     return per_chunk.select(*keys, CHUNK, carry(F.col("_s"), before).alias("_in"))
 
 
-def _nullsafe_join(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, CHUNK]
-    renamed = side.select(*[F.col(k).alias(f"_r_{k}") for k in on], "_in")
-    cond = F.lit(True)
-    for k in on:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in on])
-
-
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` on chunked rows."""
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order)
@@ -77,7 +85,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
         lambda s, w: F.coalesce(F.sum(s).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     )
     return (
-        _nullsafe_join(numbered, carry, keys)
+        _by_key(numbered, carry, [*keys, CHUNK], "left")
         .withColumn(out, F.col(out) + F.coalesce("_in", F.lit(0)))
         .drop("_in", CHUNK)
     )
@@ -94,7 +102,7 @@ def previous_row(
         boxed, keys, F.max_by("_v", F.struct(*order)), lambda s, w: F.lag(s).over(w)
     )
     return (
-        _nullsafe_join(lagged, carry, keys)
+        _by_key(lagged, carry, [*keys, CHUNK], "left")
         .withColumn(out, F.coalesce("_lag", "_in")["v"])
         .drop("_in", "_lag", "_v", CHUNK)
     )
@@ -114,7 +122,7 @@ def last_seen(
         lambda s, w: F.last(s, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
     )
     return (
-        _nullsafe_join(filled, carry, keys)
+        _by_key(filled, carry, [*keys, CHUNK], "left")
         .withColumn(out, F.coalesce("_last", "_in"))
         .drop("_in", "_last", "_v", CHUNK)
     )
@@ -130,7 +138,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         lambda s, w: F.sum(s).over(w.rowsBetween(W.unboundedPreceding, -1)),
     )
     return (
-        _nullsafe_join(summed, carry, keys)
+        _by_key(summed, carry, [*keys, CHUNK], "left")
         .withColumn(out, F.coalesce("_sum", F.lit(0)) + F.coalesce("_in", F.lit(0)))
         .drop("_in", "_sum", "_v", CHUNK)
     )

@@ -52,9 +52,10 @@ def halves(s, d):
     return L.last_wins(it.filter(c("l_shipdate") < cut), ORDER_COLUMNS), L.last_wins(it.filter(c("l_shipdate") >= cut), ORDER_COLUMNS)
 
 
-def target_of(rows):
+def target_of(rows, *more):
     """Snapshot rows as a loaded table."""
     return rows.select(
+        *more,
         "facility_id", "external_id", c("l_returnflag").alias("animal_type"), c("l_partkey").alias("name"),
         c("l_extendedprice").alias("price"),
         F.when(c("l_linestatus") == "O", "available").otherwise("adopted").alias("status"),
@@ -62,8 +63,8 @@ def target_of(rows):
     )
 
 
-def source_of(rows):
-    return target_of(rows).drop("created_at", "updated_at")
+def source_of(rows, *more):
+    return target_of(rows, *more).drop("created_at", "updated_at")
 
 
 SIDES = f"""WITH {ITEMS}, base AS (SELECT facility_id, external_id, {ORDER}, l_shipdate < TIMESTAMP '1998-01-01' AS old,
@@ -83,8 +84,10 @@ SELECT coalesce(t.facility_id, s.facility_id) AS facility_id, coalesce(t.externa
   strftime(CASE WHEN s.facility_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE t.l_shipdate END, '%Y-%m-%d') AS updated_at
 FROM t FULL OUTER JOIN s ON t.facility_id = s.facility_id AND t.external_id = s.external_id""")
 def upsert_merge(s, d):
-    old, new = halves(s, d)
-    out = L.upsert(target_of(old), source_of(new), now())
+    old, _ = halves(s, d)
+    batch = items(s, d).filter(c("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    raw = source_of(batch, *[c(x).alias(f"_o{i}") for i, x in enumerate(ORDER_COLUMNS)])
+    out = L.upsert(target_of(old), raw, now(), position=[f"_o{i}" for i in range(len(ORDER_COLUMNS))])
     return out.withColumns({x: F.date_format(x, "yyyy-MM-dd") for x in ("created_at", "updated_at")})
 
 
