@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, html as H, urls
-from ..functions.text import alternation, half_width, let
+from ..functions.records import keyword_sections
+from ..functions.text import all_contexts, alternation, first_in_text, half_width, let, preview, strip_code
 from ..functions import dictionaries as D
 from ..sources.layouts import FIELDS
 
@@ -113,3 +114,21 @@ def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility:
         "needs_review": F.col("found_id").isNull(),
         "source_url": F.col(url),
     }).drop("id_prefix", "species", "found_id")
+
+
+def text_fallback(
+    pages: DataFrame, records: DataFrame, keywords: list[str] | None = None, key: str = "page_id", body: str = "html", url: str = "url"
+) -> DataFrame:
+    """Rows for pages on which no record was found: their text is cut before
+    each species word.  Such rows are to be reviewed and have little confidence."""
+    words = keywords or ["猫", "ネコ", "ねこ", "犬", "イヌ", "いぬ"]  # fixed values
+    empty = pages.join(records.select(key).distinct(), key, "left_anti")
+    cut = empty.select(key, url, F.posexplode(keyword_sections(H.block_text(strip_code(body)), words)).alias("record_no", "section"))
+    return cut.select(
+        key, "record_no", F.col(url).alias("source_url"), classify.species("section").alias("animal_type"),
+        classify.age_text("section").alias("age_estimate"), classify.gender("section").alias("gender"),
+        first_in_text("section").alias("color"), F.lit("medium").alias("size"),
+        all_contexts("section").alias("health_status"), classify.adoption_status("section").alias("status"),
+        preview("section", 300).alias("raw_text"), F.lit("text_fallback").alias("extraction_method"),
+        F.lit(True).alias("needs_review"), F.lit("0.3").cast("decimal(2,1)").alias("confidence_score"),
+    )

@@ -114,9 +114,11 @@ def upsert(
     t = target.filter(_has_key(keys)).select(*keys, F.struct(*values).alias("_t"))
     s_values = [c for c in source.columns if c not in keys and c not in position]
     keyed = source.filter(_has_key(keys))
+    values_of = F.struct(*s_values)
     if position:
-        keyed = newest_per_key(keyed, keys, list(position))
-    s = keyed.select(*keys, F.struct(*s_values).alias("_s"))
+        s = keyed.groupBy(*keys).agg(F.max_by(values_of, F.struct(*position)).alias("_s"))
+    else:
+        s = keyed.select(*keys, values_of.alias("_s"))
     both = t.join(s, keys, "full_outer")
     old, new = F.col("_t").isNotNull(), F.col("_s").isNotNull()
 

@@ -151,14 +151,23 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the largest ``order`` per key, by partial aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """The row with the largest ``order`` per key, by partial aggregation: a
+    hot key sends one row per task.  Equal orders are decided by the other
+    columns, so the choice is the same in every run."""
+    return _extreme(df, keys, order, F.max, F.max_by)
 
 
 def oldest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the smallest ``order`` per key, by partial aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    return _extreme(df, keys, order, F.min, F.min_by)
+
+
+def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], extreme, extreme_by) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    kinds = [df.schema[c].dataType.simpleString() for c in rest]
+    if any("map<" in k or "variant" in k for k in kinds):  # these have no order of their own
+        best = extreme_by(F.struct(*order, *rest), F.struct(*order))
+    else:
+        best = extreme(F.struct(*order, *rest))
+    cells = [F.col("_row")[c].alias(c) for c in [*order, *rest]]
+    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *cells).select(*df.columns)
