@@ -100,13 +100,14 @@ def upsert_classify(s, d):
 
 
 @query("mark_removed", f"""{SIDES}
-SELECT t.facility_id, t.external_id, t.l_partkey AS name, CASE WHEN t.status = 'available' AND t.external_id IS NOT NULL AND t.facility_id % 4 > 0
+SELECT t.facility_id, t.external_id, t.l_partkey AS name, CASE WHEN t.status = 'available' AND t.external_id IS NOT NULL
+  AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = t.facility_id AND o_orderstatus <> 'P')
   AND NOT EXISTS (SELECT 1 FROM s WHERE s.facility_id = t.facility_id AND s.external_id = t.external_id)
   THEN 'removed' ELSE t.status END AS status FROM t""")
 def mark_removed(s, d):
-    """Three of four facilities were scraped; some of those have no rows left."""
+    """Facilities in two of three states were scraped; some of those have no rows left."""
     old, new = halves(s, d)
-    scraped = R.table(s, d, "orders").select(c("o_orderkey").alias("facility_id")).filter(c("facility_id") % 4 > 0)
+    scraped = R.table(s, d, "orders").filter(c("o_orderstatus") != "P").select(c("o_orderkey").alias("facility_id"))
     out = L.mark_removed(target_of(old), source_of(new), scraped, now())
     return out.select("facility_id", "external_id", "name", "status")
 

@@ -450,13 +450,14 @@ def expand_counts(s, d):
 
 @query("zip_lists", r"""
 WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '') AS w FROM documents),
-z AS (SELECT doc_id, unnest(w[1:3]) AS id, generate_subscripts(w[1:3], 1) AS position FROM t)
-SELECT doc_id, CAST(position AS INTEGER) AS position, CASE WHEN (SELECT len(w) FROM t WHERE t.doc_id = z.doc_id) = 1 THEN id || '-1' ELSE id END AS external_id, CASE WHEN position <= 2 THEN 'male' ELSE 'unknown' END AS gender FROM z
+z AS (SELECT doc_id, len(w) AS n, unnest(w) AS id, generate_subscripts(w, 1) AS position FROM t)
+SELECT doc_id, CAST(position AS INTEGER) AS position, CASE WHEN n = 1 THEN id || '-1' ELSE id END AS external_id,
+  CASE WHEN position <= 2 THEN 'male' ELSE 'unknown' END AS gender FROM z
 UNION ALL SELECT doc_id, 2, w[1] || '-2', 'male' FROM t WHERE len(w) = 1""")
 def zip_lists(s, d):
-    """The first three words as ids, two genders."""
+    """The words of a text as ids, beside two genders."""
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    zipped = records.zip_ids(F.slice(words, 1, 3), F.array(F.lit("male"), F.lit("male")))
+    zipped = records.zip_ids(words, F.array(F.lit("male"), F.lit("male")))
     return docs(s, d).select("doc_id", F.inline(zipped)).select("doc_id", "position", "external_id", "gender")
 
 

@@ -85,12 +85,12 @@ def heading_sections(s, d):
 
 
 @query("section_state", """
-SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN substring(text, 1, 4) END IGNORE NULLS)
+SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS state FROM conversations""")
 def section_state(s, d):
     """A user's turn sets the state, the turns after it inherit it."""
     rows = R.table(s, d, "conversations")
-    value = F.when(c("role") == "user", F.substring("text", 1, 4))
+    value = F.when(c("role") == "user", c("text"))
     return P.inherit(rows, ["conv_id"], "turn", value, "state").select("conv_id", "turn", "role", "state")
 
 

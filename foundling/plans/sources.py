@@ -29,7 +29,7 @@ def bodies(s, d):
         F.when(c("doc_id") % 3 == 0, c("n_chars").cast("int")).alias("total_count"),
     )
     animals = F.transform(
-        F.split("text", "\n"), lambda x, i: F.struct(say("x", i).alias("external_id"), F.substring(x, 1, 20).alias("name"))
+        F.split("text", "\n"), lambda x, i: F.struct(say("x", i).alias("external_id"), x.alias("name"))
     )
     n = c("doc_id") % 10
     whole = F.to_json(F.struct(meta.alias("meta"), animals.alias("animals")))
@@ -56,7 +56,7 @@ def envelope_scan(s, d):
 @query("envelope_explode", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position
   FROM documents WHERE doc_id % 10 < 6)
-SELECT doc_id, CAST(position AS INTEGER) AS position, 'x' || position AS external_id, substring(line, 1, 20) AS name FROM l""")
+SELECT doc_id, CAST(position AS INTEGER) AS position, 'x' || position AS external_id, line AS name FROM l""")
 def envelope_explode(s, d):
     p = S.loadable(S.envelopes(bodies(s, d)))
     return S.explode_animals(p, ["doc_id"]).select("doc_id", "position", "external_id", "name")
@@ -114,13 +114,12 @@ def batch_pages(s, d):
 
 
 @query("repeat_page_trim", """
-WITH f AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN 'same' ELSE substring(text, 1, 1) END AS fp FROM conversations),
+WITH f AS (SELECT conv_id, turn, role, length(text) % 3 AS fp FROM conversations),
 l AS (SELECT *, lag(fp) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM f),
 st AS (SELECT conv_id, min(turn) AS stop FROM l WHERE fp = before GROUP BY conv_id)
 SELECT l.conv_id, turn, role FROM l LEFT JOIN st ON st.conv_id = l.conv_id WHERE stop IS NULL OR turn < stop""")
 def repeat_page_trim(s, d):
-    fp = F.when(c("turn") % 4 == 3, "same").otherwise(F.substring("text", 1, 1))
-    return S.trim_repeats(R.table(s, d, "conversations"), "conv_id", "turn", fp).select("conv_id", "turn", "role")
+    return S.trim_repeats(R.table(s, d, "conversations"), "conv_id", "turn", F.length("text") % 3).select("conv_id", "turn", "role")
 
 
 @query("marker_split", r"""
@@ -157,15 +156,17 @@ def registry_flatten(s, d):
 
 
 @query("seed_ignore", """
-SELECT c_custkey AS facility_id, c_nationkey AS region_id, c_name AS name FROM customer WHERE c_custkey % 2 = 0
+SELECT c_custkey AS facility_id, c_nationkey AS region_id, c_name AS name FROM customer WHERE c_acctbal > 0
 UNION ALL SELECT c.c_custkey, n_nationkey, c_name FROM customer c JOIN nation ON printf('R%02d', n_nationkey) = printf('R%02d', c_nationkey)
-WHERE c_custkey % 2 = 1""")
+WHERE NOT c_acctbal > 0""")
 def seed_ignore(s, d):
-    """Half of the facilities are loaded; all are seeded by region code."""
-    cust = R.table(s, d, "customer").select(c("c_custkey").alias("facility_id"), c("c_nationkey").alias("region_id"), c("c_name").alias("name"))
+    """Active facilities are loaded; all are seeded by region code."""
+    every = R.facilities(s, d).withColumnRenamed("facility_name", "name")
+    cust = every.select("facility_id", "region_id", "name")
+    loaded = every.filter("is_active").select("facility_id", "region_id", "name")
     seed = cust.select("facility_id", F.format_string("R%02d", "region_id").alias("region_code"), "name")
     coded = seed.join(R.regions(s, d).select("region_code", "region_id"), "region_code")
-    return S.seed_ignore(cust.filter(c("facility_id") % 2 == 0), coded, ["region_id", "name"])
+    return S.seed_ignore(loaded, coded, ["region_id", "name"])
 
 
 @query("incremental_hwm", """
@@ -212,12 +213,14 @@ def quarantine_split(s, d):
 
 
 @query("reconcile_counts", f"""WITH {R.LISTING}
-SELECT category, count(*) FILTER (listing_id % 13 > 0) AS source_rows, count(*) FILTER (listing_id % 17 > 0) AS target_rows,
-  count(*) FILTER (listing_id % 13 > 0 AND listing_id % 17 = 0) AS missing, count(*) FILTER (listing_id % 13 = 0 AND listing_id % 17 > 0) AS extra
-FROM listing GROUP BY category""")
+SELECT category, count(*) FILTER (price <= 450000) AS source_rows, count(*) FILTER (status <> 'pending') AS target_rows,
+  count(*) FILTER (price <= 450000 AND status = 'pending') AS missing, count(*) FILTER (price > 450000 AND status <> 'pending') AS extra
+FROM listing WHERE price <= 450000 OR status <> 'pending' GROUP BY category""")
 def reconcile_counts(s, d):
-    rows = R.listings(s, d).select("listing_id", "category")
-    return sinks.reconcile(rows.filter(c("listing_id") % 13 > 0), rows.filter(c("listing_id") % 17 > 0), "listing_id", "category")
+    """Listings up to a price against those that are not pending."""
+    rows = R.listings(s, d)
+    source, target = rows.filter(c("price") <= 450000), rows.filter(c("status") != "pending")
+    return sinks.reconcile(source.select("listing_id", "category"), target.select("listing_id", "category"), "listing_id", "category")
 
 
 FEED = ", ".join(f"('{p}', '{f}', {x})" for p, f, x in sinks.FEED_STATIC)

@@ -26,13 +26,21 @@ def build(app: str = "foundling", master: str | None = None, **extra: str) -> Sp
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a local one only when none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="foundling-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder all executors can reach: the one the cluster names, or a
+    local one when everything runs on this machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="foundling-")
+    return _LOCAL[context.applicationId]
 
 
 def freeze(df: DataFrame) -> DataFrame:
