@@ -141,7 +141,7 @@ def stacked_pairs(html: str | Column) -> Column:
     return let(grid(html), paired)
 
 
-def label_pairs(text: str | Column, separators: str = "：:／") -> Column:
+def label_pairs(text: str | Column, separators: str = "：:／/") -> Column:
     """``label：value`` lines, optionally numbered or in 【】, as pairs."""
     pattern = rf"^\s*(?:[0-9０-９]+[.．、]\s*)?[【\[]?([^{separators}】\]]+)[】\]]?\s*[{separators}】\]]\s*(.*)$"
     rows = F.filter(F.split(col(text), r"\r?\n"), lambda x: x.rlike(pattern))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, html as H, urls
 from ..functions.records import keyword_sections
-from ..functions.text import all_contexts, alternation, first_in_text, half_width, let, preview, strip_code
+from ..functions.text import all_contexts, alternation, first_in_text, half_width, let, preview, slug, strip_code
 from ..functions import dictionaries as D
 from ..sources.layouts import FIELDS
 
@@ -93,19 +93,20 @@ def raw_records(pages: DataFrame, layouts: DataFrame, body: str = "html", facili
 
     keep = [c for c in pages.columns if c != body]
     # the parts of a record are bound once; each field is then a reference
-    r = p.select(*keep, "record_no", "id_prefix", "species", "id_required", images.alias("images"), let(parts, read).alias("r"))
+    r = p.select(*keep, "record_no", "id_prefix", "id_slug", "species", "id_required", images.alias("images"), let(parts, read).alias("r"))
     known = F.col("r.found_id").isNotNull() | ~F.col("id_required")
-    return r.filter(known).select(*keep, "record_no", "id_prefix", "species", "r.*", "images")
+    return r.filter(known).select(*keep, "record_no", "id_prefix", "id_slug", "species", "r.*", "images")
 
 
 def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: str = "facility", url: str = "url") -> DataFrame:
     """Records in the listing's normal form."""
     raw = raw_records(pages, layouts, body, facility, url)
-    own_id = F.coalesce("found_id", F.col("record_no").cast("string"))
+    found = F.when(F.col("id_slug"), slug("", "found_id")).otherwise(F.col("found_id"))
+    own_id = F.coalesce(found, F.col("record_no").cast("string"))
     wording = F.coalesce(F.col("gender"), F.lit(""))
     sized = classify.size(F.col("size"))
     return raw.withColumns({
-        "external_id": F.concat("id_prefix", F.lower(F.regexp_replace(own_id, r"[^a-zA-Z0-9]", "-"))),
+        "external_id": F.concat("id_prefix", own_id),
         "animal_type": F.coalesce("species", classify.species("raw_text")),
         "gender": classify.gender(wording),
         "age_estimate": half_width("age_estimate"),
@@ -113,7 +114,7 @@ def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility:
         "status": classify.extended_status("raw_text"),
         "needs_review": F.col("found_id").isNull(),
         "source_url": F.col(url),
-    }).drop("id_prefix", "species", "found_id")
+    }).drop("id_prefix", "id_slug", "species", "found_id")
 
 
 def text_fallback(

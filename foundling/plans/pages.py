@@ -353,7 +353,7 @@ def image_of_record(s, d):
 
 
 @query("layout_extract", """
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'kochi-pref-k' || p_partkey WHEN 1 THEN 'aichi-' || p_partkey WHEN 2 THEN 'c' || p_partkey || '-x'
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'kochi-pref-k' || p_partkey WHEN 1 THEN 'aichi-' || p_partkey WHEN 2 THEN 'C' || p_partkey || '-X'
     ELSE 'kyoto_0' END AS external_id,
   CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 2 THEN NULL WHEN 3 THEN p_name END AS name,
   CASE WHEN p_size % 2 = 0 THEN 'male' ELSE 'female' END AS gender,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
     "facility string, record_start string, area_start string, area_end string, shape string, id_pattern string, "
-    "id_prefix string, id_required boolean, species string, rules map<string,string>"
+    "id_prefix string, id_required boolean, id_slug boolean, species string, rules map<string,string>"
 )
 # fixed values: fields a layout can fill
 FIELDS = (
@@ -53,6 +53,7 @@ class Layout:
     id_pattern: str | None = None
     id_prefix: str = ""
     id_required: bool = True
+    id_slug: bool = False
     species: str | None = None
     rules: Mapping[str, str] = field(default_factory=dict)
     area: tuple[str, str] | None = None
@@ -135,7 +136,7 @@ CATALOGUE: list[Layout] = [
         rules={"color": "label:毛色", "gender": "label:性別", "age_estimate": "label:推定年齢", "size": "label:体重", "personality": "label:アピールポイント", "protection_date": "label:撮影年月日"},
     ),
     Layout(
-        "kochi/kochi-pref", classed("tab-animal-card"), "pairs", r"管理番号\s*(\S+)", "kochi-pref-",
+        "kochi/kochi-pref", classed("tab-animal-card"), "pairs", r"管理番号\s*(\S+)", "kochi-pref-", id_slug=True,
         rules={"name": "label:仮名", "breed": "label:種類", "gender": "label:性別"},
     ),
     *_pair("tokushima/tokushima-pref", {"cats": {}, "dogs": {}}, record_start=classed("f_a3"), shape="pairs", id_pattern=r"番号\s*([0-9A-Za-z-]+)", rules={"gender": "label:性別"}),
@@ -151,7 +152,54 @@ CATALOGUE: list[Layout] = [
         id_prefix="fukuoka-pref-",
         rules={"gender": "label:性別", "protection_date": "label:登録日", "age_estimate": "label:推定年齢", "size": "label:大きさ|体重"},
     ),
+    Layout(
+        "okayama/okayama-pref", tag("tr"), id_pattern=r"html:(?is)^<tr[^>]*>\s*<td[^>]*>[^<]*</td>\s*<td[^>]*>\s*([^<\s]+)",
+        rules={"protection_date": "cell:0", "breed": "cell:2", "age_estimate": "cell:3", "color": "cell:4", "gender": "cell:5", "size": "cell:6",
+               "personality": "cell:7", "special_needs": "cell:8"},
+    ),
+    # blocks and cards
+    *_pair(
+        "chiba/chiba-pref", {"cats": {"id_prefix": "chiba-pref-"}, "dogs": {"id_prefix": "chiba-pref-dog-"}}, record_start=classed("col2L"), shape="lines",
+        id_pattern=r"【管理番号】\s*([^\s【]+)", rules={"deadline_date": "label:掲載期限", "special_needs": "label:収容場所", "gender": "text:(オス|メス)"},
+    ),
+    *_pair(
+        "toyama/toyama-pref", {"cats": {}, "dogs": {}}, record_start=classed("col2L", "col2R"), id_pattern=r"No\.([0-9]+)",
+        rules={"name": r"html:(?is)No\.[0-9]+\s*(?:<[^>]+>\s*)*([^<（\s]+)", "gender": "text:（(オス|メス)）"},
+    ),
+    Layout(
+        "hyogo/hyogo-pref-cats", classed("item-gallery-item"), id_prefix="hyogo-", id_required=False,
+        rules={"breed": r"text:([^、\s]*(?:雑種|純血)[^、\s]*)", "gender": "text:(オス|おす|雄|メス|めす|雌)", "age_estimate": r"text:([^、\s]*(?:歳|齢)[^、\s]*)",
+               "health_status": "text:((?:去勢|避妊)済み)"},
+    ),
+    Layout(
+        "gunma/gunma-pref-cats", r"(?i)<p[^>]*>\s*ニックネーム：", id_pattern=r"管理番号([^）\s]+)", species="cat",
+        rules={"name": r"html:(?is)<a\s[^>]*>([^<]+)</a>"},
+    ),
+    Layout(
+        "gunma/gunma-pref-dogs", tag("h4"), id_pattern=r"管理番号([^）\s]+)", species="dog",
+        rules={"name": r"html:(?is)<a\s[^>]*>([^<]+)</a>", "age_estimate": "text:([0-9０-９]+才齢[^、]*)", "gender": "text:、(オス|メス)", "size": "text:(小型|中型|大型)",
+               "health_status": "text:((?:去勢|避妊)済み)"},
+    ),
     # headings with what follows
+    *_pair(
+        "okayama/okayama-city", {"cats": {"id_pattern": "(1C[0-9]+)"}, "dogs": {"id_pattern": "(1D[0-9]+)"}}, record_start=tag("h3"), shape="lines",
+        rules={"name": r"text:\((.+?)(?:くん|ちゃん|君)?\)", "breed": "label:種類", "gender": "label:性別", "size": "label:体重", "age_estimate": "label:年齢",
+               "health_status": "label:フィラリア"},
+    ),
+    Layout(
+        "osaka/osaka-city-cats", tag("h3"), "lines", r"識別番号\s*[/／]\s*([^\s（]+)", species="cat",
+        rules={"name": r"text:[（(]仮名[：:]\s*([^）)]+)[）)]", "breed": "label:種類", "color": "label:毛色", "gender": "label:性別", "age_estimate": "label:年齢",
+               "size": "label:体格", "personality": "label:性格", "health_status": "label:その他"},
+    ),
+    *_pair(
+        "niigata/niigata-city", {"cats": {"id_pattern": "([0-9]{4}k[0-9]+)"}, "dogs": {"id_pattern": "([0-9]{4}d[0-9]+)"}}, record_start=tag("li"),
+        id_prefix="niigata-city-",
+        rules={"name": r"html:(?is)<h2[^>]*>\s*([^<(]+)", "age_estimate": r"html:(?is)<h2[^>]*>[^<(]*\(([^)<]+)\)"},
+    ),
+    Layout(
+        "niigata/niigata-pref-cats", tag("h3"), id_pattern=r"html:alt=\"[^\"]*?([0-9]{2}[^\s\"]+YC[0-9]{3,4})", id_prefix="niigata-pref-", id_required=False, species="cat",
+        rules={"name": r"html:alt=\"([ぁ-んァ-ヶー]+)\""},
+    ),
     Layout(
         "hiroshima/hiroshima-city", tag("h3|h4"), id_pattern=r"(?:No\.)?([67]-[0-9]+-[0-9]+)[（(]", id_prefix="hiroshima-city-",
         rules={"name": r"text:[67]-[0-9]+-[0-9]+[（(](.+?)[)）]", "gender": "text:(メス|雌|オス|雄)", "age_estimate": _AGE},
@@ -185,6 +233,10 @@ CATALOGUE: list[Layout] = [
         rules={"name": r"text:仮名[：:]\s*([^\s　】]+)", "gender": "text:((?:去勢|不妊)?(?:オス|メス|雄|雌))", "age_estimate": "text:】\\s*([0-9]+(?:歳|か月|ヶ月|才))"},
     ),
     # images
+    *_pair(
+        "osaka/sakai-city", {"cats": {}, "dogs": {}}, record_start=tag("img"), area=(r"class=\"img-area", "(?:</body>|$)"),
+        id_pattern=r"html:(?i)src\s*=\s*[\"'](?:[^\"']*/)?([^/\"']+)\.[a-z]+[\"']",
+    ),
     *_pair(
         "kanagawa/yokohama-city",
         {"cats": {"id_pattern": "html:([0-9]+)の猫の写真", "area": ("譲渡動物情報《猫》", "(?:譲渡されました|$)")},
@@ -198,7 +250,7 @@ def catalogue(spark: SparkSession, layouts: Sequence[Layout] = tuple(CATALOGUE))
     """The layouts as a (small) table."""
     rows = [
         (x.facility, x.record_start, x.area[0] if x.area else None, x.area[1] if x.area else None, x.shape, x.id_pattern,
-         x.id_prefix, x.id_required, x.species, dict(x.rules))
+         x.id_prefix, x.id_required, x.id_slug, x.species, dict(x.rules))
         for x in layouts
     ]
     return spark.createDataFrame(rows, SCHEMA)

@@ -17,6 +17,12 @@ PAGES = [
     ("kanagawa/yokohama-city-cats", '<h2>譲渡動物情報《猫》</h2><img alt="251の猫の写真" src="a/jotof2501.jpg"><h2>譲渡されました</h2><img alt="99の猫の写真" src="b.jpg">'),
     ("fukuoka/fukuoka-pref-dogs", '<a href="/animals/center-detail/ab-12"><dl><dt>性別</dt><dd>オス</dd></dl><dl><dt>大きさ</dt><dd>小型 (2.5kg)</dd></dl></a>'),
     ("hiroshima/hiroshima-city", "<h3>犬</h3><h4>No.7-1-23（ハナ）</h4><p>雌 ３歳</p>"),
+    ("okayama/okayama-pref", "<table><tr><th>収容日<th>管理番号</tr><tr><td>2025/1/5</td><td>K-7</td><td>雑種<td>3歳<td>茶<td>メス<td>中<td>元気<td>倉敷<td><img src='/noimage.png'></tr></table>"),
+    ("osaka/osaka-city-cats", "<div class='sub_h3_box'><h3>識別番号／C123（仮名：ムギ）</h3></div><div class='mol_imageblock'><img src='a.jpg'><p>・種類／雑種<br>・毛色／キジ白<br>・性別／メス（避妊済）<br>・体格/小</p></div>"),
+    ("toyama/toyama-pref-cats", "<div class='col2L'><a href='/x'><img src='c.jpg'>No.7002<br>アイ（オス）</a></div><div class='col2R'><p>No.7003<br>ゆう（メス）</p></div>"),
+    ("gunma/gunma-pref-dogs", "<h4><a href='d'>ポチ</a>（管理番号2025-F126）</h4><p>雑種、8才齢（推定）、オス、白茶、中型（18.1キログラム）、去勢済み</p>"),
+    ("chiba/chiba-pref-cats", "<div class='col2L'><p>【管理番号】ch-12</p><p>【収容場所】柏市</p><p>雑種 オス</p><p>【掲載期限】2025年2月1日</p><img src='no_gazou.gif'></div>"),
+    ("osaka/sakai-city-cats", '<img src="/logo2.jpg"><div class="img-area"><img src="/i/R7_1.png"></div>'),
     ("nobody/unknown", "<tr><td>x</td></tr>"),
 ]
 
@@ -41,11 +47,17 @@ def test_facilities(found):
     ("okinawa/okinawa-pref-cats", dict(external_id="77", name="ミケ", protection_date="2025/1/2", images=["https://s.jp/m.png"])),
     ("chiba/chiba-city-cats", dict(external_id="chiba-city-25000012", name="タマ", gender="male", color="白", age_estimate="成猫", personality="元気")),
     ("kochi/kochi-pref", dict(external_id="kochi-pref-r7-a-1", name="ポチ", gender="male", animal_type="dog")),
-    ("fukui/fukui-pref-cats", dict(external_id="hc25378", gender="female")),
-    ("miyagi/sendai-city-dogs", dict(external_id="sendai-city-d12345", breed="雑種", gender="male", age_estimate="5歳", size="medium", color="茶")),
+    ("fukui/fukui-pref-cats", dict(external_id="HC25378", gender="female")),
+    ("miyagi/sendai-city-dogs", dict(external_id="sendai-city-D12345", breed="雑種", gender="male", age_estimate="5歳", size="medium", color="茶")),
     ("kanagawa/yokohama-city-cats", dict(external_id="yokohama-251", images=["https://s.jp/d/a/jotof2501.jpg"])),
     ("fukuoka/fukuoka-pref-dogs", dict(external_id="fukuoka-pref-ab-12", gender="male", size="small")),
     ("hiroshima/hiroshima-city", dict(external_id="hiroshima-city-7-1-23", name="ハナ", gender="female", age_estimate="3歳")),
+    ("okayama/okayama-pref", dict(external_id="K-7", gender="female", size="medium", age_estimate="3歳", special_needs="倉敷", images=[])),
+    ("osaka/osaka-city-cats", dict(external_id="C123", name="ムギ", breed="雑種", color="キジ白", gender="female", size="small")),
+    ("toyama/toyama-pref-cats", dict(external_id="7002", name="アイ", gender="male", images=["https://s.jp/d/c.jpg"])),
+    ("gunma/gunma-pref-dogs", dict(external_id="2025-F126", name="ポチ", gender="male", size="medium", age_estimate="8才齢（推定）", health_status="去勢済み")),
+    ("chiba/chiba-pref-cats", dict(external_id="chiba-pref-ch-12", gender="male", deadline_date="2025年2月1日", special_needs="柏市", images=[])),
+    ("osaka/sakai-city-cats", dict(external_id="R7_1", images=["https://s.jp/i/R7_1.png"])),
 ])
 def test_record(found, facility, want):
     got = found[facility][0].asDict()
