@@ -141,6 +141,7 @@ def days_remaining(deadline: str | Column, as_of: Column) -> Column:
 def urgency_label(days: str | Column, zero_is_blank: bool = True) -> Column:
     """Badge text.  With ``zero_is_blank`` the last day has no badge."""
     d = col(days)
+    # fixed values: badge texts
     label = F.when(d < 0, "期限切れ").when(d == 0, "今日まで").otherwise(F.format_string("あと%d日", d))
     return F.when(d.isNull() | ((d == 0) & F.lit(zero_is_blank)), F.lit(None).cast("string")).otherwise(label)
 

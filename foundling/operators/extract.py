@@ -86,16 +86,17 @@ def raw_records(pages: DataFrame, layouts: DataFrame, body: str = "html", facili
         found = F.when(id_rule.startswith("html:"), _capture(r["piece"], F.substring(id_rule, 6, 10_000))).otherwise(
             _capture(r["text"], id_rule)
         )
-        return F.struct(
-            half_width(found).alias("found_id"), r["text"].alias("raw_text"),
-            *[_field(F.element_at("rules", F.lit(f)), r, F.col("shape")).alias(f) for f in FIELDS],
-        )
+        values = F.transform_values("rules", lambda _, rule: _field(rule, r, F.col("shape")))
+        return F.struct(half_width(found).alias("found_id"), r["text"].alias("raw_text"), values.alias("values"))
 
     keep = [c for c in pages.columns if c != body]
     # the parts of a record are bound once; each field is then a reference
     r = p.select(*keep, "record_no", "id_prefix", "id_slug", "species", "id_required", images.alias("images"), let(parts, read).alias("r"))
     known = F.col("r.found_id").isNotNull() | ~F.col("id_required")
-    return r.filter(known).select(*keep, "record_no", "id_prefix", "id_slug", "species", "r.*", "images")
+    fields = [F.col("r.values")[f].alias(f) for f in FIELDS]
+    return r.filter(known).select(
+        *keep, "record_no", "id_prefix", "id_slug", "species", "r.found_id", "r.raw_text", *fields, "images"
+    )
 
 
 def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: str = "facility", url: str = "url") -> DataFrame:

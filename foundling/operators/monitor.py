@@ -41,6 +41,7 @@ def run_status(error: Column, warning: Column, counts: Sequence[Column]) -> Colu
 def stage_warnings(html: str = "html_count", extracted: str = "yaml_count", loaded: str = "db_count") -> Column:
     """Losses between stages, joined by ``; ``; null when nothing was lost."""
     h, y, d = F.col(html), F.col(extracted), F.col(loaded)
+    # fixed values: wording of the warnings
     lost = lambda a, b, what: F.when(
         (a > 0) & (b < a), F.concat(F.lit(f"{what}で"), a - b, F.lit("匹減少 ("), a, F.lit("→"), b, F.lit(")"))
     )
@@ -130,6 +131,7 @@ def issues(limits: Thresholds) -> Column:
         body = F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), message.alias("message"))
         return F.when(cond, body)
 
+    # fixed values: wording of the messages
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.array_compact(
         F.array(

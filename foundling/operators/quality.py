@@ -21,6 +21,7 @@ def warnings(
 ) -> Column:
     """Disagreements between extracted rows and what the page mentions."""
     v, g, a, i = col(valid), col(gender), col(age), col(images)
+    # fixed values: wording of the warnings
     say = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
     return F.array_compact(F.array(
         F.when(F.abs(v - g) > tolerance, say("性別表記(", g, ")と抽出数(", v, ")に", F.abs(v - g), "個の差異")),
