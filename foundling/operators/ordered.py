@@ -47,11 +47,16 @@ def quantile_chunks(
         _by_key(df, _sized(hot, found), keys, "left_semi").groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(position, cuts, 10_000)).alias("_cuts"))
     )
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < position))
-    return (
-        _by_key(df, _sized(points, found), keys, "left")
-        .withColumn(CHUNK, F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("long"))
-        .drop("_cuts")
+    # count the cuts below a position in two steps of about sqrt(splits) each:
+    # whole blocks by their last cut, then inside the block
+    step = max(int(splits ** 0.5), 1)
+    ends = F.filter(F.transform("_cuts", lambda c, i: F.when((i + 1) % step == 0, c)), lambda c: c.isNotNull())
+    side = points.withColumn("_ends", ends)
+    less = lambda cuts: F.size(F.filter(cuts, lambda c: c < position))
+    joined = _by_key(df, _sized(side, found), keys, "left").withColumn("_block", less(F.col("_ends")) * step)
+    below = F.col("_block") + less(F.slice("_cuts", F.col("_block") + 1, F.lit(step)))
+    return joined.withColumn(CHUNK, F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("long")).drop(
+        "_cuts", "_ends", "_block"
     )
 
 
