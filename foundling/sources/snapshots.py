@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import col, matched
+from ..functions.text import col, let, matched
 from ..operators.ordered import newest_per_key
 
 ANIMAL = (
@@ -58,22 +58,29 @@ def envelopes(files: DataFrame, body: str = "body", schema: str = ENVELOPE) -> D
     """Bodies parsed and their shape named in ``problem`` (null when loadable)."""
     b = F.col(body)
     # the shape is read from the raw text: a wrong type must not look missing
-    meta, animals = F.get_json_object(b, "$.meta"), F.get_json_object(b, "$.animals")
-    problem = (
-        F.when(F.try_parse_json(b).isNull(), "unparsable")
-        .when(F.ltrim(b).startswith("["), "bare_list")
-        .when(meta.isNull() & F.get_json_object(b, "$.metadata").isNotNull(), "metadata_key")
-        .when(meta.isNull() & F.get_json_object(b, "$.source").isNotNull(), "source_list")
-        .when(meta.isNull(), "no_meta")
-        .when(animals.isNull() | ~F.ltrim(animals).startswith("["), "no_animals")
+    seen = F.struct(
+        F.json_object_keys(b).alias("keys"), F.get_json_object(b, "$.meta").alias("meta"),
+        F.get_json_object(b, "$.animals").alias("animals"), F.ltrim(b).startswith("[").alias("listed"),
     )
-    return files.withColumn("problem", problem).withColumn(
+
+    def shape(x: Column) -> Column:
+        has = lambda k: F.array_contains(x["keys"], k)
+        return (
+            F.when(x["listed"], "bare_list").when(x["keys"].isNull(), "unparsable")
+            .when(x["meta"].isNull() & has("metadata"), "metadata_key").when(x["meta"].isNull() & has("source"), "source_list")
+            .when(x["meta"].isNull(), "no_meta")
+            .when(x["animals"].isNull() | ~F.ltrim(x["animals"]).startswith("["), "no_animals")
+        )
+
+    return files.withColumn("problem", F.coalesce(let(seen, shape), F.when(b.isNull(), "unparsable"))).withColumn(
         "doc", F.when(F.col("problem").isNull(), F.from_json(b, schema))
     )
 
 
-def loadable(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("problem").isNull())
+def loadable(parsed: DataFrame, body: str = "body", schema: str = ENVELOPE) -> DataFrame:
+    """Documents without a problem.  They are parsed after the filter, so that
+    the shape is looked at once per document."""
+    return parsed.filter(F.col("problem").isNull()).withColumn("doc", F.from_json(body, schema))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
