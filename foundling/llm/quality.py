@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import pieces
 
 #: Texts from so many bytes on, the lowest and the highest ratio that passes.
-BANDS = ((256, 0.10, 0.93), (1024, 0.08, 0.86), (4096, 0.06, 0.82), (16384, 0.05, 0.80))
+BANDS = ((256, 0.25, 0.93), (1024, 0.20, 0.86), (4096, 0.18, 0.82), (16384, 0.16, 0.80))
 CHUNK = 4096
 BAD_SHARE = 0.5
 LEVEL = 3
