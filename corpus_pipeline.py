@@ -1,12 +1,62 @@
-"""The corpus pipeline: each stage is written as Parquet and read again by the next."""
+"""The corpus pipeline: each stage works on what the one before kept, written as Parquet and read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foundling.llm import bpe, mixing, simhash, substrings, toxicity
+from foundling.llm.common import read, text_key
+from foundling.llm.queries import tokenizer
+from foundling.session import shared_dir
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose score says toxic."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: that with the smallest id, then fingerprint and text digest; a row of it."""
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    chosen = simhash.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "fp", "row.mark")).alias("m")).select(
+        F.col("m.doc_id").alias("_id"), F.col("m.mark").alias("_mark"),
+    )
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")))
+    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated byte strings; a character cut in two goes whole.  No document goes."""
+    kept = substrings.cut(docs, as_text=True).select("key", F.col("kept").cast("string").alias("_kept"))
+    found = docs.select("*", text_key(F.col("text")).alias("_key"), F.col("text").isNull().alias("_null")).drop("text")
+    joined = found.join(kept, found["_key"] == kept["key"]).withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
+    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a row for each copy."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document of the mix, and digests of them and of what they decode to."""
+    vocabulary, pattern = tokenizer()
+    encoded = bpe.encode(docs, vocabulary, pattern)
+    return bpe.digests(encoded).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("toxicity", toxic), ("simhash_near_dedup", near), ("suffix_array_dedup", passages), ("mixing", mixture), ("bpe", tokens)]
+
+#: A fitted classifier and shared passages can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, folder = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

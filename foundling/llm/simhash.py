@@ -100,11 +100,12 @@ def links(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """Each row's other columns as ``row``, with ``fp`` and ``component_id``, the smallest id that links reach."""
+    """Each row's other columns as ``row``, with ``fp``, ``root`` (a fingerprint that stands for its component) and
+    ``component_id``, the smallest id that links reach."""
     rows = freeze(fingerprints(docs, text=text))
     marks = rows.groupBy("fp").agg(F.min(f"row.{doc_id}").alias("least"))
     roots = stars(links(marks.select("fp"), crowd))
     placed = marks.join(roots, marks["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    found = placed.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     return rows.join(found, "fp")

@@ -329,7 +329,7 @@ def _resolve(length: int, batch_rows: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -347,6 +347,8 @@ def _cut(length: int):
                     rest.append(text[at:a])
                     at = b
                 rest.append(text[at:])
+                if as_text:
+                    rest = [part.decode(errors="ignore").encode() for part in rest]
                 out.append((key, len(text), sum(b - a for a, b in merged), len(merged), b"".join(rest), [{"a": a, "b": b} for a, b in merged]))
             c = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -357,8 +359,9 @@ def _cut(length: int):
     return run
 
 
-def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_rows: int = BATCH) -> DataFrame:
-    """A row for each distinct text: ``key`` (:func:`common.text_key`), n_bytes, n_removed, n_spans, kept bytes, spans."""
+def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_rows: int = BATCH, as_text: bool = False) -> DataFrame:
+    """A row for each distinct text: ``key`` (:func:`common.text_key`), n_bytes, n_removed, n_spans, kept bytes, spans.
+    ``as_text`` drops what a cut leaves of a character, so that the kept bytes are UTF-8."""
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(text_key(body).alias("key"), body.cast("binary").alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     hashes = texts.mapInArrow(_hash_rows(length, gram), "key binary, hash long, n long")
@@ -376,5 +379,5 @@ def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int
     counted = crowded.join(twice, "body").select("key", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     spans = sorted_.union(counted).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(
-        _cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,b:long>>",
+        _cut(length, as_text), "key binary, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,b:long>>",
     )
