@@ -1,11 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-Labels belong to documents, offence to sentences.  A sentence's score is a logistic function of its words; a document is
+Labels belong to documents, offence to sentences.  A sentence's score is a logistic function of its words and their
+beginnings (stems, for languages that inflect); a document is
 clean only if all its sentences are, so document scores are noisy-or: 1 - product(1 - sentence score).  The weights are
 fitted to document labels through that formula, and afterwards say which sentences gave the offence.
 
 The fit is done on the driver over a sample with a bound: at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_WORDS``
-words of them, taken in the order of a digest of their ids, positives and negatives in equal number if there are enough.
+words of them, taken in the order of a digest of their ids, at most half of either label.
 Only hashed words of the sample reach the driver, never texts.  Scoring covers every document and whole texts.
 
 Defined results: null is an empty text; an empty text has the score of no evidence, 0; without positive or negative labels
@@ -26,9 +27,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from .common import encoded, pieces
 
 SAMPLE_DOCS = 8_000
-SAMPLE_WORDS = 4_000_000
-BITS = 18
-ROUNDS = 150
+SAMPLE_WORDS = 2_000_000
+BITS = 20
+ROUNDS = 300
+#: Beginnings of words that count besides the words.
+STEMS = (3, 4, 5, 6)
+#: A feature counts if it is in so many documents of the sample, and one more for every so many documents.
+LEAST, LEAST_PER = 6, 300
 THRESHOLD = 0.7
 OFFENDING = 0.5
 #: Words of a sentence that ends nowhere; a longer one is cut into several.
@@ -37,31 +42,42 @@ _EDGE = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 _END = (b".", b"!", b"?")
 
 
-def words_of(text: bytes, number) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, and for each sentence the place of its first word."""
-    ids: list[int] = []
-    starts: list[int] = []
+def sentences_of(text: bytes) -> Iterator[list[bytes]]:
+    """Words of each sentence; lines end sentences too."""
     for line in text.split(b"\n"):
-        fresh = len(ids)
+        own: list[bytes] = []
         for w in line.split():
-            if len(ids) == fresh or len(ids) - starts[-1] >= LONGEST:
-                starts.append(len(ids))
-                fresh = -1
-            ids.append(number(w))
-            if w.endswith(_END):
-                fresh = len(ids)
-    return np.asarray(ids, np.int32), np.asarray(starts, np.int64)
+            own.append(w)
+            if w.endswith(_END) or len(own) == LONGEST:
+                yield own
+                own = []
+        if own:
+            yield own
 
 
-class Numbers(dict):
-    """Words to buckets, remembered up to a bound."""
+class Features(dict):
+    """Words to the buckets of their features, remembered up to a bound."""
 
     def __init__(self, bits: int, most: int = 200_000):
         self.mask, self.most = (1 << bits) - 1, most
 
-    def __missing__(self, word: bytes) -> int:
-        plain = word.strip(_EDGE).lower()
-        value = crc32(plain) & self.mask
+    def __missing__(self, word: bytes) -> list[int]:
+        plain = word.strip(_EDGE).decode(errors="ignore").lower()
+        names = [plain] + [f"{k} {plain[:k]}" for k in STEMS if len(plain) > k]
+        value = [crc32(x.encode()) & self.mask for x in names]
+        if len(self) < self.most:
+            self[word] = value
+        return value
+
+
+class Weights(dict):
+    """Words to the sums of their features' weights."""
+
+    def __init__(self, model: Model, most: int = 200_000):
+        self.features, self.weights, self.most = Features(model.bits, 0), model.weights, most
+
+    def __missing__(self, word: bytes) -> float:
+        value = float(sum(self.weights[i] for i in self.features[word]))
         if len(self) < self.most:
             self[word] = value
         return value
@@ -73,43 +89,45 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def sentences(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The logit of each sentence."""
-        if not len(starts):
-            return np.empty(0)
-        return np.add.reduceat(self.weights[ids], starts) + self.bias
-
     @staticmethod
     def noisy_or(logits: np.ndarray) -> float:
-        return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+        return float(-np.expm1(-np.logaddexp(0, np.asarray(logits)).sum()))
 
 
-def fit(ids: np.ndarray, sentence_at: np.ndarray, doc_at: np.ndarray, labels: np.ndarray, *, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, shrink: float = 2e-6) -> Model:
-    """Adam on the log-likelihood of document labels.  ``sentence_at``: the first word of each sentence; ``doc_at``: the
+def fit(ids: np.ndarray, sentence_at: np.ndarray, doc_at: np.ndarray, labels: np.ndarray, *, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, shrink: float = 1e-5) -> Model:
+    """Adam on the log-likelihood of document labels.  ``sentence_at``: the first feature of each sentence; ``doc_at``: the
     first sentence of each document (documents have sentences)."""
     model = Model(bits, np.zeros(1 << bits), 0.0)
     if not len(labels) or labels.min() == labels.max():
         return model
+    doc_of = np.repeat(np.arange(len(doc_at)), np.diff(np.append(doc_at, len(sentence_at))))
+    lengths = np.diff(np.append(sentence_at, len(ids)))
+    pairs = np.unique(np.repeat(doc_of[np.arange(len(sentence_at))], lengths) * (1 << bits) + ids)
+    held = np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
+    del pairs
+    kept = np.flatnonzero(held >= LEAST + len(labels) // LEAST_PER)
+    place = np.zeros(1 << bits, np.int32)
+    place[kept] = 1 + np.arange(len(kept))
+    ids = place[ids]  # 0: rare features, without a weight
     # a start at which a document of usual length has an even chance
     usual = max(float(np.median(np.diff(np.append(doc_at, len(sentence_at))))), 1.0)
-    params = np.append(model.weights, np.log(np.expm1(np.log(2) / usual)))
+    params = np.zeros(len(kept) + 2)
+    params[-1] = np.log(np.expm1(np.log(2) / usual))
     first, second = np.zeros_like(params), np.zeros_like(params)
-    lengths = np.diff(np.append(sentence_at, len(ids)))
-    owner = np.repeat(np.arange(len(doc_at)), np.diff(np.append(doc_at, len(sentence_at))))
-    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     for step in range(1, rounds + 1):
         z = np.add.reduceat(params[ids], sentence_at) + params[-1]
-        clean = np.logaddexp(0, z)  # -log(1 - p)
-        total = np.add.reduceat(clean, doc_at)
+        total = np.add.reduceat(np.logaddexp(0, z), doc_at)  # -log(1 - document score)
         odds = np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12)
-        slope = share * np.where(labels == 1, -odds, 1.0)  # of the loss by the sum of -log(1 - p)
-        by_sentence = slope[owner] / (1 + np.exp(-z))
-        gradient = np.append(np.bincount(ids, np.repeat(by_sentence, lengths), minlength=1 << bits), by_sentence.sum())
-        gradient[:-1] += shrink * np.sign(params[:-1])
+        slope = np.where(labels == 1, -odds, 1.0) / len(labels)
+        by_sentence = slope[doc_of] / (1 + np.exp(-z))
+        gradient = np.append(np.bincount(ids, np.repeat(by_sentence, lengths), minlength=len(kept) + 1), by_sentence.sum())
+        gradient[1:-1] += shrink * params[1:-1]
+        gradient[0] = 0
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient**2 - second)
         params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(bits, params[:-1].copy(), float(params[-1]))
+    model.weights[kept] = params[1:-1]
+    return Model(bits, model.weights, float(params[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,13 +137,18 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers(bits)
+        features = Features(bits)
         for batch in pieces(batches, "text", 8 << 20):
-            rows = [words_of(t, number.__getitem__) for t in encoded(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
-                names=["label", "ids", "starts"],
-            )
+            rows = []
+            for text in encoded(batch.column(1)):
+                ids: list[int] = []
+                starts = []
+                for own in sentences_of(text):
+                    starts.append(len(ids))
+                    for w in own:
+                        ids += features[w]
+                rows.append((np.array(ids, np.int32).tobytes(), np.array(starts, np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], names=["label", "ids", "starts"])
 
     return run
 
@@ -168,24 +191,26 @@ RESULT = [
 
 
 def _scorer(bits: int, nonzero: np.ndarray, values: np.ndarray, bias: float):
+    limit = np.log(OFFENDING / (1 - OFFENDING))
     kind = pa.list_(pa.struct([("sentence", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << bits)
         weights[nonzero] = values
-        model, number = Model(bits, weights, bias), Numbers(bits)
+        weight = Weights(Model(bits, weights, bias))
         for batch in pieces(batches, "text", 8 << 20):
             scores, counts, marks = [], [], []
             for text in encoded(batch.column(1)):
-                ids, starts = words_of(text, number.__getitem__)
-                z = model.sentences(ids, starts)
-                scores.append(model.noisy_or(z) if len(z) and bias else 0.0)
+                z, own, first = [], [], 0
+                for i, words in enumerate(sentences_of(text)) if bias else ():
+                    logit = sum(map(weight.__getitem__, words)) + bias
+                    z.append(logit)
+                    if logit >= limit:
+                        own.append({"sentence": i, "first_word": first, "n_words": len(words), "score": float(1 / (1 + np.exp(-logit)))})
+                    first += len(words)
+                scores.append(Model.noisy_or(z) if z else 0.0)
                 counts.append(len(z))
-                ends = np.append(starts, len(ids))
-                marks.append([
-                    {"sentence": int(i), "first_word": int(starts[i]), "n_words": int(ends[i + 1] - starts[i]), "score": float(1 / (1 + np.exp(-z[i])))}
-                    for i in np.flatnonzero(z >= np.log(OFFENDING / (1 - OFFENDING)))
-                ] if bias else [])
+                marks.append(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(marks, kind)], names=["row", "score", "n_sentences", "offending"],
             )
