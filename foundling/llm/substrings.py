@@ -6,8 +6,9 @@ after the anchor and the reversed text before it are sorted: multikey quicksort
 over all groups at once, then blind tries for the groups that still agree.  Neighbours in both orders give the common
 lengths to the right and to the left, and so for each offset the classes of strings that agree over ``length`` bytes.
 
-Equal texts are one row before anything is sorted, with their number.  An anchor with more than ``CROWD`` places (a passage
-that a large part of the corpus shares) is not sorted in one task: its strings are counted by digest, each for itself.
+Equal texts are one row before anything is sorted, with their number.  An anchor in more than ``CROWD`` different texts (a
+passage that a large part of the corpus shares; so many places take about 100 MB) is not sorted in one task: its strings
+are counted by digest, each for itself.
 Both ways are exact up to 128-bit digests.
 
 Defined results: null is an empty text; texts shorter than ``length`` lose nothing; a text that occurs twice loses all of
@@ -26,7 +27,7 @@ from .common import text_key
 
 LENGTH = 400
 GRAM = 32
-CROWD = 20_000
+CROWD = 65_536
 SHALLOW = 64
 #: Bytes per step; positions in a step take 21 bits.
 STEP = 1 << 20
@@ -368,7 +369,7 @@ def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int
     shared = hashes.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("texts")).filter("total > 1")
     wanted = (
         hashes.join(shared, "hash").groupBy("key")
-        .agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("total") > crowd, F.col("hash"))).alias("crowded"))
+        .agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("texts") > crowd, F.col("hash"))).alias("crowded"))
     )
     places = texts.join(wanted, "key").select("key", "text", "copies", "hashes", "crowded").mapInArrow(
         _places(length, gram), "hash long, key binary, at long, left int, body binary, copies long",
