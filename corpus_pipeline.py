@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix, and digests of them and of what they decode to."""
     vocabulary, pattern = tokenizer()
-    encoded = bpe.encode(docs, vocabulary, pattern)
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary, pattern)
     return bpe.digests(encoded).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

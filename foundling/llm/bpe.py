@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import pieces
 
-BLOCK = 16 << 20
+BLOCK = 32 << 20
+#: Words with so many places in a block get the smallest numbers; the others are numbered in the order they are packed.
+FREQUENT = 64
 WORDS, DOCUMENT = 0, 1
 
 
@@ -45,6 +47,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _head(data: bytes) -> tuple[int, int]:
+    """Of packed words: where the lengths begin, and how many words there are."""
+    often, rest, _ = np.frombuffer(data[:12], "<u4").tolist()
+    return 12 + 4 * often, often + rest
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -57,7 +65,7 @@ def _cutter(pattern: str, buckets: int, block: int):
         import zstandard
 
         find, zip_ = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1)
-        part, k, held = TaskContext.get().partitionId(), 0, 0
+        held, mark = 0, blake2b(digest_size=16)  # a block is named by its texts
         number, kind = _Numbers(), None
 
         def out(name, kinds, buckets_, rows, payloads):
@@ -68,33 +76,48 @@ def _cutter(pattern: str, buckets: int, block: int):
                 names=["block", "kind", "bucket", "row", "payload"],
             )
 
-        def words(name):
+        def close(name):
+            """The block's documents and words, renumbered so that both pack well."""
+            all_ = np.concatenate([d for _, docs in waiting for d in docs])
+            words = [w.encode() for w in number]
+            counts = np.bincount(all_, minlength=len(words))
+            often = [int(i) for i in np.argsort(-counts, kind="stable")[:int((counts >= FREQUENT).sum())]]
             dealt: dict[int, tuple[list, list]] = {}
-            for word, i in number.items():
-                data = word.encode()
-                places, own = dealt.setdefault(crc32(data) % buckets, ([], []))
-                places.append(i)
-                own.append(data)
-            keys = sorted(dealt)
-            yield out(name, WORDS, keys, None, [
-                zip_.compress(len(dealt[b][0]).to_bytes(4, "little") + _pack(np.array(dealt[b][0])) + _pack(np.array([len(w) for w in dealt[b][1]])) + b"".join(dealt[b][1]))
-                for b in keys
-            ])
-
+            for n, i in enumerate(often):
+                dealt.setdefault(crc32(words[i]) % buckets, ([], []))[0].append(n)
+            for i in np.flatnonzero(counts < FREQUENT).tolist():
+                dealt.setdefault(crc32(words[i]) % buckets, ([], []))[1].append(i)
+            fresh = np.empty(len(words), np.int64)
+            fresh[often] = np.arange(len(often))
+            at, payloads, keys = len(often), [], sorted(dealt)
+            for b in keys:
+                top, rest = dealt[b][0], sorted(dealt[b][1], key=words.__getitem__)
+                fresh[rest] = at + np.arange(len(rest))
+                own = [words[often[n]] for n in top] + [words[i] for i in rest]
+                head = np.array([len(top), len(rest), at], "<u4").tobytes() + _pack(np.array(top))
+                payloads.append(zip_.compress(head + _pack(np.array([len(w) for w in own])) + b"".join(own)))
+                at += len(rest)
+            yield out(name, WORDS, keys, None, payloads)
+            for rows, docs in waiting:
+                yield out(name, DOCUMENT, [len(words)] * len(docs), rows, [zip_.compress(_pack(fresh[d])) for d in docs])
+
+        waiting: list[tuple] = []
         for batch in pieces(batches, "text", 2 << 20):
             kind = batch.column(0).type
-            payloads = []
+            docs = []
             for text in batch.column(1).to_pylist():
                 found = find(text or "")
-                payloads.append(zip_.compress(_pack(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))))
+                docs.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 held += len(text or "")
-            yield out(f"{part}-{k}", DOCUMENT, [-1] * len(payloads), batch.column(0), payloads)
+                mark.update(b"%d " % len(found) + (text or "").encode())
+            waiting.append((batch.column(0), docs))
             if held >= block:
-                yield from words(f"{part}-{k}")
+                yield from close(mark.hexdigest())
                 number.clear()
-                k, held = k + 1, 0
-        if number:
-            yield from words(f"{part}-{k}")
+                waiting.clear()
+                held, mark = 0, blake2b(digest_size=16)
+        if waiting:
+            yield from close(mark.hexdigest())
 
     return run
 
@@ -120,9 +143,9 @@ def _encoder(pattern: str, table):
                     known.clear()
                     bucket = buckets[i]
                 data = unzip.decompress(payloads[i])
-                n = int.from_bytes(data[:4], "little")
-                ends = np.cumsum(_unpack(data[4 + 4 * n:4 + 8 * n])).tolist()
-                at, ids, counts = 4 + 8 * n, [], []
+                head, n = _head(data)
+                ends = np.cumsum(_unpack(data[head:head + 4 * n])).tolist()
+                at, ids, counts = head + 4 * n, [], []
                 start = at
                 for end in ends:
                     word = data[start:at + end]
@@ -132,7 +155,7 @@ def _encoder(pattern: str, table):
                         own = known[word] = encode(word.decode())
                     ids += own
                     counts.append(len(own))
-                payloads[i] = zip_.compress(data[:4 + 4 * n] + _pack(np.array(counts)) + _pack(np.array(ids)))
+                payloads[i] = zip_.compress(data[:head] + _pack(np.array(counts)) + _pack(np.array(ids)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(payloads, pa.binary())], names=batch.schema.names)
 
     return run
@@ -146,17 +169,21 @@ def _joiner(table):
         decode = Decoder(table.value)
         block, parts, lookup = None, [], None
         for batch in batches:
-            blocks, kinds, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4)
+            blocks, kinds, sizes, payloads = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             rows, ids, texts, held = [], [], [], 0
             for i, kind in enumerate(kinds):
                 if blocks[i] != block:
                     block, parts, lookup = blocks[i], [], None
-                data = unzip.decompress(payloads[i].as_py())
+                data = unzip.decompress(payloads[i])
                 if kind == WORDS:
-                    n = int.from_bytes(data[:4], "little")
-                    parts.append((_unpack(data[4:4 + 4 * n]), _unpack(data[4 + 4 * n:4 + 8 * n]), _unpack(data[4 + 8 * n:])))
+                    head, n = _head(data)
+                    _, rest, at = np.frombuffer(data[:12], "<u4").tolist()
+                    places = np.concatenate([_unpack(data[12:head]), at + np.arange(rest)])
+                    parts.append((places, _unpack(data[head:head + 4 * n]), _unpack(data[head + 4 * n:])))
                     continue
                 lookup = lookup or _table(parts)
+                if len(lookup[0]) != sizes[i]:
+                    raise ValueError(f"block {block} was numbered twice in different ways")
                 own = _gather(_unpack(data), *lookup)
                 rows.append(i)
                 ids.append(own)
@@ -222,10 +249,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
         T.StructField("row", rows.schema["row"].dataType), T.StructField("payload", T.BinaryType()),
     ])
     cut = rows.mapInArrow(_cutter(pattern, 4 * parts, block), schema)
-    # words by their bucket, documents evenly
-    place = F.when(F.col("kind") == WORDS, F.xxhash64("bucket")).otherwise(F.xxhash64("block", F.crc32("payload")))
-    encoded = cut.repartition(place).sortWithinPartitions("bucket").mapInArrow(_encoder(pattern, table), schema)
-    joined = encoded.repartition("block").sortWithinPartitions("block", "kind")
+    # documents go to their block only; pre-tokens are cut once for them and once for the words, which costs less than a
+    # second shuffle of the documents.  A document says how many words its block has, so a change between both is found.
+    words = cut.filter(F.col("kind") == WORDS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(pattern, table), schema)
+    joined = words.union(cut.filter(F.col("kind") == DOCUMENT)).repartition("block").sortWithinPartitions("block", "kind")
     return joined.mapInArrow(_joiner(table), T.StructType([schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
 
 

@@ -87,7 +87,7 @@ def tokenizer() -> tuple[str, str]:
 @query("op5_distinct_word_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = tokenizer()
-    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary, pattern)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op6_karmarkar_karp_shards")
