@@ -15,6 +15,7 @@ are balanced around it; repeated rows each count and stay together; an empty tab
 from __future__ import annotations
 
 import heapq
+import random
 from collections.abc import Sequence
 
 import pandas as pd
@@ -30,7 +31,7 @@ PER_TASK = 50_000
 PER_CHUNK = 1 << 17
 
 
-def difference(sizes: Sequence[int], start: Sequence[float], shards: int = SHARDS) -> list[int]:
+def difference(sizes: Sequence[int], start: Sequence[float], shards: int = SHARDS, seed: str = "") -> list[int]:
     """A shard for each size, by differencing.  ``start`` is a first partial partition whose places are the shards."""
     lines: list[list] = []  # (sum, members) in falling order; members is a tree of indices
     heap: list[tuple[float, int, int]] = []
@@ -41,7 +42,10 @@ def difference(sizes: Sequence[int], start: Sequence[float], shards: int = SHARD
         lines.append([(s - low, m) for s, m in parts])
         heapq.heappush(heap, (low - parts[0][0], len(lines) - 1, 0))
 
-    put([(float(s), ("shard", i)) for i, s in enumerate(start)])
+    # shards that start alike take turns, or what tasks leave over would add up in the same ones
+    first = [(float(s), ("shard", i)) for i, s in enumerate(start)]
+    random.Random(f"{seed}:{len(sizes)}:{sum(sizes)}").shuffle(first)
+    put(first)
     for i, size in enumerate(sizes):
         put([(float(size), ("one", i))] + [(0.0, None)] * (shards - 1))
     while len(heap) > 1:
@@ -86,7 +90,7 @@ def _dealer(over: list[float], shards: int):
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
         mine = int(frame["bytes"].sum())
-        shard = difference(frame["bytes"].tolist(), [x * mine for x in over], shards)
+        shard = difference(frame["bytes"].tolist(), [x * mine for x in over], shards, bytes(frame["key"].iloc[0]).hex())
         return pd.DataFrame({"key": frame["key"], "shard": pd.array(shard, dtype="int32"), "bytes": frame["bytes"]})
 
     return deal
