@@ -23,9 +23,10 @@ HEADLINE = [
     # extract and normalise
     "page_tokens", "heading_sections", "link_records", "clean_text", "count_fallback", "text_sections", "parse_dates",
     "labelled_fields", "ocr_text_records", "reading_order", "section_state",
+    "layout_extract", "contains_join", "zip_lists", "image_of_record",
     # quality and load
     "crosscheck_warnings", "review_gate", "envelope_explode", "latest_snapshot", "batch_last_wins", "upsert_merge", "mark_removed",
-    "unique_names", "snapshot_diff", "reconcile_counts",
+    "unique_names", "unique_names_contested", "first_seen", "snapshot_diff", "reconcile_counts",
 ]
 
 

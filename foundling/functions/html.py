@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import alternation, col, collapse_spaces, let, strip_tags
+from .text import ALL, alternation, col, collapse_spaces, let, strip_tags
 
 MARK = "\x01"
 TOKEN = r"<[^>]+>|[^<]+"
@@ -59,7 +59,7 @@ def _open(tags: str) -> str:
 def elements(html: str | Column, tags: str, outer: bool = False) -> Column:
     """Inner (or outer) text of each element named in ``tags`` (``td|th``),
     for elements that do not contain their own kind."""
-    pieces = F.slice(split_before(html, _open(tags)), 2, 1_000_000_000)
+    pieces = F.slice(split_before(html, _open(tags)), 2, ALL)
     if outer:
         return F.transform(pieces, lambda p: F.regexp_extract(p, rf"(?is)^.*?(?:</(?:{tags})>|$)", 0))
     return F.transform(pieces, lambda p: F.regexp_extract(p, rf"(?is)^<[^>]*>(.*?)(?:</(?:{tags})>|$)", 1))
@@ -177,7 +177,7 @@ def transpose(rows: str | Column) -> Column:
 
 def sections(html: str | Column, heading_tags: str = "h1|h2|h3|h4|h5|h6") -> Column:
     """Heading-bounded sections as ``array<struct<heading,body>>``."""
-    pieces = F.slice(split_before(html, _open(heading_tags)), 2, 1_000_000_000)
+    pieces = F.slice(split_before(html, _open(heading_tags)), 2, ALL)
     close = rf"</(?:{heading_tags})\s*>"
     return F.transform(
         pieces,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from . import classify, dates, dictionaries as D
-from .text import alternation, any_of, bracketed, col, half_width, let, lines, repair
+from .text import ALL, alternation, any_of, bracketed, col, half_width, let, lines, repair
 
 
 # ---- several animals in one entry -------------------------------------------------
@@ -73,7 +73,7 @@ def delimited_attributes(c: str | Column, sep: str = "、") -> Column:
     def fields(parts: Column) -> Column:
         of = lambda k: F.filter(parts, lambda p: kind(p) == k)
         first = lambda k, i=0: F.get(of(k), F.lit(i))
-        word, size_part, rest = first("gender"), first("size"), F.slice(of("free"), 3, 1_000_000)
+        word, size_part, rest = first("gender"), first("size"), F.slice(of("free"), 3, ALL)
         return F.struct(
             first("free").alias("breed"),
             F.get(of("age"), F.size(of("age")) - 1).alias("age"),
@@ -186,7 +186,7 @@ def segments(c: str | Column, id_pattern: str) -> Column:
     before the first id line is no record."""
     mark = "\x01"
     cut = F.split(F.regexp_replace(col(c), f"(?m)^({id_pattern})", mark + "$1"), mark)
-    pieces = F.slice(cut, 2, 1_000_000_000)
+    pieces = F.slice(cut, 2, ALL)
     return F.transform(
         pieces,
         lambda p, i: F.struct(
@@ -211,7 +211,7 @@ def labelled_sections(c: str | Column, labels: Sequence[str] = ("推定年齢",
     out = F.array().cast("array<string>")
     for label in reversed(list(labels)):
         cut = F.split(F.regexp_replace(c, f"(?m)^\\s*({label})", "\x01$1"), "\x01")
-        out = F.when(F.size(cut) > 1, F.slice(cut, 2, 1_000_000_000)).otherwise(out)
+        out = F.when(F.size(cut) > 1, F.slice(cut, 2, ALL)).otherwise(out)
     return out
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, functions as F
 
 from . import dictionaries as D
 
+#: As many elements as an array can have.
+ALL = 2**31 - 16
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

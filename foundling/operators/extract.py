@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, html as H, urls
 from ..functions.records import keyword_sections
-from ..functions.text import all_contexts, alternation, first_in_text, half_width, let, preview, slug, strip_code
+from ..functions.text import ALL, all_contexts, alternation, first_in_text, half_width, let, preview, slug, strip_code
 from ..functions import dictionaries as D
 from ..sources.layouts import FIELDS
 
@@ -35,7 +35,7 @@ def pieces(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: s
         F.call_function("regexp_extract", F.col(body), F.concat(F.lit("(?s)"), "area_start", F.lit("(.*?)"), "area_end"), F.lit(1)),
     ).otherwise(F.col(body))
     marked = F.regexp_replace(scoped, F.concat(F.lit("("), F.col("record_start"), F.lit(")")), F.lit(MARK + "$1"))
-    cut = F.slice(F.split(marked, MARK), 2, 1_000_000_000)
+    cut = F.slice(F.split(marked, MARK), 2, ALL)
     kept = [c for c in joined.columns if c != body]
     return joined.select(*kept, F.posexplode(cut).alias("record_no", "piece"))
 
@@ -83,7 +83,7 @@ def raw_records(pages: DataFrame, layouts: DataFrame, body: str = "html", facili
     )
 
     def read(r: Column) -> Column:
-        found = F.when(id_rule.startswith("html:"), _capture(r["piece"], F.substring(id_rule, 6, 10_000))).otherwise(
+        found = F.when(id_rule.startswith("html:"), _capture(r["piece"], F.substring(id_rule, F.lit(6), F.length(id_rule)))).otherwise(
             _capture(r["text"], id_rule)
         )
         values = F.transform_values("rules", lambda _, rule: _field(rule, r, F.col("shape")))

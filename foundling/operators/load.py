@@ -218,7 +218,7 @@ def preferred(df: DataFrame, keys: Sequence[str], prefer: Column, position: Sequ
 
 # ---- unique names --------------------------------------------------------------------
 
-SUFFIX = r"^(.*)-([1-9][0-9]{0,8})$"
+SUFFIX = r"^(.*)-([1-9][0-9]{0,17})$"
 
 
 def unique_names(

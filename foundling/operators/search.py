@@ -160,13 +160,13 @@ def page_index(total: str | Column, size: int = 20) -> Column:
     return F.ceil(t / F.lit(size)).cast("bigint")
 
 
-def urgent(detail: DataFrame, as_of: Column, limit: int = 10, key: str = "listing_id", cap: int = 50) -> DataFrame:
-    """Nearest deadlines that have not passed, available listings only."""
+def urgent(detail: DataFrame, as_of: Column, limit: int = 10, key: str = "listing_id", cap: int | None = None) -> DataFrame:
+    """Nearest deadlines that have not passed, available listings only; ``cap`` is the most that a caller allows."""
     today = as_of.cast("date")
     return (
         detail.filter((F.col("status") == "available") & (F.col("deadline_date") >= today))
         .orderBy(F.col("deadline_date").asc(), F.col(key).asc())
-        .limit(min(limit, cap))
+        .limit(limit if cap is None else min(limit, cap))
     )
 
 

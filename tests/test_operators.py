@@ -258,3 +258,24 @@ def test_mark_without_state_keeps_all(spark):
     none = spark.createDataFrame([], "mark int")
     assert N.since_mark(rows, none, "posted", "mark").count() == 2
     assert N.since_mark(rows, spark.createDataFrame([(9,)], "mark int"), "posted", "mark").count() == 1
+
+
+def test_urgent_gives_as_many_as_asked(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from foundling.operators import search
+
+    rows = spark.range(200).select(F.col("id").alias("listing_id"), F.lit("available").alias("status"), F.lit(date(2030, 1, 1)).alias("deadline_date"))
+    as_of = F.lit("2029-12-31").cast("timestamp")
+    assert search.urgent(rows, as_of, limit=120).count() == 120
+    assert search.urgent(rows, as_of, limit=120, cap=50).count() == 50
+
+
+def test_suffixes_of_many_digits_are_contested():
+    import re
+
+    from foundling.operators.load import SUFFIX
+
+    assert re.match(SUFFIX, "x-12345678901234").group(2) == "12345678901234"
