@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foundling.llm import bpe, mixing, simhash, substrings, toxicity
+from foundling.llm import bpe, mixing, near, substrings, toxicity
 from foundling.llm.common import read, text_key
 from foundling.llm.queries import tokenizer
 from foundling.session import shared_dir
@@ -18,10 +18,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id, then fingerprint and text digest; a row of it."""
+def alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: that with the smallest id, then text digest; a row of it."""
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    chosen = simhash.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "fp", "row.mark")).alias("m")).select(
+    chosen = near.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select(
         F.col("m.doc_id").alias("_id"), F.col("m.mark").alias("_mark"),
     )
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")))
@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded).select("row.doc_id", "row.source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("toxicity", toxic), ("simhash_near_dedup", near), ("suffix_array_dedup", passages), ("mixing", mixture), ("bpe", tokens)]
+STAGES = [("toxicity", toxic), ("simhash_near_dedup", alike), ("suffix_array_dedup", passages), ("mixing", mixture), ("bpe", tokens)]
 
 #: A fitted classifier and shared passages can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

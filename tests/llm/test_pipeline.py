@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foundling.llm import simhash
+from foundling.llm import near
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         if name == "simhash_near_dedup":
-            groups = simhash.classes(before).select("root").distinct().count()
+            groups = near.classes(before).select("root").distinct().count()
             assert docs.count() == groups and docs.filter("doc_id IS NULL").count() == 1
         if name == "suffix_array_dedup":
             assert docs.count() == before.count()
