@@ -6,9 +6,10 @@ wiped out in turn, and one of its five-word shingles, whose differing bits are v
 differ in a share arccos(2 s / (1 + s)) / pi of the second; ``APART`` of its ``LONGS * 64`` bits stand for s = 0.8 and one
 standard error of the estimate.  A pair is a candidate if a segment differs by one bit at most.
 
-In a variant of more than ``CROWD`` texts all meet the smallest of them only.  Texts of such a variant that are then not in
-one component are compared for themselves: those outside its largest component with all of the others.  So no candidate is
-lost, and the copies of a large group are never paired with each other.
+Of the variants of more than ``CROWD`` texts, a text first meets one text only: the smallest of all of them.  Texts outside
+the largest component of such a variant then meet that component's smallest text, and those still outside are compared with
+all of the variant's texts in other components.  So no candidate is lost, and the copies of a large group are never paired
+with each other.
 
 Defined results: null is an empty text; texts without words are alike; texts shorter than a shingle are one shingle;
 repeated rows fall into one component; an empty table gives no rows; extra columns pass through the struct ``row``.
@@ -113,6 +114,28 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node") -> DataFrame:
     return rows.join(found, node, "left").withColumn("root", F.coalesce("_root", node)).drop("_root")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after further links between nodes."""
+    ends = _rooted(_rooted(links, roots, "a").withColumnRenamed("root", "ra"), roots, "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
+    later = stars(ends)
+    again = later.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    moved = roots.join(again, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    # a root that now hangs on another one had no row
+    return freeze(moved.union(later.join(roots, "node", "left_anti").select("node", "root")))
+
+
+def _open(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of variants whose texts are in several components, with the largest of these and its smallest node."""
+    entries = _rooted(crowded.select("key", "node"), roots)
+    parts = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root", "centre")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return freeze(entries.join(mixed.select("key", F.col("m.root").alias("main"), F.col("m.centre").alias("centre")), "key"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def components(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``node``, ``root`` for the nodes that have a link."""
     index = _variants(marks)
@@ -120,22 +143,16 @@ def components(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = freeze(index.join(sizes, "key"))
     few = shared.filter(F.col("n") <= crowd).select("key", F.col("node").alias("a"))
     pairs = few.join(few.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
-    centred = shared.filter((F.col("n") > crowd) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    first = stars(_verified(pairs.union(centred), marks))
-    # crowded variants whose texts are still in several components
-    crowded = _rooted(shared.filter(F.col("n") > crowd).select("key", "node"), first)
-    parts = crowded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "main")
-    open_ = freeze(crowded.join(mixed, "key"))
+    crowded = shared.filter(F.col("n") > crowd)
+    centred = crowded.groupBy("node").agg(F.min("least").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
+    roots = stars(_verified(pairs.union(centred), marks))
+    # what is then not in a variant's largest component meets that component's smallest text, and at last all others
+    open_ = _open(crowded, roots)
+    roots = _joined(roots, _verified(open_.filter("root <> main").select(*_pair("node", "centre")), marks))
+    open_ = _open(open_, roots)
     outer = open_.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
     rest = outer.join(open_.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
-    late = _verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), marks)
-    ends = _rooted(_rooted(late, first, "a").withColumnRenamed("root", "ra"), first, "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
-    second = stars(ends)
-    again = second.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    moved = first.join(again, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    # a root of the first round that hangs on another one has no row there
-    return moved.union(second.join(first, "node", "left_anti").select("node", "root"))
+    return _joined(roots, _verified(rest.select(*_pair("x", "y")), marks))
 
 
 def classes(docs: DataFrame, *, text: str = "text", crowd: int = CROWD) -> DataFrame:
