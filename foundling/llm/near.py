@@ -6,7 +6,7 @@ wiped out in turn, and one of its five-word shingles, whose differing bits are v
 differ in a share arccos(2 s / (1 + s)) / pi of the second; ``APART`` of its ``LONGS * 64`` bits stand for s = 0.8 and one
 standard error of the estimate.  A pair is a candidate if a segment differs by one bit at most.
 
-Of the variants of more than ``CROWD`` texts, a text first meets one text only: the smallest of all of them.  Texts outside
+A variant of two texts is a candidate.  Of the variants of more than ``CROWD`` texts, a text first meets one text only: the smallest of all of them.  Texts outside
 the largest component of such a variant then meet that component's smallest text, and those still outside are compared with
 all of the variant's texts in other components.  So no candidate is lost, and the copies of a large group are never paired
 with each other.
@@ -30,7 +30,7 @@ from .components import stars
 SEGMENTS, WIDTH = 6, 25
 LONGS = 4
 APART = 44
-CROWD = 16
+CROWD = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _INDEXED = SEGMENTS // 2
 NAMES = [f"c{i}" for i in range(_INDEXED)] + [f"v{i}" for i in range(LONGS)]
@@ -99,13 +99,19 @@ def _variants(marks: DataFrame) -> DataFrame:
     return marks.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
+def _bits(marks: DataFrame, node: str, out: str) -> DataFrame:
+    return marks.select(F.col("node").alias(node), F.array(*(f"v{i}" for i in range(LONGS))).alias(out))
+
+
+def _apart(a: str, b: str) -> Column:
+    """Number of bits in which two five-word fingerprints differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LONGS)), F.lit(0))
+
+
 def _verified(candidates: DataFrame, marks: DataFrame) -> DataFrame:
     """The candidates ``a``, ``b`` whose five-word fingerprints differ in ``APART`` bits at most."""
-    bits = [f"v{i}" for i in range(LONGS)]
-    one = marks.select(F.col("node").alias("a"), F.array(*bits).alias("va"))
-    two = marks.select(F.col("node").alias("b"), F.array(*bits).alias("vb"))
-    apart: Column = sum((F.bit_count(F.col("va")[i].bitwiseXOR(F.col("vb")[i])) for i in range(LONGS)), F.lit(0))
-    return candidates.distinct().join(one, "a").join(two, "b").filter(apart <= APART).select("a", "b")
+    both = candidates.distinct().join(_bits(marks, "a", "va"), "a").join(_bits(marks, "b", "vb"), "b")
+    return both.filter(_apart("va", "vb") <= APART).select("a", "b")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node") -> DataFrame:
@@ -150,9 +156,12 @@ def components(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
     open_ = _open(crowded, roots)
     roots = _joined(roots, _verified(open_.filter("root <> main").select(*_pair("node", "centre")), marks))
     open_ = _open(open_, roots)
-    outer = open_.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    rest = outer.join(open_.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
-    return _joined(roots, _verified(rest.select(*_pair("x", "y")), marks))
+    known = open_.join(_bits(marks, "node", "v"), "node")
+    outer = known.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("v").alias("vx"))
+    other = known.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("v").alias("vy"))
+    # verified where they meet, so that only links become rows
+    late = outer.join(other, "key").filter((F.col("rx") != F.col("ry")) & (_apart("vx", "vy") <= APART)).select(*_pair("x", "y"))
+    return _joined(roots, late.distinct())
 
 
 def classes(docs: DataFrame, *, text: str = "text", crowd: int = CROWD) -> DataFrame:
