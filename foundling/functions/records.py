@@ -263,6 +263,18 @@ def _character(squeezed: Column) -> Column:
     )
 
 
+# fixed values: sentences on character that do not end in 性格です
+MANNER = [
+    r"([ぁ-ん]+(?:ん坊|的|気味)(?:で|な|、)[^\n。]+(?:です|ます))",
+    r"((?:怖がり|慎重|活発|おっとり|人なつっこい)[^\n。]+(?:です|ます))",
+]
+
+
+def _manner(squeezed: Column) -> Column:
+    """A sentence that tells a character in other words."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(squeezed, p, 1), F.lit("")) for p in MANNER))
+
+
 def recognised(c: str | Column, layout: str) -> Column:
     """A listing from recognised text.  Recognition puts spaces between signs
     and confuses some of them: both are undone first, then one of three layouts
@@ -310,9 +322,12 @@ def _layout_fields(raw: Column, squeezed: Column, layout: str) -> Column:
         fields = {
             "inquiry_number": F.nullif(F.translate(number, "O", "0"), F.lit("")),
             "animal_type": F.lit("cat"), "breed": none, "color": none,
-            "gender": F.when(squeezed.contains("オス"), "male").when(squeezed.contains("メス"), "female").otherwise("unknown"),
+            # the operation names the animal itself, other words may speak of its company
+            "gender": F.when(squeezed.contains("去勢手術済オス"), "male").when(squeezed.rlike("(?:去勢|避妊)手術済メス"), "female")
+            .when(squeezed.contains("避妊手術済オス"), "male")
+            .when(squeezed.contains("オス"), "male").when(squeezed.contains("メス"), "female").otherwise("unknown"),
             "age_estimate": F.when(years != "", F.concat(years, F.lit("歳"))),
-            "health_status": health, "personality": _character(squeezed), "special_needs": needs,
+            "health_status": health, "personality": F.coalesce(_character(squeezed), _manner(squeezed)), "special_needs": needs,
         }
     elif layout == "slashed":
         estimated = F.regexp_extract(squeezed, r"(?:推定|約)([0-9]+)歳", 1)

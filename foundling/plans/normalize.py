@@ -608,7 +608,8 @@ SELECT p_partkey, 'labelled' AS layout, CAST(1000 + p_partkey % 9000 AS VARCHAR)
   replace(p_brand, ' ', '') AS color, CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END AS gender, p_size || 'ヵ月' AS age_estimate,
   '猫エイズ検査:陰性' AS health_status, '活発です' AS personality FROM part
 UNION ALL SELECT p_partkey, 'prose', '10' || (p_partkey % 10), 'cat', NULL, NULL, CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END,
-  p_size || '歳', CASE WHEN p_size % 2 = 0 THEN '避妊手術済' ELSE '去勢手術済' END || '、ワクチン接種済', '甘えん坊で活発な性格です' FROM part
+  p_size || '歳', CASE WHEN p_size % 2 = 0 THEN '避妊手術済' ELSE '去勢手術済' END || '、ワクチン接種済',
+  CASE WHEN p_size % 3 = 0 THEN '怖がりで静かな子です' ELSE '甘えん坊で活発な性格です' END FROM part
 UNION ALL SELECT p_partkey, 'slashed', NULL, 'cat', p_brand, p_type, CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END,
   '推定' || p_size || '歳', CASE WHEN p_size % 2 = 0 THEN '避妊手術済' ELSE '去勢手術済' END || '、FIV/FeLV陰性', NULL FROM part""")
 def ocr_text_records(s, d):
@@ -616,8 +617,8 @@ def ocr_text_records(s, d):
     written = {
         "labelled": say("お 問 合 せ ", c("p_partkey") % 9000 + 1000, "\n猫 種: ", c("p_type"), "。\n毛 色: ", c("p_brand"), "\n性 別: ",
                         F.when(even, "メメス").otherwise("オス"), "\n年 齢: ", n, " カ月\n猫エイズ検査: 誰性\n性 格: 活発 です\n"),
-        "prose": say("お 問 合 せ 番 号 一 1O", c("p_partkey") % 10, "\n推 定 ", n, " 歳 ", F.when(even, "避 妊 手 術 済 メ ス").otherwise("去 勢 手 術 済 オ ス"),
-                     "\n混 合 ワクチン\nとても甘えん坊で 活発な 性 格 で す。"),
+        "prose": say("お 問 合 せ 番 号 一 1O", c("p_partkey") % 10, "\n推 定 ", n, " 歳 ", F.when(even, "避 妊 手 術 済 メ ス、オス猫は苦手").otherwise("去 勢 手 術 済 オ ス"),
+                     "\n混 合 ワクチン\n", F.when(n % 3 == 0, "怖が り で静かな 子 で す。").otherwise("とても甘えん坊で 活発な 性 格 で す。")),
         "slashed": say("名前 ", c("p_brand"), " / ", F.when(even, "女 の 子 (部妊済)").otherwise("男の子 (去勢済)"), " / 准定 ", n, " 歳 / ", c("p_type"),
                        " FIV / FeLV 陰 性"),
     }
