@@ -6,10 +6,11 @@ wiped out in turn, and one of its five-word shingles, whose differing bits are v
 differ in a share arccos(2 s / (1 + s)) / pi of the second; ``APART`` of its ``LONGS * 64`` bits stand for s = 0.8 and one
 standard error of the estimate.  A pair is a candidate if a segment differs by one bit at most.
 
-A variant of two texts is a candidate.  Of the variants of more than ``CROWD`` texts, a text first meets one text only: the smallest of all of them.  Texts outside
-the largest component of such a variant then meet that component's smallest text, and those still outside are compared with
-all of the variant's texts in other components.  So no candidate is lost, and the copies of a large group are never paired
-with each other.
+A value of a segment is a cell.  One wiped bit leaves room for two cells, so the variants of the distinct cells give the cells that are one
+bit apart, each pair once, whatever number of texts a cell holds.  Texts first meet the smallest text of their cell, and
+these the smallest of the neighbouring cells.  Texts outside the largest component of a cell and its neighbour then meet the
+other cell's largest component in one text, and those still outside are compared with all texts there in other components.
+So no candidate is lost, and the copies of a large group are never paired with each other nor written once per wiped bit.
 
 Defined results: null is an empty text; texts without words are alike; texts shorter than a shingle are one shingle;
 repeated rows fall into one component; an empty table gives no rows; extra columns pass through the struct ``row``.
@@ -30,7 +31,6 @@ from .components import stars
 SEGMENTS, WIDTH = 6, 25
 LONGS = 4
 APART = 44
-CROWD = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _INDEXED = SEGMENTS // 2
 NAMES = [f"c{i}" for i in range(_INDEXED)] + [f"v{i}" for i in range(LONGS)]
@@ -89,14 +89,21 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return rows.mapInArrow(_fingerprints, schema).withColumn("node", F.xxhash64(*NAMES))
 
 
-def _variants(marks: DataFrame) -> DataFrame:
-    """``key``, ``node``: for each segment and bit the segment without that bit."""
-    segment = [F.shiftrightunsigned(f"c{s // 2}", WIDTH * (s % 2)).bitwiseAND(F.lit((1 << WIDTH) - 1)) for s in range(SEGMENTS)]
-    keys = [
-        segment[s].bitwiseAND(F.lit(((1 << WIDTH) - 1) ^ (1 << b))).bitwiseOR(F.lit((s * WIDTH + b) << WIDTH))
-        for s in range(SEGMENTS) for b in range(WIDTH)
+def _cells(marks: DataFrame) -> DataFrame:
+    """``node``, ``cell``: the value of each segment, with the segment's number above it."""
+    cells = [
+        F.shiftrightunsigned(f"c{s // 2}", WIDTH * (s % 2)).bitwiseAND(F.lit((1 << WIDTH) - 1)).bitwiseOR(F.lit(s << WIDTH)) for s in range(SEGMENTS)
     ]
-    return marks.select("node", F.explode(F.array(*keys)).alias("key"))
+    return marks.select("node", F.explode(F.array(*cells)).alias("cell"))
+
+
+def _neighbours(cells: DataFrame) -> DataFrame:
+    """``u`` < ``v``: the distinct cells that have a variant in common, so differ in one bit."""
+    wiped = [F.col("cell").bitwiseAND(F.lit(~(1 << b))).bitwiseOR(F.lit(b << 32)) for b in range(WIDTH)]
+    # cells are distinct, so a variant of two rows has its bit once clear and once set
+    met = cells.select(F.explode(F.array(*wiped)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    clear = met.select("key", F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("u"))
+    return clear.select("u", (F.col("u") + F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("key", 32).cast("int"))).alias("v"))
 
 
 def _bits(marks: DataFrame, node: str, out: str) -> DataFrame:
@@ -110,7 +117,7 @@ def _apart(a: str, b: str) -> Column:
 
 def _verified(candidates: DataFrame, marks: DataFrame) -> DataFrame:
     """The candidates ``a``, ``b`` whose five-word fingerprints differ in ``APART`` bits at most."""
-    both = candidates.distinct().join(_bits(marks, "a", "va"), "a").join(_bits(marks, "b", "vb"), "b")
+    both = candidates.join(_bits(marks, "a", "va"), "a").join(_bits(marks, "b", "vb"), "b")
     return both.filter(_apart("va", "vb") <= APART).select("a", "b")
 
 
@@ -130,42 +137,48 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return freeze(moved.union(later.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def _open(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries of variants whose texts are in several components, with the largest of these and its smallest node."""
-    entries = _rooted(crowded.select("key", "node"), roots)
-    parts = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root", "centre")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    return freeze(entries.join(mixed.select("key", F.col("m.root").alias("main"), F.col("m.centre").alias("centre")), "key"))
-
-
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def components(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
+def _outside(members: DataFrame, pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their roots, and ``x``, ``rx``, ``cell``, ``centre``, ``rc``: the texts outside the largest component of a cell and
+    a neighbour, with the other cell and its largest component and smallest text of that."""
+    rooted = freeze(_rooted(members, roots))
+    parts = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
+    cells = freeze(parts.groupBy("cell").agg(F.max(F.struct("n", "root", "centre")).alias("m"), F.count(F.lit(1)).alias("roots")))
+    u, v = (cells.select(F.col("cell").alias(x), F.col("m").alias(f"m{x}"), F.col("roots").alias(f"r{x}")) for x in "uv")
+    # a pair is left alone once one component holds both cells
+    open_ = pairs.join(u, "u").join(v, "v").filter("ru > 1 OR rv > 1 OR mu.root <> mv.root").withColumn("main", F.greatest("mu", "mv")["root"])
+    sides = [F.struct(F.col(x).alias("own"), F.col(y).alias("cell"), F.col(f"m{y}").alias("m"), F.col("main").alias("main")) for x, y in ("uv", "vu")]
+    within = cells.filter("roots > 1").select(F.col("cell").alias("own"), "cell", "m", F.col("m.root").alias("main"))
+    todo = open_.select(F.explode(F.array(*sides)).alias("s")).select("s.*").union(within)
+    mine = rooted.select(F.col("cell").alias("own"), F.col("node").alias("x"), F.col("root").alias("rx"))
+    met = mine.join(todo, (mine["own"] == todo["own"]) & (F.col("rx") != F.col("main")))
+    return rooted, met.select("x", "rx", "cell", F.col("m.centre").alias("centre"), F.col("m.root").alias("rc"))
+
+
+def components(marks: DataFrame) -> DataFrame:
     """``node``, ``root`` for the nodes that have a link."""
-    index = _variants(marks)
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    shared = freeze(index.join(sizes, "key"))
-    few = shared.filter(F.col("n") <= crowd).select("key", F.col("node").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
-    crowded = shared.filter(F.col("n") > crowd)
-    centred = crowded.groupBy("node").agg(F.min("least").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
-    roots = stars(_verified(pairs.union(centred), marks))
-    # what is then not in a variant's largest component meets that component's smallest text, and at last all others
-    open_ = _open(crowded, roots)
-    roots = _joined(roots, _verified(open_.filter("root <> main").select(*_pair("node", "centre")), marks))
-    open_ = _open(open_, roots)
-    known = open_.join(_bits(marks, "node", "v"), "node")
-    outer = known.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("v").alias("vx"))
-    other = known.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("v").alias("vy"))
+    index = freeze(_cells(marks))
+    cells = freeze(index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")))
+    pairs = freeze(_neighbours(cells.select("cell")))
+    least = cells.select("cell", "least")
+    members = freeze(index.join(least, "cell"))
+    same = members.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    u, v = (least.toDF(x, f"n{x}") for x in "uv")
+    beside = pairs.join(u, "u").join(v, "v").filter("nu <> nv").select(F.least("nu", "nv").alias("a"), F.greatest("nu", "nv").alias("b"))
+    roots = stars(_verified(same.union(beside), marks))
+    _, outside = _outside(members.drop("least"), pairs, roots)
+    centred = outside.filter("rx <> rc").select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b"))
+    roots = _joined(roots, _verified(centred, marks))
+    rooted, outside = _outside(members.drop("least"), pairs, roots)
+    outer = freeze(outside.select("x", "rx", "cell")).join(_bits(marks, "x", "vx"), "x")
+    there = rooted.join(outer.select("cell").distinct(), "cell", "left_semi").join(_bits(marks, "node", "vy"), "node")
     # verified where they meet, so that only links become rows
-    late = outer.join(other, "key").filter((F.col("rx") != F.col("ry")) & (_apart("vx", "vy") <= APART)).select(*_pair("x", "y"))
-    return _joined(roots, late.distinct())
+    other = there.select("cell", F.col("node").alias("y"), F.col("root").alias("ry"), "vy")
+    met = outer.join(other, "cell").filter((F.col("rx") != F.col("ry")) & (_apart("vx", "vy") <= APART))
+    return _joined(roots, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def classes(docs: DataFrame, *, text: str = "text", crowd: int = CROWD) -> DataFrame:
+def classes(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Each row's other columns as ``row``, with ``node`` and ``root``, the node that stands for its component."""
     rows = freeze(fingerprints(docs, text=text))
     marks = rows.select("node", *NAMES).dropDuplicates(["node"])
-    return _rooted(rows.select("row", "node"), components(marks, crowd))
+    return _rooted(rows.select("row", "node"), components(marks))

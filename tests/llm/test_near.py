@@ -1,5 +1,6 @@
 """Near copies by similarity against brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -16,8 +17,7 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("crowd", [2, 16])
-def test_near_copies_meet_and_others_do_not(spark, crowd):
+def test_near_copies_meet_and_others_do_not(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     texts, family = [], []
@@ -30,30 +30,53 @@ def test_near_copies_meet_and_others_do_not(spark, crowd):
             family.append(f)
     assert all(similarity(a, b) > 0.8 for a, b in zip(texts, texts[1:]) if family[texts.index(a)] == family[texts.index(b)])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.root for r in near.classes(docs, crowd=crowd).select("row.doc_id", "root").collect()}
+    got = {r.doc_id: r.root for r in near.classes(docs).select("row.doc_id", "root").collect()}
     for i, f in enumerate(family):
         for j, g in enumerate(family):
             assert (got[i] == got[j]) == (f == g)
 
 
-def test_crowded_variants_give_the_same_classes(spark):
+def by_all_pairs(texts):
+    """The components of all pairs with a segment of one differing bit at most and close enough fingerprints."""
+    marks = [[int(v) & (1 << 64) - 1 for v in near.fingerprint(t.encode())] for t in texts]
+
+    def segments(m):
+        return [m[s // 2] >> near.WIDTH * (s % 2) & (1 << near.WIDTH) - 1 for s in range(near.SEGMENTS)]
+
+    own = [segments(m) for m in marks]
+    indexed = len(marks[0]) - near.LONGS
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if any((x ^ y).bit_count() <= 1 for x, y in zip(own[i], own[j])):
+            if sum((x ^ y).bit_count() for x, y in zip(marks[i][indexed:], marks[j][indexed:])) <= near.APART:
+                root[top(j)] = top(i)
+    sets = {}
+    for i in range(len(texts)):
+        sets.setdefault(top(i), set()).add(i)
+    return sorted(map(sorted, sets.values()))
+
+
+@pytest.mark.parametrize("steps", [[1, 4, 9], [9, 14, 20], [12, 30]])
+def test_crowded_cells_give_the_components_of_all_pairs(spark, steps):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
     texts, base = [], [rng.choice(words) for _ in range(120)]
-    for _ in range(60):
+    for _ in range(120):
         base = list(base)
-        for _ in range(rng.choice([1, 4, 9])):
+        for _ in range(rng.choice(steps)):
             base[rng.randrange(120)] = rng.choice(words)
         texts.append(" ".join(base))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-
-    def sets(crowd):
-        out = {}
-        for r in near.classes(docs, crowd=crowd).select("row.doc_id", "root").collect():
-            out.setdefault(r.root, set()).add(r.doc_id)
-        return sorted(map(sorted, out.values()))
-
-    assert sets(2) == sets(1000)
+    out = {}
+    for r in near.classes(docs).select("row.doc_id", "root").collect():
+        out.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, out.values())) == by_all_pairs(texts)
 
 
 def test_small_cases(spark):
