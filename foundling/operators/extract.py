@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import classify, html as H, urls
+from ..functions import classify, dates, html as H, urls
 from ..functions.records import keyword_sections
 from ..functions.text import ALL, all_contexts, alternation, first_in_text, half_width, let, preview, slug, strip_code
 from ..functions import dictionaries as D
@@ -34,10 +34,13 @@ def pieces(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: s
         F.col("area_start").isNotNull(),
         F.call_function("regexp_extract", F.col(body), F.concat(F.lit("(?s)"), "area_start", F.lit("(.*?)"), "area_end"), F.lit(1)),
     ).otherwise(F.col(body))
-    marked = F.regexp_replace(scoped, F.concat(F.lit("("), F.col("record_start"), F.lit(")")), F.lit(MARK + "$1"))
+    marked = F.regexp_replace(F.translate(scoped, MARK, ""), F.concat(F.lit("("), F.col("record_start"), F.lit(")")), F.lit(MARK + "$1"))
     cut = F.slice(F.split(marked, MARK), 2, ALL)
     kept = [c for c in joined.columns if c != body]
-    return joined.select(*kept, F.posexplode(cut).alias("record_no", "piece"))
+    cut = joined.select(*kept, F.posexplode(cut).alias("record_no", "piece"))
+    # what follows a row's end (the page's foot, after the last row) is not the record's
+    row = F.regexp_replace("piece", r"(?is)</(?:tr|table)\s*>.*", "")
+    return cut.withColumn("piece", F.when(F.col("row_record"), row).otherwise(F.col("piece")))
 
 
 def _entries(piece: Column, shape: Column) -> Column:
@@ -91,11 +94,11 @@ def raw_records(pages: DataFrame, layouts: DataFrame, body: str = "html", facili
 
     keep = [c for c in pages.columns if c != body]
     # the parts of a record are bound once; each field is then a reference
-    r = p.select(*keep, "record_no", "id_prefix", "id_slug", "species", "id_required", images.alias("images"), let(parts, read).alias("r"))
+    r = p.select(*keep, "record_no", "id_prefix", "id_slug", "species", "listing_type", "iso_dates", "id_required", images.alias("images"), let(parts, read).alias("r"))
     known = F.col("r.found_id").isNotNull() | ~F.col("id_required")
     fields = [F.col("r.values")[f].alias(f) for f in FIELDS]
     return r.filter(known).select(
-        *keep, "record_no", "id_prefix", "id_slug", "species", "r.found_id", "r.raw_text", *fields, "images"
+        *keep, "record_no", "id_prefix", "id_slug", "species", "listing_type", "iso_dates", "r.found_id", "r.raw_text", *fields, "images"
     )
 
 
@@ -105,8 +108,10 @@ def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility:
     found = F.when(F.col("id_slug"), slug("", "found_id")).otherwise(F.col("found_id"))
     own_id = F.coalesce(found, F.col("record_no").cast("string"))
     wording = F.coalesce(F.col("gender"), F.lit(""))
+    iso = {d: F.coalesce(F.when(F.col("iso_dates"), F.date_format(dates.parse_date(d), "yyyy-MM-dd")), F.col(d)) for d in ("protection_date", "deadline_date")}
     sized = classify.size(F.col("size"))
     return raw.withColumns({
+        **iso,
         "external_id": F.concat("id_prefix", own_id),
         "animal_type": F.coalesce("species", classify.species("raw_text")),
         "gender": classify.gender(wording),
@@ -115,7 +120,7 @@ def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility:
         "status": classify.extended_status("raw_text"),
         "needs_review": F.col("found_id").isNull(),
         "source_url": F.col(url),
-    }).drop("id_prefix", "id_slug", "species", "found_id")
+    }).drop("id_prefix", "id_slug", "species", "iso_dates", "found_id")
 
 
 def text_fallback(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
     "facility string, record_start string, area_start string, area_end string, shape string, id_pattern string, "
-    "id_prefix string, id_required boolean, id_slug boolean, species string, rules map<string,string>"
+    "id_prefix string, id_required boolean, id_slug boolean, row_record boolean, species string, listing_type string, iso_dates boolean, rules map<string,string>"
 )
 # fixed values: fields a layout can fill
 FIELDS = (
@@ -43,6 +43,9 @@ class Layout:
     (th/td), ``rows`` (two td), ``list`` (dt/dd), ``lines`` (``label：value``),
     ``run_on`` (labels inside running text) or ``none``.
 
+    A record that starts with a table row ends with it.  With ``iso_dates``
+    the dates that can be read become year-month-day, others stay as written.
+
     ``rules`` map a field to ``label:<words>``, ``cell:<number>``,
     ``text:<pattern with a group>`` or ``html:<pattern with a group>``.
     """
@@ -55,6 +58,8 @@ class Layout:
     id_required: bool = True
     id_slug: bool = False
     species: str | None = None
+    listing_type: str = "adoption"
+    iso_dates: bool = False
     rules: Mapping[str, str] = field(default_factory=dict)
     area: tuple[str, str] | None = None
 
@@ -117,7 +122,7 @@ CATALOGUE: list[Layout] = [
     ),
     Layout("saitama/saitama-city-cats", tag("tr"), id_prefix="saitama-city-", id_required=False, species="cat", rules={"name": "cell:0", "gender": "text:((?:去勢)?オス|(?:避妊)?メス)"}),
     Layout(
-        "saitama/saitama-pref-cats", tag("table"), "rows", r"管理番号\s*([0-9A-Za-z-]{6,})", species="cat",
+        "saitama/saitama-pref-cats", tag("table"), "rows", r"管理番号\s*([0-9A-Za-z-]{6,})", species="cat", listing_type="lost_pet",
         rules={"protection_date": "label:収容日", "color": "label:特徴|毛色", "special_needs": "label:収容場所|市"},
     ),
     # th/td pairs
@@ -146,7 +151,7 @@ CATALOGUE: list[Layout] = [
     ),
     # dt/dd pairs
     *_pair("fukui/fukui-pref", {"cats": {}, "dogs": {}}, record_start=classed("animal-item"), shape="list", id_pattern=r"管理番号[：:]\s*([A-Z0-9]+)", rules={"gender": "label:性別"}),
-    Layout("tokyo/tokyo-metro-cats", classed("topMainBox"), "list", r"([0-9]{2,}-?[0-9]+)", species="cat", rules={"protection_date": "label:収容日", "deadline_date": "label:収容期限"}),
+    Layout("tokyo/tokyo-metro-cats", classed("topMainBox"), "list", r"([0-9]{2,}-?[0-9]+)", species="cat", listing_type="lost_pet", iso_dates=True, rules={"protection_date": "label:収容日", "deadline_date": "label:収容期限"}),
     *_pair(
         "fukuoka/fukuoka-pref", {"cats": {}, "dogs": {}}, record_start=link("/animals/center-detail/"), shape="list", id_pattern=r"html:/animals/center-detail/([a-f0-9-]+)",
         id_prefix="fukuoka-pref-",
@@ -159,7 +164,7 @@ CATALOGUE: list[Layout] = [
     ),
     # blocks and cards
     *_pair(
-        "chiba/chiba-pref", {"cats": {"id_prefix": "chiba-pref-"}, "dogs": {"id_prefix": "chiba-pref-dog-"}}, record_start=classed("col2L"), shape="lines",
+        "chiba/chiba-pref", {"cats": {"id_prefix": "chiba-pref-"}, "dogs": {"id_prefix": "chiba-pref-dog-"}}, record_start=classed("col2L"), shape="lines", listing_type="lost_pet", iso_dates=True,
         id_pattern=r"【管理番号】\s*([^\s【]+)", rules={"deadline_date": "label:掲載期限", "special_needs": "label:収容場所", "gender": "text:(オス|メス)"},
     ),
     *_pair(
@@ -250,7 +255,7 @@ def catalogue(spark: SparkSession, layouts: Sequence[Layout] = tuple(CATALOGUE))
     """The layouts as a (small) table."""
     rows = [
         (x.facility, x.record_start, x.area[0] if x.area else None, x.area[1] if x.area else None, x.shape, x.id_pattern,
-         x.id_prefix, x.id_required, x.id_slug, x.species, dict(x.rules))
+         x.id_prefix, x.id_required, x.id_slug, x.record_start == tag("tr"), x.species, x.listing_type, x.iso_dates, dict(x.rules))
         for x in layouts
     ]
     return spark.createDataFrame(rows, SCHEMA)

@@ -14,7 +14,8 @@ ANIMAL = (
     "size:string,health_status:string,personality:string,special_needs:string,images:array<string>,protection_date:string,"
     "deadline_date:string,status:string,transfer_decided:boolean,listing_type:string,source_url:string,raw_text:string,"
     "needs_review:boolean,confidence_score:double,confidence_level:string,extraction_notes:array<string>,"
-    "extraction_error:boolean,error_message:string>"
+    "extraction_error:boolean,error_message:string,inquiry_number:string,protection_location:string,"
+    "extraction_method:string,container_html:string>"
 )
 META = (
     "struct<source_file:string,source_url:string,extracted_at:string,municipality:string,municipality_id:bigint,"

@@ -56,7 +56,7 @@ def test_facilities(found):
     ("osaka/osaka-city-cats", dict(external_id="C123", name="ムギ", breed="雑種", color="キジ白", gender="female", size="small")),
     ("toyama/toyama-pref-cats", dict(external_id="7002", name="アイ", gender="male", images=["https://s.jp/d/c.jpg"])),
     ("gunma/gunma-pref-dogs", dict(external_id="2025-F126", name="ポチ", gender="male", size="medium", age_estimate="8才齢（推定）", health_status="去勢済み")),
-    ("chiba/chiba-pref-cats", dict(external_id="chiba-pref-ch-12", gender="male", deadline_date="2025年2月1日", special_needs="柏市", images=[])),
+    ("chiba/chiba-pref-cats", dict(external_id="chiba-pref-ch-12", gender="male", deadline_date="2025-02-01", special_needs="柏市", images=[])),
     ("osaka/sakai-city-cats", dict(external_id="R7_1", images=["https://s.jp/i/R7_1.png"])),
 ])
 def test_record(found, facility, want):
@@ -72,3 +72,18 @@ def test_second_container_gets_a_fallback_id(found):
 def test_catalogue_has_each_facility_once():
     names = [x.facility for x in layouts.CATALOGUE]
     assert len(names) == len(set(names))
+
+
+def test_last_row_ends_before_the_foot_and_dates_are_iso(spark):
+    foot = '</table><p>譲渡しました</p><img src="/foot.jpg">'
+    pages = [
+        ("aichi/aichi-pref-cats", '<table><tr><td><img src="1.jpg"></td><td>管理No.1 推定2歳 メス</td></tr><tr><td>\x01管理No.2 オス</td></tr>' + foot),
+        ("chiba/chiba-pref-cats", "<div class='col2L'><p>【管理番号】ch-12</p><p>【掲載期限】2025年2月1日</p></div>"),
+    ]
+    rows = spark.createDataFrame([(f, h, "https://s.jp/d/i.html") for f, h in pages], "facility string, html string, url string")
+    a, b, c = extract.listings(rows, layouts.catalogue(spark)).orderBy("facility", "record_no").collect()
+    assert [(r.external_id, r.status, r.gender, r.listing_type) for r in (a, b)] == [
+        ("aichi-1", "available", "female", "adoption"), ("aichi-2", "available", "male", "adoption"),
+    ]
+    assert [x.rsplit("/", 1)[1] for x in a.images] == ["1.jpg"] and not b.images
+    assert (c.listing_type, c.deadline_date) == ("lost_pet", "2025-02-01")
