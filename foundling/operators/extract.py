@@ -37,10 +37,9 @@ def pieces(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: s
     marked = F.regexp_replace(F.translate(scoped, MARK, ""), F.concat(F.lit("("), F.col("record_start"), F.lit(")")), F.lit(MARK + "$1"))
     cut = F.slice(F.split(marked, MARK), 2, ALL)
     kept = [c for c in joined.columns if c != body]
-    cut = joined.select(*kept, F.posexplode(cut).alias("record_no", "piece"))
     # what follows a row's end (the page's foot, after the last row) is not the record's
-    row = F.regexp_replace("piece", r"(?is)</(?:tr|table)\s*>.*", "")
-    return cut.withColumn("piece", F.when(F.col("row_record"), row).otherwise(F.col("piece")))
+    rows = F.transform(cut, lambda x: F.regexp_replace(x, r"(?is)</(?:tr|table)\s*>.*", ""))
+    return joined.select(*kept, F.posexplode(F.when(F.col("row_record"), rows).otherwise(cut)).alias("record_no", "piece"))
 
 
 def _entries(piece: Column, shape: Column) -> Column:
