@@ -4,6 +4,7 @@ Texts are cut into pre-tokens.  A block of documents (about ``BLOCK`` bytes) num
 the row of word numbers by position.  Words go, packed by block, to the bucket of their digest; a bucket sees all blocks'
 words and encodes each distinct word once.  The ids go back to the blocks, are put in by position, and decoding looks up
 the token-byte table.  A frequent word is one entry per block, so no bucket is hot; a task holds one block or one bucket.
+Blocks with the same texts in the same order have one name and the same numbers; their words are taken once.
 
 Defined results: null is an empty text and has no ids; repeated rows get equal results; extra columns pass through the
 struct ``row``; an empty table gives no rows.  Special tokens are ordinary text.
@@ -109,7 +110,8 @@ def _cutter(pattern: str, buckets: int, block: int):
                 found = find(text or "")
                 docs.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 held += len(text or "")
-                mark.update(b"%d " % len(found) + (text or "").encode())
+                body = (text or "").encode()
+                mark.update(b"%d " % len(body) + body)
             waiting.append((batch.column(0), docs))
             if held >= block:
                 yield from close(mark.hexdigest())
@@ -167,15 +169,18 @@ def _joiner(table):
 
         unzip = zstandard.ZstdDecompressor()
         decode = Decoder(table.value)
-        block, parts, lookup = None, [], None
+        block, parts, lookup, seen = None, [], None, set()
         for batch in batches:
             blocks, kinds, sizes, payloads = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             rows, ids, texts, held = [], [], [], 0
             for i, kind in enumerate(kinds):
                 if blocks[i] != block:
-                    block, parts, lookup = blocks[i], [], None
+                    block, parts, lookup, seen = blocks[i], [], None, set()
+                if kind == WORDS and sizes[i] in seen:  # of a block with the same texts, which is numbered alike
+                    continue
                 data = unzip.decompress(payloads[i])
                 if kind == WORDS:
+                    seen.add(sizes[i])
                     head, n = _head(data)
                     _, rest, at = np.frombuffer(data[:12], "<u4").tolist()
                     places = np.concatenate([_unpack(data[12:head]), at + np.arange(rest)])
