@@ -1,9 +1,11 @@
 """Licence scan with a positional index of rare words.  DataFrame functions only.
 
-The index holds the distinctive words of short licence notices with their places.  Per file the indexed words with the
-highest inverse document frequency are looked up; each of their places in a notice, subtracted from the place in the file,
-says where the notice would start.  Where at least two words agree on a start, the notice's mandatory phrases are compared
-word by word.  Document frequencies are counted over all files; one number per indexed word is what the driver reads.
+The index holds the distinctive words of short licence notices with their places.  Per notice the ``ANCHORS`` places of
+its mandatory phrases whose words have the highest inverse document frequency are looked up in every file; a place in a
+notice, subtracted from the place in the file, says where the notice would start.  Where at least two agree on a start, the
+notice's mandatory phrases are compared word by word.  As anchors lie in mandatory phrases, no notice whose phrases are
+there is missed, whatever else the file holds.  Document frequencies are counted over all files; one number per indexed
+word is what the driver reads.
 
 Besides, every place of the base phrases is counted.
 
@@ -48,7 +50,7 @@ NOTICES = (
 )
 #: Words too common to be indexed.
 COMMON = frozenset("a an and any are as at be by for from in is it its of on or that the this to under use was with without".split())
-RAREST = 8
+ANCHORS = 3
 AGREE = 2
 
 
@@ -69,6 +71,19 @@ def _index() -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
 
 
 POSTINGS, PLACES = _index()
+
+
+def anchored(idf: dict[str, float], anchors: int) -> dict[str, list[tuple[int, int]]]:
+    """Postings of the anchors: of each notice the places in mandatory phrases whose words are rarest."""
+    chosen: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, wording, must) in enumerate(NOTICES):
+        words = tokens(wording)
+        inside = {_place(wording, phrase) + d for phrase in must for d in range(len(phrase.split()))}
+        for p in sorted((p for p in inside if words[p] not in COMMON), key=lambda p: (-idf[words[p]], p))[:anchors]:
+            chosen.setdefault(words[p], []).append((t, p))
+    return chosen
+
+
 VOCABULARY = sorted(set(POSTINGS) | {w for phrase, _ in BASE for w in phrase.split()})
 
 
@@ -113,24 +128,23 @@ def _map(pairs: dict, value) -> Column:
     return F.create_map(*[x for k, v in sorted(pairs.items()) for x in (F.lit(k), value(v))])
 
 
-def scan(docs: DataFrame, *, text: str = "text", rarest: int = RAREST, agree: int = AGREE) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", anchors: int = ANCHORS, agree: int = AGREE) -> DataFrame:
     """Each row's other columns as ``row``, with n_words, n_base, first_word, last_word, base_labels, labels, score and
     ``notices``: label, first word and share of indexed words for each verified notice."""
     total, held = frequencies(docs, text=text)
-    idf = _map({w: math.log((total + 1) / (held.get(w, 0) + 1)) for w in POSTINGS}, F.lit)
-    postings = _map(POSTINGS, lambda v: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in v]))
+    idf = {w: math.log((total + 1) / (held.get(w, 0) + 1)) for w in POSTINGS}
+    rare = anchored(idf, max(anchors, agree))
     known = F.col("known")
     based = _found(docs, text).withColumn("base", _starts(known))
-    indexed = F.filter(known, lambda x: x["w"].isin(*POSTINGS))
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform(
-        indexed, lambda x: F.struct((-F.element_at(idf, x["w"])).alias("idf"), x["w"].alias("w")),
-    ))), 1, rarest)
-    based = based.withColumn("rare", F.when(F.size(known) > 0, F.transform(rare, lambda x: x["w"])))
-    hits = lambda chosen: F.flatten(F.transform(
-        F.filter(known, chosen),
-        lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o"))),
-    ))
-    meet = based.withColumn("hits", F.when(F.size("rare") > 0, F.array_sort(hits(lambda x: F.array_contains(F.col("rare"), x["w"])))))
+
+    def hits(index: dict) -> Column:
+        postings = _map(index, lambda v: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in v]))
+        return F.flatten(F.transform(
+            F.filter(known, lambda x: x["w"].isin(*index)),
+            lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o"))),
+        ))
+
+    meet = based.withColumn("hits", F.when(F.size(known) > 0, F.array_sort(hits(rare))))
     # the first of `agree` or more equal neighbours
     crossing = F.filter(F.transform("hits", lambda x, k: F.when(
         (F.get(F.col("hits"), k + (agree - 1)) == x) & ((k == 0) | (F.get(F.col("hits"), k - 1) != x)), x,
@@ -156,7 +170,7 @@ def scan(docs: DataFrame, *, text: str = "text", rarest: int = RAREST, agree: in
         return F.struct(F.get(labels, x["t"]).alias("label"), F.greatest(x["o"], F.lit(0)).cast("long").alias("first_word"), (same / F.get(places, x["t"])).alias("share"))
 
     verified = meet.withColumn("sure", F.filter("crossing", said))
-    verified = verified.withColumn("every", F.when(F.size("sure") > 0, hits(lambda x: x["w"].isin(*POSTINGS))))
+    verified = verified.withColumn("every", F.when(F.size("sure") > 0, hits(POSTINGS)))
     verified = verified.withColumn("notices", F.coalesce(F.when(F.size("sure") > 0, F.transform("sure", described)), F.array().cast("array<struct<label:string,first_word:bigint,share:double>>")))
     own = F.transform("base", lambda x: x["label"])
     places_of = F.transform("base", lambda x: x["i"].cast("long"))
