@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foundling.llm import bpe, mixing, near, substrings, toxicity
+from foundling.llm import bpe, copies, mixing, substrings, toxicity
 from foundling.llm.common import read, text_key
 from foundling.llm.queries import tokenizer
 from foundling.session import shared_dir
@@ -21,7 +21,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that with the smallest id, then text digest; a row of it."""
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    chosen = near.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select(
+    chosen = copies.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select(
         F.col("m.doc_id").alias("_id"), F.col("m.mark").alias("_mark"),
     )
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")))
