@@ -12,6 +12,10 @@ from foundling.llm.queries import tokenizer
 from foundling.session import shared_dir
 
 
+#: Repeated passages of so many words go; that many words of three letters and a space take ``LENGTH`` bytes.
+WORDS, LENGTH, GRAM = 51, 200, 16
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score says toxic."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -29,8 +33,8 @@ def alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated byte strings; a character cut in two goes whole.  No document goes."""
-    kept = substrings.cut(docs, as_text=True).select("key", F.col("kept").cast("string").alias("_kept"))
+    """Texts without their repeated strings of 51 words or of op4's length; a character cut in two goes whole.  No document goes."""
+    kept = substrings.cut(docs, length=LENGTH, gram=GRAM, words=WORDS, as_text=True).select("key", F.col("kept").cast("string").alias("_kept"))
     found = docs.select("*", text_key(F.col("text")).alias("_key"), F.col("text").isNull().alias("_null")).drop("text")
     joined = found.join(kept, found["_key"] == kept["key"]).withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
     return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

@@ -330,7 +330,7 @@ def _resolve(length: int, batch_rows: int):
     return run
 
 
-def _cut(length: int, as_text: bool):
+def _cut(length: int, words: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -343,6 +343,8 @@ def _cut(length: int, as_text: bool):
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
+                if words:
+                    merged = [m for m in merged if m[1] - m[0] >= LENGTH or len(text[m[0]:m[1]].split()) >= words]
                 rest, at = [], 0
                 for a, b in merged:
                     rest.append(text[at:a])
@@ -360,9 +362,9 @@ def _cut(length: int, as_text: bool):
     return run
 
 
-def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_rows: int = BATCH, as_text: bool = False) -> DataFrame:
+def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_rows: int = BATCH, words: int = 0, as_text: bool = False) -> DataFrame:
     """A row for each distinct text: ``key`` (:func:`common.text_key`), n_bytes, n_removed, n_spans, kept bytes, spans.
-    ``as_text`` drops what a cut leaves of a character, so that the kept bytes are UTF-8."""
+    With ``words``, spans of fewer words that are shorter than ``LENGTH`` stay.  ``as_text`` drops what a cut leaves of a character, so that the kept bytes are UTF-8."""
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(text_key(body).alias("key"), body.cast("binary").alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     hashes = texts.mapInArrow(_hash_rows(length, gram), "key binary, hash long, n long")
@@ -380,5 +382,5 @@ def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int
     counted = crowded.join(twice, "body").select("key", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     spans = sorted_.union(counted).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(
-        _cut(length, as_text), "key binary, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,b:long>>",
+        _cut(length, words, as_text), "key binary, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,b:long>>",
     )
