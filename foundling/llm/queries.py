@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, topk, toxicity
+from ..session import freeze, shared_dir
+from . import bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, tokenfile, topk, toxicity
 from .common import read, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +172,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@query("op11_patched_token_blocks")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, read back, and the files removed once their digests are frozen."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    folder = f"{shared_dir(spark)}/token-blocks-{uuid4()}"
+    manifest = tokenfile.write(read(spark, sf_dir, "documents"), folder, tokenizer)
+    found = freeze(tokenfile.documents(manifest, folder))
+    tokenfile.remove(spark, folder)
+    return found.withColumnRenamed("id", "doc_id")
