@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import freeze, shared_dir
-from . import bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, tokenfile, topk, toxicity
+from . import bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, tokenfile, topk, toxicity, whitening
 from .common import read, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = freeze(tokenfile.documents(manifest, folder))
     tokenfile.remove(spark, folder)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op12_chebyshev_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
