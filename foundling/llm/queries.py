@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import freeze, shared_dir
-from . import bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, tokenfile, topk, toxicity, whitening
+from . import alignment, bpe, fixity, licences, mixing, quality, sharding, simhash, substrings, tokenfile, topk, toxicity, whitening
 from .common import read, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query("op13_csr_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        found = alignment.Alignment(read(spark, sf_dir, "documents").select("doc_id", "text"), a.read(), b.read())
+    return found.documents().select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
