@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import shared_dir
-from .common import pieces
+from .common import Lists, Numbers, pieces
 
 #: Bytes of text, and documents' distinct pairs, that close a block.
 BLOCK, BLOCK_PAIRS = 32 << 20, 4_000_000
@@ -33,6 +33,8 @@ BLOCK, BLOCK_PAIRS = 32 << 20, 4_000_000
 CHUNKS, CHUNK_PAIRS = 300_000, 3_000_000
 #: Terms of a product that are held at once.
 TERMS = 1 << 22
+#: Chunks that are given to the first tokenizer as one text.
+TOGETHER = 512
 #: Blanks that need a look: at either end of the text, or after white space.
 LOOSE = re.compile(r"\A |\s | \Z")
 PAIR, DOCUMENT = 0, 1
@@ -136,15 +138,51 @@ class Tokenizers:
         self.bytes_a = [bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s in signs]
         shown = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(shown)]
-        self.sizes_a, self.sizes_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.cut = not any(re.search("[^▁]▁", p) for p in shown)  # a piece over such a blank would forbid to cut there
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
-
-    def exact(self, text: str, a: list[int], b: list[int]) -> bool:
-        data = f" {text}".encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
+        self.starts_a = np.array([t.startswith(b" ") for t in self.bytes_a])
+        # ids with what may follow them in the written groups
+        self.ends = [f"{i}{after}" for after in ("", ",", "|", ";") for i in range(max(n, len(shown)))]
+        self.most = max(n, len(shown))
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> tuple[Lists, Lists]:
+        """Ids of each text on both sides.  Texts without white space are given to the first tokenizer together: each starts
+        with the only token that has a blank."""
+        loose = np.array([t.isspace() or len(t.split(None, 1)) != 1 or t[0].isspace() or t[-1].isspace() for t in texts], bool)
+        tight, other = np.flatnonzero(~loose), np.flatnonzero(loose)
+        groups = [[texts[i] for i in tight[j:j + TOGETHER].tolist()] for j in range(0, len(tight), TOGETHER)]
+        first = np.array([i for own in self.encode_a([" ".join(g) for g in groups]) for i in own], np.int64)
+        starts = np.flatnonzero(self.starts_a[first])
+        if len(starts) != len(tight):
+            raise ValueError("a token of the first tokenizer goes over a blank")
+        rest = self.encode_a([texts[i] for i in other.tolist()])
+        mixed = Lists(np.int64)
+        mixed.add(np.diff(np.append(starts, len(first))), first)
+        mixed.add(np.array([len(i) for i in rest], np.int64), np.array([i for own in rest for i in own], np.int64))
+        a, b = Lists(np.int64), Lists(np.int64)
+        values, counts = mixed.gather(np.argsort(np.concatenate([tight, other])))
+        a.add(counts, values)
+        found = self.b.encode(texts, num_threads=1)
+        b.add(np.array([len(i) for i in found], np.int64), np.array([i for own in found for i in own], np.int64))
+        return a, b
+
+    def exact(self, texts: list[str], a: Lists, b: Lists) -> np.ndarray:
+        """Whether the tokens of each text give back its bytes, on both sides."""
+        given = [f" {t}".encode() for t in texts]
+        sizes, data = np.array([len(g) for g in given], np.int64), b"".join(given)
+        good = np.ones(len(texts), bool)
+        for own, table, width in ((a, self.bytes_a, self.sizes_a), (b, self.bytes_b, self.sizes_b)):
+            of = np.repeat(np.arange(len(texts)), own.counts)
+            same = np.bincount(of, width[own.values], len(texts)).astype(np.int64) == sizes
+            if same.all() and b"".join(map(table.__getitem__, own.values.tolist())) == data:
+                continue
+            ids = np.split(own.values, own.first[1:])
+            good &= [b"".join(map(table.__getitem__, i.tolist())) == g for i, g in zip(ids, given, strict=True)]
+        return good
 
 
 class Memory:
@@ -155,7 +193,7 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.shown: list[str] = []
         self.stats = np.zeros((0, 5), np.int64)  # exact or not, tokens of either, groups, overlap links
         self.many, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -166,13 +204,13 @@ class Memory:
     def full(self) -> bool:
         return len(self.number) > CHUNKS or len(self.pairs) > CHUNK_PAIRS
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self) -> None:
+        fresh, self.number.fresh = self.number.fresh, []
         t = self.tokenizers
         a, b = t.encode(fresh)
-        exact = np.array([t.exact(c, x, y) for c, x, y in zip(fresh, a, b, strict=True)], bool)
-        a, b = ([own if ok else [] for own, ok in zip(side, exact, strict=True)] for side in (a, b))
-        n_a, n_b = (np.array([len(own) for own in side], np.int64) for side in (a, b))
-        ids_a, ids_b = (np.array([i for own in side for i in own], np.int64) for side in (a, b))
+        exact = t.exact(fresh, a, b)
+        n_a, n_b = a.counts * exact, b.counts * exact
+        ids_a, ids_b = a.values[np.repeat(exact, a.counts)], b.values[np.repeat(exact, b.counts)]
         chunk_a, chunk_b = np.repeat(np.arange(len(fresh)), n_a), np.repeat(np.arange(len(fresh)), n_b)
         # chunks lie one after the other: their ends are ends on both sides
         by_a, by_b = bytes_of(t.sizes_a[ids_a]), bytes_of(t.sizes_b[ids_b])
@@ -198,12 +236,14 @@ class Memory:
         groups = np.bincount(chunk_of, minlength=len(fresh))
         links = np.bincount(chunk_a[overlaps.rows], minlength=len(fresh))
         self.stats = np.concatenate([self.stats, np.stack([exact, n_a, n_b, groups, links], axis=1).astype(np.int64)])
-        ends_a, ends_b = (np.searchsorted(g, np.arange(n), side="right").tolist() for g in (group_a, group_b))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        shown = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *ends_a[:-1]], ends_a, [0, *ends_b[:-1]], ends_b, strict=True)] if n else []
-        stop = np.cumsum(groups).tolist()
-        self.shown += [";".join(shown[j - g:j]) for g, j in zip(groups.tolist(), stop, strict=True)]
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        # the groups in writing: "," between ids, "|" between sides, ";" between groups, nothing after a chunk
+        end_a, end_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (group_a, group_b))
+        last = np.append(chunk_b[1:] != chunk_b[:-1], True) if len(chunk_b) else end_b
+        written = np.concatenate([ids_a + t.most * np.where(end_a, 2, 1), ids_b + t.most * np.where(last, 0, np.where(end_b, 3, 1))])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        signs = list(map(t.ends.__getitem__, written[order].tolist()))
+        stop = np.cumsum(n_a + n_b).tolist()
+        self.shown += ["".join(signs[i:j]) for i, j in zip([0, *stop[:-1]], stop, strict=True)]
 
 
 def _tally(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,10 +259,10 @@ def _totals(memory: Memory, texts: list[str | None]) -> list[tuple[list[int], st
     words = [(chunks(t) if memory.tokenizers.cut else [t]) if t else [] for t in texts]
 
     def known(lists):
-        fresh = list({c: None for own in lists for c in own if c not in memory.number})
-        if fresh:
-            memory.learn(fresh)
-        return [np.fromiter(map(memory.number.__getitem__, own), np.int64, len(own)) for own in lists]
+        found = [np.fromiter(map(memory.number.__getitem__, own), np.int64, len(own)) for own in lists]
+        if memory.number.fresh:
+            memory.learn()
+        return found
 
     numbers = known(words)
     unsure = [i for i, own in enumerate(numbers) if len(own) and not memory.stats[own, 0].all()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,7 +30,6 @@ def text_key(text: Column) -> Column:
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one piece hold about ``max_bytes`` at most (a longer text comes alone)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -48,3 +48,33 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
 def encoded(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Numbers(dict):
+    """Strings by the order in which they come; ``fresh`` are those not yet looked at."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class Lists:
+    """Numbered lists of whole numbers in one array."""
+
+    def __init__(self, kind):
+        self.counts, self.values = np.zeros(0, np.int64), np.zeros(0, kind)
+        self.first = self.counts
+
+    def add(self, counts: np.ndarray, values: np.ndarray) -> None:
+        self.counts, self.values = np.concatenate([self.counts, counts]), np.concatenate([self.values, values.astype(self.values.dtype)])
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def gather(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen lists one after the other, and their lengths."""
+        counts = self.counts[chosen]
+        ends = np.cumsum(counts)
+        return self.values[np.repeat(self.first[chosen] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts

@@ -24,6 +24,7 @@ Special strings in a text are read as the tokenizer reads them.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from uuid import uuid4
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import freeze
-from .common import pieces
+from .common import Lists, Numbers, pieces
 
 MAGIC, VERSION = b"TOKB", 1
 BLOCK = 256
@@ -42,8 +43,8 @@ PERCENTILE = 95
 FILE_IDS = 16 << 20
 #: Ids that are packed or unpacked at once.
 RUN = 4096 * BLOCK
-#: Bytes of text of a range, and the most ranges; beyond that ranges grow, files don't.
-RANGE_BYTES, RANGES = 64 << 20, 10_000
+#: Documents of a range, and the most ranges; beyond that ranges grow, files don't.
+RANGE_ROWS, RANGES = 20_000, 10_000
 #: Distinct words, and ids of them, that a task keeps; then it starts anew.
 WORDS, WORD_IDS = 400_000, 4_000_000
 END = 1
@@ -53,6 +54,9 @@ NO_ID = -(1 << 63)
 # blocks
 
 
+HEAD = np.dtype([("smallest", "<u4"), ("exceptions", "<u2"), ("width", "u1"), ("spare", "u1")])
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """The blocks of some ids; all but the last have ``BLOCK`` ids."""
     out: list[bytes] = []
@@ -60,25 +64,28 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     for part in (ids[:whole].reshape(-1, BLOCK), ids[whole:].reshape(1, -1)):
         if not part.size:
             continue
-        part = part.astype(np.int64)
+        part = part.astype(np.uint32)
         size = part.shape[1]
         least = part.min(axis=1)
         offsets = part - least[:, None]
-        rank = min(size - 1, max(0, -(-size * percentile // 100) - 1))
-        chosen = np.partition(offsets, int(rank), axis=1)[:, int(rank)]
-        widths = np.frexp(chosen.astype(np.float64))[1]  # bits of the chosen offset, 0 for zero
+        rank = min(size - 1, max(0, int(-(-size * percentile // 100)) - 1))
+        widths = np.frexp(np.partition(offsets, rank, axis=1)[:, rank].astype(np.float64))[1]  # bits of that offset, 0 for zero
         blocks: list[bytes] = [b""] * len(part)
-        for width in np.unique(widths):
+        for width in np.unique(widths).tolist():
             rows = np.flatnonzero(widths == width)
             own = offsets[rows]
-            low = own & ((1 << int(width)) - 1)
-            bits = ((low[:, :, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(len(rows), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little") if width else np.zeros((len(rows), 0), np.uint8)
-            high = own >> int(width)
-            for i, row in enumerate(rows):
-                places = np.flatnonzero(high[i])
-                head = np.array([least[row]], "<u4").tobytes() + np.array([len(places)], "<u2").tobytes() + bytes([int(width), 0])
-                blocks[row] = head + packed[i].tobytes() + places.astype(np.uint8).tobytes() + high[i][places].astype("<u4").tobytes()
+            bits = np.unpackbits(own.astype("<u4").view(np.uint8).reshape(len(rows), size, 4), axis=2, bitorder="little")[:, :, :width]
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            high = own.astype(np.uint64) >> np.uint64(width)
+            row, place = np.nonzero(high)
+            heads = np.zeros(len(rows), HEAD)
+            heads["smallest"], heads["exceptions"], heads["width"] = least[rows], np.bincount(row, minlength=len(rows)), width
+            step, head, body = packed.shape[1], heads.tobytes(), packed.tobytes()
+            places, beyond = place.astype(np.uint8).tobytes(), high[row, place].astype("<u4").tobytes()
+            ends = np.cumsum(heads["exceptions"], dtype=np.int64).tolist()
+            for i, (to, end) in enumerate(zip(rows.tolist(), ends, strict=True)):
+                start = ends[i - 1] if i else 0
+                blocks[to] = head[8 * i:8 * i + 8] + body[step * i:step * i + step] + places[start:end] + beyond[4 * start:4 * end]
         out += blocks
     return out
 
@@ -88,30 +95,26 @@ def unpack(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint32)
     raw = np.frombuffer(data, np.uint8)
-    heads = raw[starts[:, None] + np.arange(8)]
-    least = heads[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
-    exceptions = heads[:, 4:6].copy().view("<u2")[:, 0].astype(np.int64)
-    widths = heads[:, 6].astype(np.int64)
-    lengths = -(-sizes * widths // 8)
-    ids = np.zeros((len(starts), BLOCK), np.int64)
-    for width in np.unique(widths):
-        for size in np.unique(sizes[widths == width]):
+    heads = raw[starts[:, None] + np.arange(8)].view(HEAD)[:, 0]
+    widths, exceptions = heads["width"].astype(np.int64), heads["exceptions"].astype(np.int64)
+    ids = np.zeros((len(starts), BLOCK), np.uint32)
+    for width in np.unique(widths).tolist():
+        for size in np.unique(sizes[widths == width]).tolist() if width else ():
             rows = np.flatnonzero((widths == width) & (sizes == size))
-            if width:
-                packed = raw[starts[rows, None] + 8 + np.arange(-(-size * width // 8))]
-                bits = np.unpackbits(packed, axis=1, count=int(size * width), bitorder="little").reshape(len(rows), size, width)
-                ids[rows, :size] = (bits.astype(np.int32) << np.arange(width, dtype=np.int32)).sum(axis=2)
+            packed = raw[starts[rows, None] + 8 + np.arange(-(-size * width // 8))]
+            bits = np.zeros((len(rows), size, 32), np.uint8)
+            bits[:, :, :width] = np.unpackbits(packed, axis=1, count=size * width, bitorder="little").reshape(len(rows), size, width)
+            ids[rows, :size] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
     patched = np.flatnonzero(exceptions)
     if len(patched):
         many = exceptions[patched]
         row = np.repeat(patched, many)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        at = starts[row] + 8 + lengths[row]
-        places = raw[at + nth]
-        high = raw[(at + exceptions[row] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4")[:, 0].astype(np.int64)
-        ids[row, places] += high << widths[row]
-    ids += least[:, None]
-    return ids[np.arange(BLOCK) < sizes[:, None]].astype(np.uint32)
+        at = starts[row] + 8 + -(-sizes[row] * widths[row] // 8)
+        high = raw[(at + exceptions[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+        ids[row, raw[at + nth]] += high << widths[row].astype(np.uint32)
+    ids += heads["smallest"][:, None]
+    return ids[np.arange(BLOCK) < sizes[:, None]]
 
 
 # files
@@ -217,52 +220,87 @@ class Reader:
 
 
 class Lexicon:
-    """Ids of the distinct words of a task.  The tokenizer lets no token cross a blank, so a text's ids are those of its words."""
-
-    def __init__(self, encode):
-        self.encode = encode
+    """Ids of the distinct words of a task.  The tokenizer lets no token cross a blank, so a text's ids are those of its words;
+    those of a word of common letters are again those of its parts, cut as the tokenizer cuts them."""
+
+    #: ASCII and the letters up to U+00FF: composed already, lower case sign by sign.
+    PLAIN = re.compile("[\x21-\x7EÀ-ÖØ-öø-ÿ]*")
+    #: The tokenizer's cut of such words (fixed values), and the blanks between them.
+    PARTS = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]| |[^a-zß-öø-ÿ0-9 ]+")
+    #: Parts that are given to the tokenizer as one text.
+    TOGETHER = 512
+
+    def __init__(self, tokenizer: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own, cut = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
+        # parts need no normalising and no further cut
+        cut.normalizer = None
+        cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode, self.encode_parts = ((lambda texts, t=t: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]) for t in (own, cut))
+        n = own.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([(own.id_to_token(i) or "").endswith("</w>") for i in range(n)])  # ends a part
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.counts, self.values = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.first = self.counts
+        self.word, self.part = Numbers(), Numbers()
+        self.part[" "] = 0
+        self.parts_of, self.ids_of = Lists(np.int32), Lists(np.uint32)
+        self.ids_of.add(np.zeros(1, np.int64), np.zeros(0))
+
+    def _learn(self) -> None:
+        fresh, self.word.fresh = self.word.fresh, []
+        plain = [bool(self.PLAIN.fullmatch(w)) and "<|" not in w for w in fresh]
+        cut = self.PARTS.findall(" ".join(w if p else "" for w, p in zip(fresh, plain, strict=True)).lower())
+        numbers = np.fromiter(map(self.part.__getitem__, cut), np.int64, len(cut))
+        new, self.part.fresh = self.part.fresh, []
+        if new:
+            found = self.encode_parts([" ".join(new[i:i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)])
+            ids = np.array([i for own in found for i in own], np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            self.ids_of.add(np.diff(ends, prepend=0), ids)
+        words = np.cumsum(numbers == 0)[numbers != 0]  # blanks part the words
+        numbers = numbers[numbers != 0]
+        other = [i for i, p in enumerate(plain) if not p]
+        if other:  # whole words stand for their parts
+            found = self.encode([fresh[i] for i in other])
+            self.ids_of.add(np.array([len(i) for i in found], np.int64), np.array([i for own in found for i in own], np.int64))
+            own = np.arange(len(self.ids_of.counts) - len(other), len(self.ids_of.counts))
+            for n in own.tolist():
+                self.part[f"\n{n}"] = n  # keeps the numbers in step
+            words, numbers = np.concatenate([words, other]), np.concatenate([numbers, own])
+            order = np.argsort(words, kind="stable")
+            words, numbers = words[order], numbers[order]
+        self.parts_of.add(np.bincount(words, minlength=len(fresh)), numbers)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > WORDS or len(self.values) > WORD_IDS:
+        if len(self.word) > WORDS or len(self.part) > WORDS or len(self.ids_of.values) > WORD_IDS:
             self.clear()
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list({w: None for own in words for w in own if w not in self.number})
-        if fresh:
-            found = [e.ids for e in self.encode(fresh)]
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-            self.counts = np.concatenate([self.counts, np.array([len(i) for i in found], np.int64)])
-            self.values = np.concatenate([self.values, np.array([i for own in found for i in own], np.uint32)])
-            self.first = np.cumsum(self.counts) - self.counts
-        out = []
-        for own in words:
-            chosen = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-            counts = self.counts[chosen]
-            ends = np.cumsum(counts)
-            out.append(self.values[np.repeat(self.first[chosen] - (ends - counts), counts) + np.arange(ends[-1])])
-        return out
-
-
-def _load(tokenizer: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_str(tokenizer)
-    return lambda words: own.encode_batch(words, add_special_tokens=False)
+        number, words = self.word.__getitem__, []
+        for text in texts:
+            own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words.append(np.fromiter(map(number, own), np.int64, len(own)))
+        if self.word.fresh:
+            self._learn()
+        parts, in_word = self.parts_of.gather(np.concatenate(words) if words else np.zeros(0, np.int64))
+        ids, in_part = self.ids_of.gather(parts)
+        # ends of the texts in words, then in parts, then in ids
+        ends = np.cumsum([len(own) for own in words])
+        for inner in (in_word, in_part):
+            ends = np.append(0, np.cumsum(inner))[ends]
+        return np.split(ids, ends[:-1])
 
 
 def _encoder(tokenizer, cuts, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        zip_, lexicon = zstandard.ZstdCompressor(level=1), Lexicon(_load(tokenizer.value))
+        zip_, lexicon = zstandard.ZstdCompressor(level=1), Lexicon(tokenizer.value)
         for batch in pieces(batches, "text", 1 << 20):
             keys, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             parts = [bisect_right(cuts, (NO_ID if k is None else k, p)) for k, p in zip(keys, places, strict=True)]
@@ -310,13 +348,12 @@ def _writer(folder: str, file_ids: int, percentile: float):
     return run
 
 
-def cuts(docs: DataFrame, *, doc_id: str, text: str, ranges: int | None = None) -> list[tuple[int, int]]:
+def cuts(docs: DataFrame, *, doc_id: str, ranges: int | None = None) -> list[tuple[int, int]]:
     """Ascending (id, place) at which ranges begin; places part the rows of an id that fills several ranges."""
     shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("place"), F.octet_length(text).alias("n"))
-    n, size = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
-    ranges = ranges or min(max(shuffle, -(-(size or 0) // RANGE_BYTES)), RANGES)
-    ranges = min(ranges, n)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("place"))
+    n = rows.count()
+    ranges = min(ranges or min(max(shuffle, n // RANGE_ROWS), RANGES), n)
     if ranges < 2:
         return []
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -334,7 +371,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     """Writes the files of all documents below ``folder`` (a URI or path that all executors reach), with the tokenizer whose
     JSON is given.  The manifest: ``file``, its ``first`` id in the whole order, ``n_ids``, ``n_docs``, ``n_bytes``."""
     spark = docs.sparkSession
-    at = cuts(docs, doc_id=doc_id, text=text, ranges=ranges)
+    at = cuts(docs, doc_id=doc_id, ranges=ranges)
     shared = spark.sparkContext.broadcast(tokenizer)  # as long as the vocabulary
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), F.col(text).alias("text"))
     coded = rows.mapInArrow(_encoder(shared, at, end), "part int, id long, place long, ids binary")

@@ -97,7 +97,7 @@ def test_files(spark, rows_of_text, tokenizer, how):
 
 def test_one_id_is_split(spark, rows_of_text):
     docs = rows_of_text(["x"] * 900, [7] * 700 + list(range(100, 300)))
-    found = tokenfile.cuts(docs, doc_id="doc_id", text="text", ranges=8)
+    found = tokenfile.cuts(docs, doc_id="doc_id", ranges=8)
     assert sum(i == 7 for i, _ in found) >= 5
 
 
