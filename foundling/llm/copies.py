@@ -4,7 +4,7 @@ A text is the set of its distinct five-word shingles (64-bit hashes).  ``BANDS``
 cells: two texts of Jaccard similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.998 at s = 0.8
 whatever kind of change makes the difference (scattered words, a replaced paragraph, text appended).  Every link of these
 is verified by the exact similarity of both sets, joined back by key.  They come on top of the links of :mod:`near`, which
-are estimates: it loses block edits and appended text, and links some texts under 0.8.
+loses block edits and appended text; what its fingerprints link is verified by the sets as well.
 
 Texts first meet the smallest text of their cell.  Texts outside the largest component of a cell then meet the smallest
 text of that component, and those still outside are compared with all texts of other components in the cell.  So no
@@ -23,10 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import freeze
-from . import near
 from .common import encoded, pieces
-from .components import stars
-from .near import _LOWER, _joined, _mixed, _rooted, shingles
+from .near import _LOWER, NAMES, _joined, _mixed, _rooted, components as near_components, fingerprint, shingles
 
 BANDS, ROWS = 16, 5
 #: At least so many of five shared: a similarity of 0.8 in whole numbers.
@@ -65,7 +63,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, bands, sets, prints = [], [], [], []
         for text in encoded(batch.column(1)):
             own = shingle_set(text)
-            prints.append(near.fingerprint(text))
+            prints.append(fingerprint(text))
             sets.append(own.tobytes())
             nodes.append(int.from_bytes(blake2b(sets[-1], digest_size=8).digest(), "little", signed=True))
             bands.append(cells(own))
@@ -73,7 +71,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(np.ascontiguousarray(m)) for m in np.stack(prints).T), pa.array(nodes, pa.int64()), lists, pa.array(sets, pa.binary())],
-            names=["row", *near.NAMES, "node", "cells", "own"],
+            names=["row", *NAMES, "node", "cells", "own"],
         )
 
 
@@ -100,13 +98,13 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def components(marks: DataFrame) -> DataFrame:
-    """``node``, ``root`` for the nodes that have a link; ``marks`` has a row for each node."""
+def components(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node``, ``root`` for the nodes that have a link, those in ``roots`` included; ``marks`` has a row for each node."""
     index = marks.select("node", F.explode("cells").alias("cell"))
     shared = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = freeze(index.join(shared.select("cell", "least"), "cell"))
     sets = freeze(marks.select("node", "own").join(members.select("node").distinct(), "node", "left_semi"))
-    roots = stars(_verified(members.filter("least < node").select(*_pair("least", "node")), sets))
+    roots = _joined(roots, _verified(members.filter("least < node").select(*_pair("least", "node")), sets))
     for last in (False, True):
         rooted = freeze(_rooted(members.select("cell", "node"), roots))
         parts = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
@@ -126,14 +124,10 @@ def classes(docs: DataFrame, *, text: str = "text") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(F.struct(*rest, F.lit(True).alias("_")).alias("row"), F.col(text).alias("text"))
     schema = T.StructType([
-        rows.schema["row"], *(T.StructField(c, T.LongType()) for c in near.NAMES),
+        rows.schema["row"], *(T.StructField(c, T.LongType()) for c in NAMES),
         T.StructField("node", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("own", T.BinaryType()),
     ])
-    rows = freeze(rows.mapInArrow(_marks, schema).withColumn("mark", F.xxhash64(*near.NAMES)))
-    roots = near.components(rows.select(F.col("mark").alias("node"), *near.NAMES).dropDuplicates(["node"]))
-    # a component of sets links the fingerprints in it
-    both = rows.select("node", "mark").distinct()
-    ends = _rooted(both, components(rows.select("node", "cells", "own").dropDuplicates(["node"])))
-    least = ends.groupBy("root").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a < z")
-    roots = _joined(roots, ends.join(least, "root").filter("a < mark").select("a", F.col("mark").alias("b")))
-    return _rooted(rows.select("row", F.col("mark").alias("node")), roots)
+    rows = freeze(rows.mapInArrow(_marks, schema))
+    marks = freeze(rows.drop("row").dropDuplicates(["node"]))
+    roots = near_components(marks.select("node", *NAMES), lambda links: _verified(links, marks))
+    return _rooted(rows.select("row", "node"), components(marks, roots))

@@ -18,7 +18,7 @@ repeated rows fall into one component; an empty table gives no rows; extra colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +154,8 @@ def _outside(members: DataFrame, pairs: DataFrame, roots: DataFrame) -> tuple[Da
     return rooted, met.select("x", "rx", "cell", F.col("m.centre").alias("centre"), F.col("m.root").alias("rc"))
 
 
-def components(marks: DataFrame) -> DataFrame:
-    """``node``, ``root`` for the nodes that have a link."""
+def components(marks: DataFrame, exact: Callable[[DataFrame], DataFrame] = lambda links: links) -> DataFrame:
+    """``node``, ``root`` for the nodes that have a link; of the links that the fingerprints say, those that ``exact`` keeps."""
     index = freeze(_cells(marks))
     cells = freeze(index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")))
     pairs = freeze(_neighbours(cells.select("cell")))
@@ -164,17 +164,17 @@ def components(marks: DataFrame) -> DataFrame:
     same = members.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     u, v = (least.toDF(x, f"n{x}") for x in "uv")
     beside = pairs.join(u, "u").join(v, "v").filter("nu <> nv").select(F.least("nu", "nv").alias("a"), F.greatest("nu", "nv").alias("b"))
-    roots = stars(_verified(same.union(beside), marks))
+    roots = stars(exact(_verified(same.union(beside), marks)))
     _, outside = _outside(members.drop("least"), pairs, roots)
     centred = outside.filter("rx <> rc").select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b"))
-    roots = _joined(roots, _verified(centred, marks))
+    roots = _joined(roots, exact(_verified(centred, marks)))
     rooted, outside = _outside(members.drop("least"), pairs, roots)
     outer = freeze(outside.select("x", "rx", "cell")).join(_bits(marks, "x", "vx"), "x")
     there = rooted.join(outer.select("cell").distinct(), "cell", "left_semi").join(_bits(marks, "node", "vy"), "node")
     # verified where they meet, so that only links become rows
     other = there.select("cell", F.col("node").alias("y"), F.col("root").alias("ry"), "vy")
     met = outer.join(other, "cell").filter((F.col("rx") != F.col("ry")) & (_apart("vx", "vy") <= APART))
-    return _joined(roots, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return _joined(roots, exact(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
 
 
 def classes(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ clean only if all its sentences are, so document scores are noisy-or: 1 - produc
 fitted to document labels through that formula, and afterwards say which sentences gave the offence.
 
 The fit is done on the driver over a sample with a bound: at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_WORDS``
-words of them, taken in the order of a digest of their ids, at most half of either label.
+words of them, taken in the order of a digest of their ids, at most half of either label, repeated rows once, none with more
+than ``SAMPLE_WORDS / MOST_OF`` words.
 Only hashed words of the sample reach the driver, never texts.  Scoring covers every document and whole texts.
 
 Defined results: null is an empty text; an empty text has the score of no evidence, 0; without positive or negative labels
@@ -28,6 +29,10 @@ from .common import encoded, pieces
 
 SAMPLE_DOCS = 8_000
 SAMPLE_WORDS = 2_000_000
+#: A document with more than this part of the words would crowd out the others and is not learned from (it is scored).
+MOST_OF = 16
+#: Features that the fit handles at once.
+BLOCK = 1 << 18
 BITS = 20
 ROUNDS = 300
 #: Beginnings of words that count besides the words.
@@ -94,33 +99,52 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, np.asarray(logits)).sum()))
 
 
-def fit(ids: np.ndarray, sentence_at: np.ndarray, doc_at: np.ndarray, labels: np.ndarray, *, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, shrink: float = 1e-5) -> Model:
-    """Adam on the log-likelihood of document labels.  ``sentence_at``: the first feature of each sentence; ``doc_at``: the
-    first sentence of each document (documents have sentences)."""
+@dataclass
+class Block:
+    """Some documents of the sample: the features of their sentences one after the other."""
+
+    ids: np.ndarray  # int32
+    lengths: np.ndarray  # features of each sentence
+    sentences: np.ndarray  # sentences of each document, at least one
+    labels: np.ndarray
+
+    def documents(self) -> np.ndarray:
+        """The document of each sentence."""
+        return np.repeat(np.arange(len(self.sentences)), self.sentences)
+
+
+def fit(blocks: list[Block], *, bits: int = BITS, rounds: int = ROUNDS, rate: float = 0.1, shrink: float = 1e-5) -> Model:
+    """Adam on the log-likelihood of document labels, a block at a time, so that beside the features only arrays of a block's
+    length are held.  The blocks' features are replaced by their places among the frequent ones."""
     model = Model(bits, np.zeros(1 << bits), 0.0)
+    labels = np.concatenate([b.labels for b in blocks]) if blocks else np.zeros(0, np.int64)
     if not len(labels) or labels.min() == labels.max():
         return model
-    doc_of = np.repeat(np.arange(len(doc_at)), np.diff(np.append(doc_at, len(sentence_at))))
-    lengths = np.diff(np.append(sentence_at, len(ids)))
-    pairs = np.unique(np.repeat(doc_of[np.arange(len(sentence_at))], lengths) * (1 << bits) + ids)
-    held = np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
-    del pairs
+    held = np.zeros(1 << bits, np.int32)
+    for b in blocks:
+        pairs = np.unique(np.repeat(b.documents(), b.lengths) << bits | b.ids)
+        held += np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
     kept = np.flatnonzero(held >= LEAST + len(labels) // LEAST_PER)
     place = np.zeros(1 << bits, np.int32)
     place[kept] = 1 + np.arange(len(kept))
-    ids = place[ids]  # 0: rare features, without a weight
+    for b in blocks:
+        b.ids = place[b.ids]  # 0: rare features, without a weight
     # a start at which a document of usual length has an even chance
-    usual = max(float(np.median(np.diff(np.append(doc_at, len(sentence_at))))), 1.0)
+    usual = max(float(np.median(np.concatenate([b.sentences for b in blocks]))), 1.0)
     params = np.zeros(len(kept) + 2)
     params[-1] = np.log(np.expm1(np.log(2) / usual))
     first, second = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, rounds + 1):
-        z = np.add.reduceat(params[ids], sentence_at) + params[-1]
-        total = np.add.reduceat(np.logaddexp(0, z), doc_at)  # -log(1 - document score)
-        odds = np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12)
-        slope = np.where(labels == 1, -odds, 1.0) / len(labels)
-        by_sentence = slope[doc_of] / (1 + np.exp(-z))
-        gradient = np.append(np.bincount(ids, np.repeat(by_sentence, lengths), minlength=len(kept) + 1), by_sentence.sum())
+        gradient = np.zeros_like(params)
+        for b in blocks:
+            starts = np.cumsum(b.lengths) - b.lengths
+            z = np.add.reduceat(params[b.ids], starts) + params[-1]
+            total = np.add.reduceat(np.logaddexp(0, z), np.cumsum(b.sentences) - b.sentences)  # -log(1 - document score)
+            odds = np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12)
+            slope = np.where(b.labels == 1, -odds, 1.0) / len(labels)
+            by_sentence = np.repeat(slope, b.sentences) / (1 + np.exp(-z))
+            gradient[:-1] += np.bincount(b.ids, np.repeat(by_sentence, b.lengths), minlength=len(kept) + 1)
+            gradient[-1] += by_sentence.sum()
         gradient[1:-1] += shrink * params[1:-1]
         gradient[0] = 0
         first += 0.1 * (gradient - first)
@@ -158,28 +182,36 @@ def sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: st
     marks = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
     order = F.sha2(F.col(doc_id).cast("string"), 256)
     sizes = docs.select(doc_id, F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")).alias("_words"), F.xxhash64(text).alias("_text"))
-    marked = sizes.join(marks, doc_id).withColumn("_order", order)
+    fits = F.col("_words") <= max(most_words // MOST_OF, 1)
+    marked = sizes.filter(fits).join(marks, doc_id).dropDuplicates([doc_id, "_text"]).withColumn("_order", order)
     # half of the bound for either label; a plain top-n, then a running sum over what is left
     sides = []
     for side in (0, 1):
         some = marked.filter(F.col("label") == side).orderBy("_order", "_text").limit(most_docs // 2)
         running = F.sum("_words").over(W.orderBy("_order", "_text").rowsBetween(W.unboundedPreceding, 0))
         sides.append(some.withColumn("_sum", running).filter(F.col("_sum") <= most_words // 2).select(doc_id, "label", "_text"))
-    chosen = sides[0].union(sides[1]).dropDuplicates([doc_id, "_text"])
+    chosen = sides[0].union(sides[1])
     bodies = docs.select(doc_id, F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
-    return bodies.join(F.broadcast(chosen), [doc_id, "_text"]).select("label", "text")  # at most most_docs rows
+    found = bodies.join(F.broadcast(chosen), [doc_id, "_text"])  # chosen: at most most_docs rows
+    return found.dropDuplicates([doc_id, "_text"]).select("label", "text")  # repeated rows come once
 
 
 def train(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, rounds: int = ROUNDS, **options) -> Model:
     found = sample(docs, labels, **options).mapInArrow(_features(bits), "label int, ids binary, starts binary")
-    rows = sorted((r for r in found.collect() if len(r["starts"])), key=lambda r: (r["label"], bytes(r["ids"])))
-    if not rows:
-        return Model(bits, np.zeros(1 << bits), 0.0)
-    ids = [np.frombuffer(r["ids"], np.int32) for r in rows]
-    starts = [np.frombuffer(r["starts"], np.int64) for r in rows]
-    word_base = np.cumsum([0] + [len(x) for x in ids[:-1]])
-    doc_at = np.cumsum([0] + [len(x) for x in starts[:-1]])
-    return fit(np.concatenate(ids), np.concatenate([s + b for s, b in zip(starts, word_base, strict=True)]), doc_at, np.array([r["label"] for r in rows]), bits=bits, rounds=rounds)
+    rows = sorted((r for r in found.collect() if len(r["starts"])), key=lambda r: (r["label"], bytes(r["ids"])), reverse=True)
+    blocks: list[Block] = []
+    while rows:
+        own, held = [], 0
+        while rows and (not own or held + len(rows[-1]["ids"]) // 4 <= BLOCK):
+            own.append(rows.pop())  # and its place in the list is free
+            held += len(own[-1]["ids"]) // 4
+        ids = [np.frombuffer(r["ids"], np.int32) for r in own]
+        starts = [np.frombuffer(r["starts"], np.int64) for r in own]
+        lengths = [np.diff(np.append(s, len(i))) for s, i in zip(starts, ids, strict=True)]
+        blocks.append(Block(
+            np.concatenate(ids), np.concatenate(lengths).astype(np.int32), np.array([len(s) for s in starts], np.int32), np.array([r["label"] for r in own], np.int8),
+        ))
+    return fit(blocks, bits=bits, rounds=rounds)
 
 
 RESULT = [
