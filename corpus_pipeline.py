@@ -1,10 +1,15 @@
-"""The corpus pipeline: each stage works on what the one before kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage works on what the one before kept, written as Parquet and read again.
+
+Defined results: a null text is an empty one and stays null; rows without id are documents; of repeated rows, and of documents
+that share the smallest id of a group, the one with the smaller text digest stays; other columns, whatever their names, go
+through all stages but the last; an empty table runs through.
+"""
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foundling.llm import bpe, copies, mixing, substrings, toxicity
 from foundling.llm.common import read, text_key
@@ -16,6 +21,11 @@ from foundling.session import shared_dir
 WORDS, LENGTH, GRAM = 51, 200, 16
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no name of it can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score says toxic."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -25,19 +35,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that with the smallest id, then text digest; a row of it."""
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    chosen = copies.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select(
-        F.col("m.doc_id").alias("_id"), F.col("m.mark").alias("_mark"),
-    )
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")))
-    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    chosen = copies.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select("m.doc_id", "m.mark")
+    rows = docs.select(whole(docs).alias("row"), F.xxhash64("text").alias("mark"))
+    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(chosen["doc_id"]) & (rows["mark"] == chosen["mark"]))
+    return kept.select("row", chosen["doc_id"].alias("id"), chosen["mark"]).dropDuplicates(["id", "mark"]).select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of 51 words or of op4's length; a character cut in two goes whole.  No document goes."""
-    kept = substrings.cut(docs, length=LENGTH, gram=GRAM, words=WORDS, as_text=True).select("key", F.col("kept").cast("string").alias("_kept"))
-    found = docs.select("*", text_key(F.col("text")).alias("_key"), F.col("text").isNull().alias("_null")).drop("text")
-    joined = found.join(kept, found["_key"] == kept["key"]).withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    kept = substrings.cut(docs, length=LENGTH, gram=GRAM, words=WORDS, as_text=True).select("key", F.col("kept").cast("string").alias("kept"))
+    rows = docs.select(whole(docs.drop("text")).alias("row"), text_key(F.col("text")).alias("key"), F.col("text").isNull().alias("gone"))
+    found = rows.join(kept, "key").withColumn("kept", F.when(~F.col("gone"), F.col("kept")))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
