@@ -117,6 +117,103 @@ def containers(html: str | Column, tag: str = "div", classes: Sequence[str] = ()
     return let(split_before(html, rf"(?i)</?{tag}[\s>]"), found)
 
 
+#: Elements that are closed wherever they are used; their nesting tells where a part of a page ends.
+NESTED = "div|article|section|main|body|table|ul|ol|dl|figure"
+
+
+def _end(pieces: Column, closed: Column) -> Column:
+    """Number of pieces before the first that brings the depth to ``closed``, and whether there is one.  Every piece
+    starts with a tag; opening tags count one up, closing ones down."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(acc: Column, p: Column) -> Column:
+        # what comes before the first tag is no tag
+        depth = acc["depth"] + F.when(p.startswith("</"), -1).when(p.startswith("<"), 1).otherwise(0)
+        moved = F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth <= closed).alias("done"))
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    return F.aggregate(pieces, start, step)
+
+
+def own_element(html: str | Column) -> Column:
+    """The text up to the closing tag of the element it starts with, elements of the same name inside counted; all of it when
+    that element is never closed, the tag alone when it is one that has no content."""
+    c = col(html)
+    void = F.regexp_extract(c, r"(?is)^<(?:img|input|hr|br)\b[^>]*>", 0)
+
+    def cut(parts: Column) -> Column:
+        def text(end: Column) -> Column:
+            closing = F.regexp_extract(F.get(parts, end["n"] - 1), r"(?s)^</[^>]*>", 0)
+            return F.when(end["done"], F.concat(F.array_join(F.slice(parts, 1, end["n"] - 1), ""), closing)).otherwise(F.array_join(parts, ""))
+
+        return let(_end(parts, F.lit(0)), text)
+
+    name = F.regexp_extract(c, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
+    whole = let(F.split(c, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s>/])"))), cut)
+    return F.when(void != "", void).when(name == "", c).otherwise(whole)
+
+
+def in_parent(html: str | Column, levels: Column) -> Column:
+    """The text up to where the element around its start ends, or that many elements further out."""
+
+    def cut(parts: Column) -> Column:
+        return let(_end(parts, -levels), lambda end: F.array_join(F.when(end["done"], F.slice(parts, 1, end["n"] - 1)).otherwise(parts), ""))
+
+    # a sign before the start: the first piece counts as no tag, and is taken off again
+    return F.substring(let(F.split(F.concat(F.lit(MARK), html), rf"(?i)(?=</?(?:{NESTED})[\s>])"), cut), 2, ALL)
+
+
+def stacked(html: str | Column, skip: str = "photo") -> Column:
+    """Key cells (th) above value cells (td), row by row; cells of the class ``skip`` are no values, and a single key
+    has the last of its row."""
+    none = F.array().cast("array<string>")
+
+    def row(r: Column) -> Column:
+        cells = F.filter(elements(r, "td", outer=True), lambda x: ~x.rlike(rf"(?i)^<td[^>]*class\s*=\s*[\"'][^\"']*{skip}"))
+        return F.struct(F.transform(elements(r, "th"), plain).alias("k"), F.transform(cells, plain).alias("v"))
+
+    def paired(rows: Column) -> Column:
+        below = F.concat(F.slice(rows, 2, ALL), F.array(F.struct(none.alias("k"), none.alias("v"))))
+        both = F.filter(F.zip_with(rows, below, lambda a, b: F.struct(a["k"].alias("k"), b["k"].alias("other"), b["v"].alias("v"))), lambda x: (F.size(x["k"]) > 0) & (F.size(x["other"]) == 0))
+        value = lambda x, i: F.when(F.size(x["k"]) == 1, F.try_element_at(x["v"], F.lit(-1))).otherwise(F.get(x["v"], i))
+        return F.flatten(F.transform(both, lambda x: F.transform(x["k"], lambda k, i: F.struct(k.alias("key"), value(x, i).alias("value")))))
+
+    return let(F.transform(elements(html, "tr"), row), paired)
+
+
+def columns(html: str | Column) -> Column:
+    """A table whose columns are records: each column's cells (td, with a cell over several columns in each of them) as
+    one text, the caption before them."""
+
+    def row(r: Column) -> Column:
+        span = lambda x: F.greatest(F.coalesce(F.regexp_extract(x, r"(?i)^<td[^>]*\scolspan\s*=\s*[\"']?([0-9]{1,3})", 1).try_cast("int"), F.lit(1)), F.lit(1))
+        return F.flatten(F.transform(elements(r, "td", outer=True), lambda x: F.array_repeat(x, span(x))))
+
+    def turned(rows: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+        caption = F.regexp_extract(col(html), r"(?is)<caption[\s>].*?</caption\s*>", 0)
+        one = lambda i: F.concat(caption, F.array_join(F.transform(rows, lambda r: F.coalesce(F.get(r, i), F.lit("<td></td>"))), ""))
+        return F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), one)
+
+    return let(F.filter(F.transform(elements(html, "tr"), row), lambda r: F.size(r) > 0), turned)
+
+
+def side_by_side(html: str | Column, key: str) -> Column:
+    """A table in which records stand beside each other as th/td pairs: one text of pairs for each pair whose th has
+    ``key``; a row with fewer pairs gives its last.  The table's pictures go with every record."""
+    pattern = r"(?is)<th[^>]*>.*?</th>\s*<td[^>]*>.*?</td>"
+
+    def records(rows: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(F.filter(r, lambda x: F.regexp_extract(x, r"(?is)^(.*?)</th>", 1).contains(key))))), F.lit(0))
+        pictures = F.array_join(open_tags(html, "img"), "")
+        cells = lambda i: F.array_join(F.transform(rows, lambda r: F.coalesce(F.get(r, i), F.element_at(r, -1))), "")
+        one = lambda i: F.concat(F.regexp_replace(cells(i), r"(?i)<img[^>]*>", ""), pictures)
+        return F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), one)
+
+    rows = F.transform(elements(html, "tr"), lambda r: F.regexp_extract_all(r, F.lit(pattern), F.lit(0)))
+    return let(F.filter(rows, lambda r: F.size(r) > 0), records)
+
+
 def pairs(html: str | Column, key_tag: str = "th", value_tag: str = "td") -> Column:
     """Neighbouring key and value cells as ``array<struct<key,value>>``."""
     pattern = rf"(?is)<{key_tag}[^>]*>(.*?)</{key_tag}>\s*<{value_tag}[^>]*>(.*?)</{value_tag}>"

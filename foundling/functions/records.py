@@ -196,13 +196,12 @@ def segments(c: str | Column, id_pattern: str) -> Column:
     )
 
 
-def keyword_sections(c: str | Column, keywords: Sequence[str], shortest: int = 20, longest: int = 2000) -> Column:
+def keyword_sections(c: str | Column, keywords: Sequence[str], shortest: int = 20, longest: int | None = None) -> Column:
     """Text cut before each keyword; pieces with a keyword and a fitting length."""
     words = alternation(keywords)
     pieces = F.split(F.regexp_replace(col(c), f"({words})", "\x01$1"), "\x01")
-    return F.filter(
-        pieces, lambda p: p.rlike(words) & (F.length(p) > shortest) & (F.length(p) < longest)
-    )
+    fits = lambda p: F.length(p) > shortest if longest is None else (F.length(p) > shortest) & (F.length(p) < longest)
+    return F.filter(pieces, lambda p: p.rlike(words) & fits(p))
 
 
 def labelled_sections(c: str | Column, labels: Sequence[str] = ("推定年齢", "年齢")) -> Column:

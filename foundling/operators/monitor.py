@@ -278,13 +278,13 @@ def daily(runs: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     )
 
 
-def newest_runs(runs: DataFrame, facilities: DataFrame, limit: int = 50, facility_id=None) -> DataFrame:
-    """Newest runs with the facility's name.  Runs of unknown facilities do not
+def newest_runs(runs: DataFrame, facilities: DataFrame, limit: int | None = None, facility_id=None) -> DataFrame:
+    """Runs with the facility's name, newest first; with ``limit`` only so many.  Runs of unknown facilities do not
     count, so they are dropped (semi join) before the top rows are taken."""
     if facility_id:
         runs = runs.filter(F.col("facility_id") == facility_id)
     known = runs.join(facilities.select("facility_id"), "facility_id", "left_semi")
-    top = known.orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(limit)
+    top = known if limit is None else known.orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(limit)
     return top.join(facilities.select("facility_id", "facility_name"), "facility_id").orderBy(
         F.col("ts").desc(), F.col("run_id").desc()
     )

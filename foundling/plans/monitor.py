@@ -148,7 +148,7 @@ def latest_run_status(s, d):
 SELECT run_id, facility_name, {sql_stamp('ts')}, status, yaml_count FROM runs r JOIN facility f ON r.facility_id = f.facility_id
 ORDER BY r.ts DESC, run_id DESC LIMIT 50""")
 def recent_runs(s, d):
-    return M.newest_runs(R.runs(s, d), R.facilities(s, d)).select("run_id", "facility_name", stamp("ts"), "status", "yaml_count")
+    return M.newest_runs(R.runs(s, d), R.facilities(s, d), limit=50).select("run_id", "facility_name", stamp("ts"), "status", "yaml_count")
 
 
 @query("run_kpis", f"""{WITH_RUNS}

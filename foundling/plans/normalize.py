@@ -578,7 +578,7 @@ def line_segments(s, d):
 WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(the|der|que)', chr(1) || '\1', 'g'), chr(1))) AS section FROM documents)
 SELECT doc_id, section FROM p WHERE regexp_matches(section, 'the|der|que') AND length(section) > 20 AND length(section) < 2000""")
 def text_sections(s, d):
-    found = records.keyword_sections("text", ["the", "der", "que"])
+    found = records.keyword_sections("text", ["the", "der", "que"], longest=2000)
     return docs(s, d).select("doc_id", F.explode(found).alias("section"))
 
 

@@ -7,7 +7,7 @@ states what must come out.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from ..functions import classify, html as H, urls
 from ..functions.text import strip_code
@@ -341,15 +341,107 @@ def contains_join_(s, d):
 
 
 @query("image_of_record", """
-SELECT c.conv_id, c.turn FROM conversations c WHERE contains(c.text, substring(c.text, 3, 9)) AND length(c.text) >= 12 AND c.role = 'user'""")
+SELECT c.conv_id, c.turn, i.turn AS id_turn FROM conversations c JOIN conversations i ON c.conv_id = i.conv_id
+WHERE substring(i.text, 3, 9) <> '' AND contains(c.text, substring(i.text, 3, 9))""")
 def image_of_record(s, d):
-    """On each page (conversation) the captions that contain an id of that page;
-    the ids are cut out of the captions, so each must find at least its own."""
-    conv = R.table(s, d, "conversations").filter((c("role") == "user") & (F.length("text") >= 12))
+    """On each page (conversation) all pairs of a caption (turn) and an id of that page that stands in it; the ids are cut
+    out of the captions, so each is found at least once."""
+    conv = R.table(s, d, "conversations")
     caption = conv.select("conv_id", F.struct("conv_id", "turn").alias("k"), "text")
-    ids = conv.select("conv_id", F.struct("conv_id", "turn").alias("r"), F.substring("text", 3, 9).alias("id"))
+    ids = conv.select("conv_id", F.struct("conv_id", "turn").alias("r"), F.substring("text", 3, 9).alias("id")).filter("id <> ''")
     found = contains_join(caption, ids, "k", "text", "r", "id", within=["conv_id"])
-    return found.filter(c("k") == c("r")).select("k.conv_id", "k.turn")
+    return found.select("k.conv_id", "k.turn", F.col("r.turn").alias("id_turn"))
+
+
+FOOT = '<div class="foot"><p>譲渡しました</p><img src="foot.jpg"><table><tr><td>問合せ</td></tr></table></div></body></html>'
+HEAD = '<html><body><div class="head"><img src="head.jpg"></div><div id="main">'
+
+
+def _extracted(s, d, branches, *more):
+    """Pages made of the rows of ``part``, one facility for each branch in turn, with a head and a foot around two records; read
+    back by their layouts."""
+    from ..operators import extract
+    from ..sources import layouts
+
+    n = c("p_partkey") % len(branches)
+    which = lambda i: F.coalesce(*[F.when(n == k, v[i] if isinstance(v[i], Column) else F.lit(v[i])) for k, v in enumerate(branches)])
+    page = parts(s, d).select(
+        "p_partkey", F.lit("https://x.example/a/list.html").alias("url"), which(0).alias("facility"), say(HEAD, which(1), "</div>", FOOT).alias("html"),
+    )
+    out = extract.listings(page, layouts.catalogue(s))
+    return out.select("p_partkey", "external_id", "gender", "status", F.regexp_extract(F.get("images", F.lit(0)), "[^/]+$", 0).alias("image"), F.size("images").alias("n_images"), *more)
+
+
+def _part_text():
+    k = c("p_partkey").cast("string")
+    return k, F.when(c("p_size") % 2 == 0, "オス").otherwise("メス"), F.when(c("p_size") % 2 == 0, "メス").otherwise("オス")
+
+
+BOTH = """WITH p AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'male' ELSE 'female' END AS sex, CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END AS other FROM part),
+r AS (SELECT p.*, i, CASE WHEN i = 1 THEN sex ELSE other END AS gender FROM p, (VALUES (1), (2)) t(i))"""
+
+
+@query("layout_extract_nesting", f"""{BOTH}
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'kochi-pref-k' || p_partkey || '-' || i WHEN 1 THEN '1D' || p_partkey || i ELSE 'fukuoka-pref-' || p_partkey || 'a' || i END AS external_id,
+  gender, 'available' AS status, p_partkey || '-' || i || '.jpg' AS image, 1 AS n_images FROM r""")
+def layout_extract_nesting(s, d):
+    """A record ends with its own element (cards, links) or with the one around it (headings): the foot is none of it."""
+    k, sex, other = _part_text()
+    img = lambda i: say('<img src="', k, f'-{i}.jpg">')
+    card = lambda i, x: say('<div class="tab-animal-card"><div><div>', img(i), "</div></div><table><tr><th>管理番号</th><td>K", k, f"-{i}</td></tr><tr><th>性別</th><td>", x, "</td></tr></table></div>")
+    head = lambda i, x: say("<h3>1D", k, f"{i} (ポチ)</h3><p>種類：", c("p_type"), "<br>性別：", x, "</p><div>", img(i), "</div>")
+    link = lambda i, x: say('<a href="/animals/center-detail/', k, f'a{i}">', img(i), "<dl><dt>性別</dt><dd>", x, "</dd></dl></a>")
+    two = lambda f: say(f(1, sex), "<p>間</p>" if f is not head else "", f(2, other))
+    return _extracted(s, d, [("kochi/kochi-pref", two(card)), ("okayama/okayama-city-dogs", two(head)), ("fukuoka/fukuoka-pref-cats", two(link))])
+
+
+@query("layout_extract_pictures", f"""{BOTH}
+SELECT p_partkey, CASE i WHEN 1 THEN 'K' || p_partkey ELSE 'kanazawa_2' END AS external_id, gender, 'available' AS status, p_partkey || '-' || i || '.jpg' AS image, 1 AS n_images, i = 2 AS needs_review FROM r""")
+def layout_extract_pictures(s, d):
+    """Each record's picture stands before it; a record without a number gets its place on the page."""
+    k, sex, other = _part_text()
+    one = lambda i, number, x: say('<figure class="img-item"><img src="', k, f'-{i}.jpg"></figure><div class="wysiwyg"><table><caption><p>', number, "</p></caption><thead><tr><th>種類</th></tr><tr><td>雑種</td><td>", c("p_brand"), "</td><td>", x, "</td><td>2歳</td></tr></thead></table></div>")
+    body = say(one(1, say("動物番号：K", k), sex), one(2, "番号なし", other))
+    out = _extracted(s, d, [("ishikawa/kanazawa-city-cats", body)], "needs_review", "record_no")
+    return out.filter("record_no < 2").drop("record_no")  # the foot of these pages has a table too
+
+
+@query("layout_extract_grid", f"""{BOTH}
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'mito-city-dog-' || p_partkey || i WHEN 1 THEN 'ehime-pref-cat-' || p_partkey || '-' || i ELSE 'tokushima-pref-t-' || p_partkey || '-' || i END AS external_id,
+  gender, 'available' AS status, p_partkey || '-' || i || '.jpg' AS image, 1 AS n_images, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS color, CASE p_partkey % 3 WHEN 0 THEN 'dog' WHEN 1 THEN 'cat' ELSE 'dog' END AS animal_type FROM r""")
+def layout_extract_grid(s, d):
+    """Records side by side, in columns (a cell over both), and with labels above their values."""
+    k, sex, other = _part_text()
+    alt = lambda i: say('<img src="/uploaded/image/', k, f'-{i}.jpg" alt="', k, f'{i}の写真">')
+    row = lambda label, a, b: say(f"<tr><th>{label}</th><td>", a, f"</td><th>{label}</th><td>", b, "</td></tr>")
+    mito = say("<table>", row("管理番号", say("R7-", k, "1（ショウ）"), say("R7-", k, "2（名前：ハナ）")), row("写真", alt(1), alt(2)), row("毛色", c("p_brand"), c("p_brand")), row("性別", sex, other), "</table>")
+    img = lambda i: say('<img src="/i/', k, f'-{i}.jpg">')
+    ehime = say('<table class="datatable"><caption>譲渡猫</caption><tr><th>写真</th><td>', img(1), "</td><td>", img(2), "</td></tr><tr><th>年齢</th><td>2024年4月生</td><td>不明</td></tr><tr><th>毛色</th><td colspan=2>",
+                c("p_brand"), "</td></tr><tr><th>性別</th><td>", sex, "</td><td>", other, "</td></tr></table>")
+    one = lambda i, x: say('<table class="f_a3"><tr><td class="photo" rowspan="3">', img(i), "</td><th>番号</th></tr><tr><td>T-", k, f"-{i}</td></tr><tr><th>推定生年月日</th><th>性別</th></tr><tr><td>令和５年</td><td>", x, "</td></tr></table>")
+    out = _extracted(s, d, [("ibaraki/mito-city-dogs", mito), ("ehime/ehime-pref", ehime), ("tokushima/tokushima-pref-dogs", say(one(1, sex), one(2, other)))], "color", "animal_type")
+    return out
+
+
+@query("layout_extract_many", f"""{BOTH}
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE i WHEN 1 THEN 'HC' || p_partkey ELSE CAST(p_partkey + 1 AS VARCHAR) END ELSE 'HC' || p_partkey || '-' || i END AS external_id,
+  CASE i WHEN 1 THEN 'male' ELSE 'female' END AS gender, 'available' AS status, p_partkey || '.jpg' AS image, 1 AS n_images FROM r""")
+def layout_extract_many(s, d):
+    """Entries of two animals, with an id for each or one id for both."""
+    k, _, _ = _part_text()
+    ids = F.when(c("p_partkey") % 2 == 0, say(k, ".", (c("p_partkey") + 1).cast("string"))).otherwise(k)
+    body = say('<article class="animal-item"><h2>管理番号：HC', ids, '(松岡)</h2><img src="', k, '.jpg"><dl class="spec"><dt>性別</dt><dd>オス：1匹、メス：1匹</dd></dl></article>')
+    return _extracted(s, d, [("fukui/fukui-pref-cats", body)])
+
+
+@query("layout_extract_gate", """
+SELECT p_partkey, '2025-' || replace(p_brand, '#', '') AS external_id, 'unknown' AS gender, 'available' AS status, p_partkey || '.jpg' AS image, 1 AS n_images, p_type AS color FROM part WHERE p_size % 3 > 0""")
+def layout_extract_gate(s, d):
+    """Ids that are a bare year or too short are rejected, and their records with them."""
+    k, _, _ = _part_text()
+    number = F.when(c("p_size") % 3 > 0, F.concat(F.lit("2025-"), F.replace(c("p_brand"), F.lit("#"), F.lit("")))).when(c("p_size") % 2 == 0, "2025-").otherwise("A1")
+    body = say("<table><tr><td>管理番号</td><td>", number, '</td></tr><tr><td>毛色</td><td>', c("p_type"), '</td></tr><tr><td>写真</td><td><img src="', k, '.jpg"></td></tr></table>')
+    return _extracted(s, d, [("saitama/saitama-pref-cats", body)], "color")
 
 
 @query("layout_extract", """

@@ -231,7 +231,7 @@ SELECT * FROM (VALUES {FEED}) t(path, frequency, priority), (SELECT CAST(NULL AS
 UNION ALL SELECT * FROM (SELECT '/listings/' || listing_id, 'daily', 0.6, last_scraped_at FROM listing WHERE status = 'available'
   ORDER BY last_scraped_at DESC NULLS LAST, listing_id LIMIT 1000)""")
 def feed_export(s, d):
-    return sinks.feed(R.listings(s, d), "listing_id", "last_scraped_at")
+    return sinks.feed(R.listings(s, d), "listing_id", "last_scraped_at", limit=1000)
 
 
 @query("retention_plan", """

@@ -11,15 +11,20 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = (
-    "facility string, record_start string, area_start string, area_end string, shape string, id_pattern string, "
-    "id_prefix string, id_required boolean, id_slug boolean, row_record boolean, species string, listing_type string, iso_dates boolean, rules map<string,string>"
-)
+from ..functions.dictionaries import LABELS
+from ..functions.text import alternation
+
 # fixed values: fields a layout can fill
 FIELDS = (
     "name", "breed", "age_estimate", "gender", "color", "size", "health_status", "personality", "special_needs",
     "protection_date", "deadline_date",
 )
+RULE = "struct<kind:string,arg:string,run_on:string>"
+SCHEMA = (
+    "facility string, mark string, area string, shape string, id_kind string, id_pattern string, id_prefix string, id_required boolean, id_slug boolean, "
+    "row_record boolean, up int, picture string, picture_alt boolean, spread string, section string, skip string, many boolean, fallback string, min_cells int, "
+    f"species string, listing_type string, iso_dates boolean, rules struct<{','.join(f'{f}:{RULE}' for f in FIELDS)}>"
+)
 
 
 def tag(names: str) -> str:
@@ -43,8 +48,24 @@ class Layout:
     (th/td), ``rows`` (two td), ``list`` (dt/dd), ``lines`` (``label：value``),
     ``run_on`` (labels inside running text) or ``none``.
 
-    A record that starts with a table row ends with it.  With ``iso_dates``
-    the dates that can be read become year-month-day, others stay as written.
+    A record ends before the next one starts, and where its nesting says: ``up``
+    0 ends it with the element it starts with (the default), 1 with the element
+    around its start (headings), 2 with the one around that, -1 nowhere.
+
+    ``picture`` says where its picture stands: ``inside``, or ``before`` or
+    ``after`` it, which takes the nearest one between two records.  ``spread``
+    makes several records of a table: its ``columns``, or its ``pairs`` side by
+    side.  ``section`` is a pattern whose last match so far, on the page, is put
+    before the record's text.  A record whose name matches ``skip`` is none.
+    With ``many`` an entry with several ids or numbered genders is one record each.
+
+    A record without a readable id gets ``fallback``, with its number on the
+    page (``{k}`` from 0, ``{n}`` from 1), ``{name}``, or the name in lower case
+    with dashes for blanks (``{slug}``) in it; with ``id_required`` and no
+    ``fallback`` it is a header row or the like, and none, as is one with fewer
+    than ``min_cells`` cells.  ``id_prefix`` may hold ``{type}`` and ``{section}-``.
+    With ``iso_dates`` the dates that can be read become year-month-day, others
+    stay as written.
 
     ``rules`` map a field to ``label:<words>``, ``cell:<number>``,
     ``text:<pattern with a group>`` or ``html:<pattern with a group>``.
@@ -62,6 +83,15 @@ class Layout:
     iso_dates: bool = False
     rules: Mapping[str, str] = field(default_factory=dict)
     area: tuple[str, str] | None = None
+    up: int | None = None
+    picture: str = "inside"
+    picture_alt: bool = False
+    spread: str | None = None
+    section: str | None = None
+    skip: str | None = None
+    many: bool = False
+    fallback: str | None = None
+    min_cells: int = 0
 
 
 def _pair(base: str, kinds: Mapping[str, Mapping], **common) -> list[Layout]:
@@ -83,7 +113,7 @@ CATALOGUE: list[Layout] = [
     ),
     # a table per record
     Layout(
-        "ishikawa/kanazawa-city-cats", tag("table"), id_pattern=r"動物番号[：:]\s*([0-9A-Za-z_]+)", species="cat",
+        "ishikawa/kanazawa-city-cats", tag("table"), id_pattern=r"動物番号[：:]\s*([0-9A-Za-z_]+)", species="cat", picture="before", fallback="kanazawa_{n}",
         rules={"breed": "cell:0", "color": "cell:1", "gender": "cell:2", "age_estimate": "cell:3", "size": "cell:4", "name": "text:[『「]([^』」]+)[』」]"},
     ),
     *_pair(
@@ -93,19 +123,19 @@ CATALOGUE: list[Layout] = [
         record_start=tag("table"),
         rules={"name": "cell:0", "breed": "cell:1", "health_status": "cell:2", "age_estimate": "cell:5", "personality": "cell:6"},
     ),
-    *_pair("tochigi/tochigi-pref", {"cats": {}, "dogs": {}}, record_start=tag("table"), id_pattern=r"番号[：:]\s*([0-9０-９]+)", rules={"gender": "text:(オス|メス)"}),
+    *_pair("tochigi/tochigi-pref", {"cats": {"id_prefix": "A-"}, "dogs": {}}, record_start=tag("table"), id_pattern=r"番号[：:]\s*([0-9０-９]+)", rules={"gender": "text:(オス|メス)"}),
     # a table row per record
     *_pair(
         "aichi/aichi-pref",
         {"cats": {"rules": {"color": "text:(雑種|キジトラ|サビ|三毛|白|黒|茶トラ|グレー)"}}, "dogs": {"rules": {"breed": "text:(雑種|柴犬|チワワ|プードル|ミックス)"}}},
-        record_start=tag("tr"), id_pattern=r"管理No\.?\s*([0-9０-９]+)", id_prefix="aichi-",
+        record_start=tag("tr"), id_pattern=r"管理No\.?\s*([0-9０-９]+)", id_prefix="aichi-{section}-", section=r"<!-- BRANCH: ([0-9A-Za-z_]+) -->",
         rules={"gender": "text:(オス|雄|メス|雌)", "age_estimate": "text:推定?([0-9０-９]+[歳才])"},
     ),
     Layout(
         "hokkaido/sapporo-city-cats", tag("tr"), id_pattern=r"^\s*([0-9A-Za-z][0-9A-Za-z－-]*)\s", species="cat",
         rules={"gender": "cell:1", "color": "cell:2", "age_estimate": "cell:3"},
     ),
-    Layout("hyogo/kobe-city", tag("tr"), id_prefix="kobe-", id_required=False, rules={"name": "cell:0", "breed": "cell:1", "gender": "cell:2"}),
+    Layout("hyogo/kobe-city", tag("tr"), id_prefix="kobe-", fallback="{n}", min_cells=3, rules={"name": "cell:0", "breed": "cell:1", "gender": "cell:2"}),
     Layout(
         "fukuoka/kitakyushu-city-cats", tag("tr"), id_pattern="([A-Z][0-9]{5})", id_prefix="kitakyushu-city-", species="cat",
         rules={"name": "text:[A-Z][0-9]{5}[^（(]*[（(](.+?)[）)]", "gender": "cell:1", "color": "cell:2", "age_estimate": "cell:3"},
@@ -133,24 +163,44 @@ CATALOGUE: list[Layout] = [
     ),
     *_pair(
         "kanagawa/kanagawa-pref", {"cats": {"record_start": classed("is-one-quarter-desktop")}, "dogs": {"record_start": classed("card", "animal-card")}},
-        record_start="", shape="pairs", id_pattern=r"(?:管理番号|収容番号|番号)\s*([0-9A-Za-z-]+)", id_required=False,
-        rules={"gender": "label:性別", "size": "label:大きさ|体格|サイズ", "breed": "label:種類", "color": "label:毛色", "age_estimate": "label:年齢", "protection_date": "label:収容時期"},
+        record_start="", shape="pairs", id_prefix="kanagawa-", fallback="{name}",
+        rules={"name": "label:仮名", "gender": "label:性別", "size": "label:大きさ|体格|サイズ", "breed": "label:種類", "color": "label:毛色", "age_estimate": "label:年齢", "protection_date": "label:収容時期"},
     ),
     Layout(
-        "osaka/osaka-pref-cats", tag("table"), "pairs", r"管理番号\s*(\S+)", species="cat",
+        "osaka/osaka-pref-cats", tag("table"), "pairs", r"管理番号\s*(\S+)", up=1, species="cat",
         rules={"color": "label:毛色", "gender": "label:性別", "age_estimate": "label:推定年齢", "size": "label:体重", "personality": "label:アピールポイント", "protection_date": "label:撮影年月日"},
     ),
     Layout(
         "kochi/kochi-pref", classed("tab-animal-card"), "pairs", r"管理番号\s*(\S+)", "kochi-pref-", id_slug=True,
         rules={"name": "label:仮名", "breed": "label:種類", "gender": "label:性別"},
     ),
-    *_pair("tokushima/tokushima-pref", {"cats": {}, "dogs": {}}, record_start=classed("f_a3"), shape="pairs", id_pattern=r"番号\s*([0-9A-Za-z-]+)", rules={"gender": "label:性別"}),
+    # labels above their values
+    *_pair(
+        "tokushima/tokushima-pref", {"cats": {}, "dogs": {}}, record_start=classed("f_a3"), shape="stacked", id_pattern=r"番号\s*([0-9０-９A-Za-z-]+)", id_prefix="tokushima-pref-", id_slug=True,
+        rules={"gender": "label:性別", "age_estimate": "label:推定生年月日", "special_needs": "label:その他の情報", "protection_date": "label:譲渡可能日"},
+    ),
+    # animals side by side in a table of th/td pairs
+    Layout(
+        "ibaraki/mito-city-dogs", tag("table"), "pairs", r"管理番号\s*R?[0-9]+-([0-9]+)\s*[（(]", "mito-city-dog-", species="dog", spread="pairs", picture_alt=True,
+        rules={"name": r"text:[（(](?:名前[:：\s]*)?(.+?)[）)]", "color": "label:毛色", "gender": "label:性別", "size": "label:体格", "age_estimate": "label:年齢", "health_status": "label:ワクチン", "personality": "label:特徴"},
+    ),
+    # a table whose columns are animals
     Layout(
-        "shizuoka/hamamatsu-city-dogs", r"(?i)<h1[\s>]", "rows", id_prefix="hamamatsu-city-", id_required=False, species="dog",
+        "ehime/ehime-pref", classed("datatable"), id_pattern=r"html:(?i)<img[^>]*\ssrc\s*=\s*[\"'](?:[^\"']*/)?([^/\"']+?)(?:\.(?:jpg|png|jpeg))?[\"']", id_prefix="ehime-pref-{type}-", spread="columns",
+        section=r"(?is)<caption[^>]*>[^猫犬]*?([猫犬])", rules={"age_estimate": "cell:1", "color": "cell:2", "gender": "cell:3"},
+    ),
+    # sections by species
+    Layout(
+        "okinawa/naha-city", classed("img-area-l"), section="譲渡([犬猫])紹介", id_pattern=r"html:(?is)<span[^>]*>\s*([^<]+?)\s*</span>", skip="譲渡できる|いません",
+        rules={"name": r"html:(?is)<span[^>]*>\s*([^<]+?)\s*</span>", "breed": "text:(?:犬種|猫種)：([^性推体]+)", "gender": "text:性別：([^推体性写]+)", "age_estimate": "text:推定年齢：([^体性写]+)",
+               "size": "text:体重：?([^性写]+?kg)", "personality": "text:性格・特徴：([^写]+?)(?:フィラリア|写真撮影日)", "health_status": "text:(フィラリア[^。写]+)"},
+    ),
+    Layout(
+        "shizuoka/hamamatsu-city-dogs", r"(?i)<h1[\s>]", "rows", id_prefix="hamamatsu-city-", fallback="{slug}", species="dog",
         rules={"name": r"html:(?is)<h1[^>]*>\s*([^<]+)", "breed": "label:犬　?種", "gender": "label:性　?別", "age_estimate": "label:年　?齢", "size": "label:体　?格", "special_needs": "label:特記事項"},
     ),
     # dt/dd pairs
-    *_pair("fukui/fukui-pref", {"cats": {}, "dogs": {}}, record_start=classed("animal-item"), shape="list", id_pattern=r"管理番号[：:]\s*([A-Z0-9]+)", rules={"gender": "label:性別"}),
+    *_pair("fukui/fukui-pref", {"cats": {}, "dogs": {}}, record_start=classed("animal-item"), shape="list", id_pattern=r"管理番号[：:]\s*([A-Z0-9.]+)", many=True, rules={"gender": "label:性別"}),
     Layout("tokyo/tokyo-metro-cats", classed("topMainBox"), "list", r"([0-9]{2,}-?[0-9]+)", species="cat", listing_type="lost_pet", iso_dates=True, rules={"protection_date": "label:収容日", "deadline_date": "label:収容期限"}),
     *_pair(
         "fukuoka/fukuoka-pref", {"cats": {}, "dogs": {}}, record_start=link("/animals/center-detail/"), shape="list", id_pattern=r"html:/animals/center-detail/([a-f0-9-]+)",
@@ -177,7 +227,7 @@ CATALOGUE: list[Layout] = [
                "health_status": "text:((?:去勢|避妊)済み)"},
     ),
     Layout(
-        "gunma/gunma-pref-cats", r"(?i)<p[^>]*>\s*ニックネーム：", id_pattern=r"管理番号([^）\s]+)", species="cat",
+        "gunma/gunma-pref-cats", r"(?i)<p[^>]*>\s*ニックネーム：", up=1, id_pattern=r"管理番号([^）\s]+)", species="cat",
         rules={"name": r"html:(?is)<a\s[^>]*>([^<]+)</a>"},
     ),
     Layout(
@@ -192,7 +242,7 @@ CATALOGUE: list[Layout] = [
                "health_status": "label:フィラリア"},
     ),
     Layout(
-        "osaka/osaka-city-cats", tag("h3"), "lines", r"識別番号\s*[/／]\s*([^\s（]+)", species="cat",
+        "osaka/osaka-city-cats", tag("h3"), "lines", up=2, id_pattern=r"識別番号\s*[/／]\s*([^\s（]+)", species="cat",
         rules={"name": r"text:[（(]仮名[：:]\s*([^）)]+)[）)]", "breed": "label:種類", "color": "label:毛色", "gender": "label:性別", "age_estimate": "label:年齢",
                "size": "label:体格", "personality": "label:性格", "health_status": "label:その他"},
     ),
@@ -205,6 +255,10 @@ CATALOGUE: list[Layout] = [
         "niigata/niigata-pref-cats", tag("h3"), id_pattern=r"html:alt=\"[^\"]*?([0-9]{2}[^\s\"]+YC[0-9]{3,4})", id_prefix="niigata-pref-", id_required=False, species="cat",
         rules={"name": r"html:alt=\"([ぁ-んァ-ヶー]+)\""},
     ),
+    Layout(
+        "niigata/niigata-pref-dogs", tag("h3"), id_pattern=r"html:alt=\"[^\"]*?([0-9]{2}[^\s\"-]+YD[0-9]{3,4})", id_prefix="niigata-pref-", species="dog", fallback="dog-{slug}",
+        skip="愛護センター|トップページ|譲渡に関すること|飼い主募集", rules={"name": r"html:(?is)<h3[^>]*>(?:\s|<[^>]+>)*([^<]+)"},
+    ),
     Layout(
         "hiroshima/hiroshima-city", tag("h3|h4"), id_pattern=r"(?:No\.)?([67]-[0-9]+-[0-9]+)[（(]", id_prefix="hiroshima-city-",
         rules={"name": r"text:[67]-[0-9]+-[0-9]+[（(](.+?)[)）]", "gender": "text:(メス|雌|オス|雄)", "age_estimate": _AGE},
@@ -251,11 +305,23 @@ CATALOGUE: list[Layout] = [
 ]
 
 
+def _row(x: Layout) -> tuple:
+    def rule(text: str | None):
+        if text is None:
+            return None
+        kind, arg = text.split(":", 1)
+        return kind, arg, rf"(?:{arg})\s*[:：]?\s*(.+?)\s*(?:{alternation(LABELS)}|$)"
+
+    heading = any(x.record_start == tag(f) for f in ("h1", "h2", "h3", "h4", "h3|h4")) or x.record_start == r"(?i)<h1[\s>]"
+    up = x.up if x.up is not None else 1 if heading else 0
+    kind, pattern = ("html", x.id_pattern[5:]) if x.id_pattern and x.id_pattern.startswith("html:") else ("text", x.id_pattern)
+    return (
+        x.facility, f"({x.record_start})", f"(?s){x.area[0]}(.*?){x.area[1]}" if x.area else None, x.shape, kind, pattern, x.id_prefix,
+        x.id_required and x.fallback is None, x.id_slug, x.record_start == tag("tr"), up, x.picture, x.picture_alt, x.spread, x.section, x.skip, x.many,
+        x.fallback or "{k}", x.min_cells, x.species, x.listing_type, x.iso_dates, tuple(rule(x.rules.get(f)) for f in FIELDS),
+    )
+
+
 def catalogue(spark: SparkSession, layouts: Sequence[Layout] = tuple(CATALOGUE)) -> DataFrame:
     """The layouts as a (small) table."""
-    rows = [
-        (x.facility, x.record_start, x.area[0] if x.area else None, x.area[1] if x.area else None, x.shape, x.id_pattern,
-         x.id_prefix, x.id_required, x.id_slug, x.record_start == tag("tr"), x.species, x.listing_type, x.iso_dates, dict(x.rules))
-        for x in layouts
-    ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([_row(x) for x in layouts], SCHEMA)

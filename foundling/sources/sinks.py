@@ -86,20 +86,19 @@ FEED_STATIC = [
     ("/", "daily", 1.0), ("/search", "daily", 0.9), ("/about", "monthly", 0.5), ("/shelters", "weekly", 0.7),
     ("/legal/privacy", "yearly", 0.3), ("/legal/terms", "yearly", 0.3), ("/legal/disclaimer", "yearly", 0.3),
 ]
-FEED_LIMIT = 1000
 FEED_LISTING = ("daily", 0.6)
 
 
 def feed(
     listings: DataFrame, key: str, updated: str, folder: str = "/listings", static: Sequence[tuple] = tuple(FEED_STATIC),
-    limit: int = FEED_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Static pages and the newest available listings.  The limit is the feed's own."""
+    """Static pages and the available listings; with ``limit`` only the newest so many."""
     fixed = listings.sparkSession.createDataFrame(list(static), "path string, frequency string, priority double")
     fixed = fixed.withColumn(updated, F.lit(None).cast(listings.schema[updated].dataType))
-    newest = (
-        listings.filter(F.col("status") == "available").orderBy(F.col(updated).desc_nulls_last(), F.col(key).asc()).limit(limit)
-    )
+    newest = listings.filter(F.col("status") == "available")
+    if limit is not None:
+        newest = newest.orderBy(F.col(updated).desc_nulls_last(), F.col(key).asc()).limit(limit)
     frequency, priority = FEED_LISTING
     rows = newest.select(
         F.concat(F.lit(f"{folder}/"), F.col(key)).alias("path"), F.lit(frequency).alias("frequency"),

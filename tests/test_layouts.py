@@ -87,3 +87,102 @@ def test_last_row_ends_before_the_foot_and_dates_are_iso(spark):
     ]
     assert [x.rsplit("/", 1)[1] for x in a.images] == ["1.jpg"] and not b.images
     assert (c.listing_type, c.deadline_date) == ("lost_pet", "2025-02-01")
+
+
+def _read(spark, *pages):
+    rows = spark.createDataFrame([(f, h, "https://s.jp/d/i.html") for f, h in pages], "facility string, html string, url string")
+    return extract.listings(rows, layouts.catalogue(spark)).orderBy("facility", "record_no", "external_id").collect()
+
+
+FOOT = '<div class="foot"><p>譲渡しました</p><img src="/foot.jpg"><table><tr><td>問合せ</td></tr></table></div></body></html>'
+
+
+def _names(rows):
+    return [[x.rsplit("/", 1)[1] for x in r.images] for r in rows]
+
+
+def test_a_record_ends_with_its_own_element(spark):
+    card = '<div class="tab-animal-card"><div class="in"><div></div><img src="{0}.jpg"></div><table><tr><th>管理番号</th><td>{0}</td></tr><tr><th>性別</th><td>オス</td></tr></table></div>'
+    rows = _read(spark, ("kochi/kochi-pref", "<html><body><div>案内<img src='h.jpg'></div><div id=m>" + card.format("A1") + "<p>間</p>" + card.format("A2") + "</div>" + FOOT))
+    assert [(r.external_id, r.status) for r in rows] == [("kochi-pref-a1", "available"), ("kochi-pref-a2", "available")]
+    assert _names(rows) == [["A1.jpg"], ["A2.jpg"]]
+
+
+def test_a_heading_record_ends_with_the_element_around_it(spark):
+    page = "<body><div id=m><h3>1D001 (ポチくん)</h3><p>種類：雑種<br>性別：オス</p><div><img src='a.jpg'></div><h3>1D002 (ハナ)</h3><p>性別：メス</p></div>"
+    rows = _read(spark, ("okayama/okayama-city-dogs", page + FOOT))
+    assert [(r.external_id, r.name, r.gender, r.status) for r in rows] == [("1D001", "ポチ", "male", "available"), ("1D002", "ハナ", "female", "available")]
+    assert _names(rows) == [["a.jpg"], []]
+
+
+def test_a_link_record(spark):
+    link = '<li><a href="/animals/center-detail/{0}"><img src="{0}.png"><dl><dt>性別</dt><dd>オス</dd></dl></a></li>'
+    rows = _read(spark, ("fukuoka/fukuoka-pref-cats", "<ul>" + link.format("a1") + link.format("b2") + "</ul>" + FOOT))
+    assert [r.status for r in rows] == ["available"] * 2 and _names(rows) == [["a1.png"], ["b2.png"]]
+
+
+def test_an_element_that_is_never_closed(spark):
+    rows = _read(spark, ("kochi/kochi-pref", '<div class="tab-animal-card"><table><tr><th>管理番号</th><td>Z9</td></tr></table><p>x'))
+    assert [r.external_id for r in rows] == ["kochi-pref-z9"]
+
+
+def test_picture_before_the_table_and_number_of_a_record_without_id(spark):
+    one = '<figure class="img-item"><img src="{0}.jpg"></figure><div class="wysiwyg"><table><caption><p>{1}</p></caption><thead><tr><th>種類</th></tr><tr><td>雑種</td><td>白</td><td>{2}</td><td>2歳</td><td>小</td></tr></thead></table></div>'
+    page = one.format("p1", "動物番号：K1", "オス") + one.format("p2", "（番号なし）", "メス") + '<div class="wysiwyg"><table><tr><td>雑種</td><td>黒</td></tr></table></div>'
+    rows = _read(spark, ("ishikawa/kanazawa-city-cats", "<img src='top.jpg'>" + page + FOOT))[:3]
+    assert [(r.external_id, r.gender, r.needs_review) for r in rows] == [("K1", "male", False), ("kanazawa_2", "female", True), ("kanazawa_3", "unknown", True)]
+    assert _names(rows) == [["p1.jpg"], ["p2.jpg"], []]
+
+
+def test_many_animals_in_an_entry(spark):
+    entry = '<article class="animal-item"><h2>管理番号：{}(松岡)</h2><dl class="spec"><dt>性別</dt><dd>{}</dd></dl></article>'
+    rows = _read(spark, ("fukui/fukui-pref-cats", entry.format("HC25378.25379", "オス：1匹、メス：1匹") + entry.format("HC1", "オス：1匹、メス：2匹") + entry.format("HC2", "メス") + FOOT))
+    assert [(r.external_id, r.gender) for r in rows] == [
+        ("25379", "female"), ("HC25378", "male"), ("HC1-1", "male"), ("HC1-2", "female"), ("HC1-3", "female"), ("HC2", "female"),
+    ]
+
+
+def test_labels_above_their_values(spark):
+    table = ('<table class="f_a3"><tr><td class="photo" rowspan="4"><a><img src="{0}.jpg"></a></td><th>番号</th></tr><tr><td>{0}</td></tr><tr><th>推定生年月日</th><th>性別</th></tr>'
+             '<tr><td>令和５年４月</td><td>{1}</td></tr><tr><th colspan="2">その他の情報</th></tr><tr><td colspan="2">人懐こい</td></tr></table>')
+    rows = _read(spark, ("tokushima/tokushima-pref-dogs", "<ul class='news'>" + table.format("Ｔ-１".replace("Ｔ", "T"), "オス（去勢）") + table.format("T-2", "メス") + "</ul>" + FOOT))
+    assert [(r.external_id, r.gender, r.age_estimate, r.special_needs) for r in rows] == [
+        ("tokushima-pref-t-1", "male", "令和5年4月", "人懐こい"), ("tokushima-pref-t-2", "female", "令和5年4月", "人懐こい"),
+    ]
+    assert _names(rows) == [["T-１.jpg"], ["T-2.jpg"]]
+
+
+def test_records_side_by_side(spark):
+    pair = lambda k, a, b: f"<tr><th>{k}</th><td>{a}</td><th>{k}</th><td>{b}</td></tr>"
+    table = ("<table>" + pair("管理番号", "R7-39（名前：ショウ）", "R7-43（イチロー）") + pair("写真", '<img src="/uploaded/image/1.jpg" alt="39の写真">', '<img src="/uploaded/image/2.jpg" alt="43の写真">')
+             + pair("毛色", "茶", "白黒") + pair("性別", "オス", "メス") + pair("体格", "中型 12.5kg", "8kg") + "<tr><th>備考</th><td>なし</td></tr></table>")
+    rows = _read(spark, ("ibaraki/mito-city-dogs", "<table><tr><td>案内</td></tr></table>" + table + FOOT))
+    assert [(r.external_id, r.name, r.color, r.gender) for r in rows] == [("mito-city-dog-39", "ショウ", "茶", "male"), ("mito-city-dog-43", "イチロー", "白黒", "female")]
+    assert _names(rows) == [["1.jpg"], ["2.jpg"]]
+
+
+def test_records_in_columns(spark):
+    table = ('<table class="datatable"><caption>{0}</caption><tr><th>写真</th><td><img src="/i/{1}1.jpg"></td><td><img src="/i/{1}2.JPG"></td></tr><tr><th>年齢</th><td>2024年4月生</td><td>2023年1月生</td></tr>'
+             "<tr><th>毛色</th><td colspan=2>茶トラ</td></tr><tr><th>性別</th><td>オス（去勢）</td><td>メス</td></tr></table>")
+    rows = _read(spark, ("ehime/ehime-pref", "<table><tr><td>x</td></tr></table>" + table.format("譲渡猫", "c") + table.format("", "d") + table.format("譲渡犬", "e") + FOOT))
+    assert [(r.external_id, r.animal_type, r.age_estimate, r.color, r.gender) for r in rows] == [
+        (f"ehime-pref-{kind}-{n}{i}", kind, age, "茶トラ", sex)
+        for n, kind in (("c", "cat"), ("d", "cat"), ("e", "dog")) for i, age, sex in ((1, "2024年4月生", "male"), (2, "2023年1月生", "female"))
+    ]
+
+
+def test_sections_by_species_and_names_that_are_none(spark):
+    one = '<div class="img-area-l"><p><img src="{0}.jpg"><br><span>{0}</span></p><p>{1}：雑種性別：メス推定年齢：3歳体重：4.2kg性格・特徴：おだやか写真撮影日：1月</p></div>'
+    none = '<div class="img-area-l"><span>現在譲渡できる猫はいません</span></div>'
+    page = "<div><h3>譲渡犬紹介</h3></div>" + one.format("マル", "犬種") + one.format("クロ", "犬種") + "<div><h3>譲渡猫紹介</h3></div>" + one.format("ミケ", "猫種") + none
+    rows = _read(spark, ("okinawa/naha-city", page + FOOT))
+    assert [(r.external_id, r.animal_type, r.breed, r.gender, r.age_estimate, r.size, r.personality, r.status) for r in rows] == [
+        (n, k, "雑種", "female", "3歳", "4.2kg", "おだやか", "available") for n, k in (("マル", "dog"), ("クロ", "dog"), ("ミケ", "cat"))
+    ]
+
+
+def test_fallback_by_name(spark):
+    page = '<div><h3>トップページ</h3><h3>ゆきお</h3><p><img src="a.jpg" alt="25長YD02-ゆきお"></p><h3>うめ</h3><p><img src="b.jpg" alt="24芝YD006　うめ"></p><h3>Kuro</h3><p><img src="c.jpg"></p></div>'
+    rows = _read(spark, ("niigata/niigata-pref-dogs", page + FOOT))
+    assert [(r.external_id, r.name) for r in rows] == [("niigata-pref-dog-ゆきお", "ゆきお"), ("niigata-pref-24芝YD006", "うめ"), ("niigata-pref-dog-kuro", "Kuro")]
+    assert _names(rows) == [["a.jpg"], ["b.jpg"], ["c.jpg"]]

@@ -279,3 +279,18 @@ def test_suffixes_of_many_digits_are_contested():
     from foundling.operators.load import SUFFIX
 
     assert re.match(SUFFIX, "x-12345678901234").group(2) == "12345678901234"
+
+
+def test_no_default_limits(spark):
+    """More than each old cap: 50 runs, 1,000 listings of a feed, 2,000 signs of a section."""
+    from foundling.functions.records import keyword_sections
+    from foundling.operators import monitor
+    from foundling.sources import sinks
+
+    runs = spark.range(70).select(F.col("id").alias("run_id"), (F.col("id") % 3).alias("facility_id"), F.col("id").cast("timestamp").alias("ts"))
+    facilities = spark.range(3).select(F.col("id").alias("facility_id"), F.lit("f").alias("facility_name"))
+    assert monitor.newest_runs(runs, facilities).count() == 70 and monitor.newest_runs(runs, facilities, limit=50).count() == 50
+    listings = spark.range(1200).select(F.col("id").cast("string").alias("key"), F.lit("available").alias("status"), F.col("id").cast("timestamp").alias("at"))
+    assert sinks.feed(listings, "key", "at").count() == 1200 + len(sinks.FEED_STATIC)
+    long = spark.range(1).select(keyword_sections(F.concat(F.lit("cat "), F.repeat(F.lit("x"), 5000)), ["cat"]).alias("s")).first().s
+    assert len(long) == 1 and len(long[0]) == 5004
