@@ -3,8 +3,9 @@
 A text is the set of its distinct five-word shingles (64-bit hashes).  ``BANDS`` bands of ``ROWS`` minima each are its
 cells: two texts of Jaccard similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.998 at s = 0.8
 whatever kind of change makes the difference (scattered words, a replaced paragraph, text appended).  Every link of these
-is verified by the exact similarity of both sets, joined back by key.  They come on top of the links of :mod:`near`, which
-loses block edits and appended text; what its fingerprints link is verified by the sets as well.
+is verified by the exact similarity of both sets, joined back by key.  The fingerprints of :mod:`near`, which lose block
+edits and appended text and link some texts under 0.8, add candidates: each text of a component of theirs with its smallest
+one, verified by the sets like the others.
 
 Texts first meet the smallest text of their cell.  Texts outside the largest component of a cell then meet the smallest
 text of that component, and those still outside are compared with all texts of other components in the cell.  So no
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import freeze
 from .common import encoded, pieces
+from .components import stars
 from .near import _LOWER, NAMES, _joined, _mixed, _rooted, components as near_components, fingerprint, shingles
 
 BANDS, ROWS = 16, 5
@@ -98,13 +100,16 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def components(marks: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node``, ``root`` for the nodes that have a link, those in ``roots`` included; ``marks`` has a row for each node."""
+def components(marks: DataFrame, more: DataFrame) -> DataFrame:
+    """``node``, ``root`` for the nodes that have a link; ``marks`` has a row for each node, ``more`` further candidates as
+    ``node`` and ``root``."""
     index = marks.select("node", F.explode("cells").alias("cell"))
     shared = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = freeze(index.join(shared.select("cell", "least"), "cell"))
-    sets = freeze(marks.select("node", "own").join(members.select("node").distinct(), "node", "left_semi"))
-    roots = _joined(roots, _verified(members.filter("least < node").select(*_pair("least", "node")), sets))
+    tested = members.select("node").union(more.select("node")).union(more.select("root")).distinct()
+    sets = freeze(marks.select("node", "own").join(tested, "node", "left_semi"))
+    candidates = members.filter("least < node").select(*_pair("least", "node")).union(more.select(*_pair("node", "root")))
+    roots = stars(_verified(candidates, sets))
     for last in (False, True):
         rooted = freeze(_rooted(members.select("cell", "node"), roots))
         parts = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
@@ -128,6 +133,5 @@ def classes(docs: DataFrame, *, text: str = "text") -> DataFrame:
         T.StructField("node", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("own", T.BinaryType()),
     ])
     rows = freeze(rows.mapInArrow(_marks, schema))
-    marks = freeze(rows.drop("row").dropDuplicates(["node"]))
-    roots = near_components(marks.select("node", *NAMES), lambda links: _verified(links, marks))
-    return _rooted(rows.select("row", "node"), components(marks, roots))
+    more = near_components(rows.select("node", *NAMES).dropDuplicates(["node"]))
+    return _rooted(rows.select("row", "node"), components(rows.select("node", "cells", "own").dropDuplicates(["node"]), more))
