@@ -294,3 +294,20 @@ def test_no_default_limits(spark):
     assert sinks.feed(listings, "key", "at").count() == 1200 + len(sinks.FEED_STATIC)
     long = spark.range(1).select(keyword_sections(F.concat(F.lit("cat "), F.repeat(F.lit("x"), 5000)), ["cat"]).alias("s")).first().s
     assert len(long) == 1 and len(long[0]) == 5004
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_needles_with_a_common_beginning(spark, monkeypatch, few):
+    """A thousand needles of one beginning: each is anchored where it differs, so that few candidates meet."""
+    from foundling.operators import containment
+
+    monkeypatch.setattr(containment, "BROADCAST_ANCHORS", few)
+    start = "all of them begin with the same long phrase and only then comes"
+    needles = spark.createDataFrame([(i, f"{start} word{i} which is the end") for i in range(1000)], "n long, needle string")
+    texts = spark.createDataFrame([(i, f"x{i} {start} word{i * 7} which is the end of it" if i % 2 else f"{start} nothing") for i in range(200)], "t long, text string")
+    found = {(r.t, r.n) for r in containment.contains_join(texts, needles, "t", "text", "n", "needle").collect()}
+    assert found == {(i, i * 7) for i in range(200) if i % 2 and i * 7 < 1000}
+    anchored = containment.anchors(needles, "n", "needle")
+    assert anchored.groupBy("_mode", "_h").count().agg(F.max("count")).first()[0] == 1
+    runs = texts.select("t", F.explode(containment._runs(F.col("text"), 4)).alias("r")).select("t", F.col("r._h").alias("_h"))
+    assert runs.join(anchored, "_h").count() <= 2 * len(found)
