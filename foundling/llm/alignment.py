@@ -205,7 +205,7 @@ class Memory:
         return len(self.number) > CHUNKS or len(self.pairs) > CHUNK_PAIRS
 
     def learn(self) -> None:
-        fresh, self.number.fresh = self.number.fresh, []
+        fresh = self.number.fresh()
         t = self.tokenizers
         a, b = t.encode(fresh)
         exact = t.exact(fresh, a, b)
@@ -260,7 +260,7 @@ def _totals(memory: Memory, texts: list[str | None]) -> list[tuple[list[int], st
 
     def known(lists):
         found = [np.fromiter(map(memory.number.__getitem__, own), np.int64, len(own)) for own in lists]
-        if memory.number.fresh:
+        if len(memory.number) > memory.number.seen:
             memory.learn()
         return found
 

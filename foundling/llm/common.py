@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +52,18 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-class Numbers(dict):
-    """Strings by the order in which they come; ``fresh`` are those not yet looked at."""
+class Numbers(defaultdict):
+    """Strings by the order in which they come."""
 
     def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
+        super().__init__(count().__next__)
+        self.seen = 0
+
+    def fresh(self) -> list[str]:
+        """The strings that came since the last call."""
+        new = list(islice(reversed(self), len(self) - self.seen))[::-1]
+        self.seen = len(self)
+        return new
 
 
 class Lists:

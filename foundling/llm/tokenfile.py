@@ -236,9 +236,8 @@ class Lexicon:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        own, cut = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
-        # parts need no normalising and no further cut
-        cut.normalizer = None
+        own = Tokenizer.from_str(tokenizer)
+        cut = Tokenizer(own.model)  # parts need no normalising and no further cut
         cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.encode, self.encode_parts = ((lambda texts, t=t: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]) for t in (own, cut))
         n = own.get_vocab_size(with_added_tokens=True)
@@ -247,16 +246,17 @@ class Lexicon:
 
     def clear(self) -> None:
         self.word, self.part = Numbers(), Numbers()
-        self.part[" "] = 0
+        self.part[" "]  # number 0, without ids
+        self.part.seen = 1
         self.parts_of, self.ids_of = Lists(np.int32), Lists(np.uint32)
         self.ids_of.add(np.zeros(1, np.int64), np.zeros(0))
 
     def _learn(self) -> None:
-        fresh, self.word.fresh = self.word.fresh, []
+        fresh = self.word.fresh()
         plain = [bool(self.PLAIN.fullmatch(w)) and "<|" not in w for w in fresh]
         cut = self.PARTS.findall(" ".join(w if p else "" for w, p in zip(fresh, plain, strict=True)).lower())
         numbers = np.fromiter(map(self.part.__getitem__, cut), np.int64, len(cut))
-        new, self.part.fresh = self.part.fresh, []
+        new = self.part.fresh()
         if new:
             found = self.encode_parts([" ".join(new[i:i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)])
             ids = np.array([i for own in found for i in own], np.int64)
@@ -272,7 +272,8 @@ class Lexicon:
             self.ids_of.add(np.array([len(i) for i in found], np.int64), np.array([i for own in found for i in own], np.int64))
             own = np.arange(len(self.ids_of.counts) - len(other), len(self.ids_of.counts))
             for n in own.tolist():
-                self.part[f"\n{n}"] = n  # keeps the numbers in step
+                self.part[f"\n{n}"]  # takes the number
+            self.part.seen = len(self.part)
             words, numbers = np.concatenate([words, other]), np.concatenate([numbers, own])
             order = np.argsort(words, kind="stable")
             words, numbers = words[order], numbers[order]
@@ -285,7 +286,7 @@ class Lexicon:
         for text in texts:
             own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             words.append(np.fromiter(map(number, own), np.int64, len(own)))
-        if self.word.fresh:
+        if len(self.word) > self.word.seen:
             self._learn()
         parts, in_word = self.parts_of.gather(np.concatenate(words) if words else np.zeros(0, np.int64))
         ids, in_part = self.ids_of.gather(parts)
