@@ -186,3 +186,14 @@ def test_fallback_by_name(spark):
     rows = _read(spark, ("niigata/niigata-pref-dogs", page + FOOT))
     assert [(r.external_id, r.name) for r in rows] == [("niigata-pref-dog-ゆきお", "ゆきお"), ("niigata-pref-24芝YD006", "うめ"), ("niigata-pref-dog-kuro", "Kuro")]
     assert _names(rows) == [["a.jpg"], ["b.jpg"], ["c.jpg"]]
+
+
+def test_ids_by_branch_number_and_name(spark):
+    rows = _read(
+        spark,
+        ("aichi/aichi-pref-cats", "<!-- BRANCH: honjo --><table><tr><td>管理No.1 メス</td></tr></table><!-- BRANCH: owari --><table><tr><td>管理No.2 オス</td></tr></table>"),
+        ("hyogo/kobe-city", "<table><tr><th>名前</th></tr><tr><td>ミケ</td><td>雑種</td><td>メス</td></tr><tr><td>空</td></tr></table>"),
+        ("kanagawa/kanagawa-pref-cats", '<div class="is-one-quarter-desktop"><table><tr><th>仮名</th><td>ハナ</td></tr></table></div><div class="is-one-quarter-desktop"><table><tr><th>性別</th><td>オス</td></tr></table></div>'),
+        ("tochigi/tochigi-pref-cats", "<table><tr><td>番号：１２</td></tr><tr><td>オス</td></tr></table>"),
+    )
+    assert [r.external_id for r in rows] == ["aichi-honjo-1", "aichi-owari-2", "kobe-2", "kanagawa-ハナ", "kanagawa-unknown-1", "A-12"]
