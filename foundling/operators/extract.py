@@ -145,9 +145,10 @@ def _animals(found: Column, gender: Column, many: Column) -> Column:
 
 
 def listings(pages: DataFrame, layouts: DataFrame, body: str = "html", facility: str = "facility", url: str = "url") -> DataFrame:
-    """Records in the listing's normal form."""
+    """Records in the listing's normal form; ``record_no`` is their place on the page, ``animal_no`` the place in an entry of several."""
     raw = raw_records(pages, layouts, body, facility, url)
-    raw = raw.withColumn("one", F.explode(_animals(F.col("found_id"), F.col("gender"), F.col("many")))).withColumn("found_id", F.col("one.found"))
+    animals = _animals(F.col("found_id"), F.col("gender"), F.col("many"))
+    raw = raw.select("*", F.posexplode(animals).alias("animal_no", "one")).withColumn("found_id", F.col("one.found"))
     iso = {d: F.coalesce(F.when(F.col("iso_dates"), F.date_format(dates.parse_date(d), "yyyy-MM-dd")), F.col(d)) for d in ("protection_date", "deadline_date")}
     kind = F.coalesce("species", classify.species("raw_text"))
     nth = lambda start: (F.col("record_no") + start).cast("string")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.urls import in_target
-from .ordered import first_n, previous_row, quantile_chunks
+from .ordered import first_n, ordered_chunks, previous_row
 
 # fixed value: length of the kept history
 HISTORY = 10
@@ -175,7 +175,7 @@ def carry_forward(
     runs: DataFrame, counts: Sequence[str] = ("html_count", "yaml_count", "db_count"), rows_per_chunk: int = 1_000_000
 ) -> DataFrame:
     """Counts a stage starts from: the previous run's, where they were positive."""
-    chunked = quantile_chunks(runs, ["scraper_id"], F.unix_micros("ts"), rows_per_chunk=rows_per_chunk)
+    chunked = ordered_chunks(runs, ["scraper_id"], ["ts", "run_id"], rows_per_chunk=rows_per_chunk)
     out = previous_row(chunked, ["scraper_id"], ["ts", "run_id"], F.struct(*counts), "_previous")
     return out.withColumns(
         {f"inherited_{c}": F.when(F.col("_previous")[c] > 0, F.col("_previous")[c]) for c in counts}

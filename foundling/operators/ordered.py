@@ -26,38 +26,36 @@ def fixed_chunks(df: DataFrame, position: str | Column, width: int) -> DataFrame
     return df.withColumn(CHUNK, F.floor(pos / F.lit(width)))
 
 
-def quantile_chunks(
-    df: DataFrame, keys: Sequence[str], position: Column, *, rows_per_chunk: int = 1_000_000, splits: int = 512
-) -> DataFrame:
-    """Chunks of about equal row counts for the keys that need it.
-
-    A count per key finds the keys longer than ``rows_per_chunk``; there are at
-    most ``rows / rows_per_chunk`` of them.  Usually there is none and that is
-    all.  Otherwise split points are taken from the rows of those keys alone
-    and frozen: both levels of a carry must see the same chunks.  ``position``
-    must be numeric and may repeat; rows at one position share a chunk.
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, rows_per_chunk: int = 1_000_000) -> DataFrame:
+    """Chunks of about ``rows_per_chunk`` rows for the keys that are longer.
+
+    A count per key finds those keys; there are at most ``rows / rows_per_chunk``
+    of them, and usually none.  Their rows alone are range partitioned on
+    (key, order), and the first row of each partition is a split point.  The
+    points are frozen: both levels of a carry must see the same chunks.  Their
+    number follows the rows.  ``order`` names columns of any ordered type and
+    should end in a tie-break: only rows equal in all of it share a chunk of
+    any size.
     """
-    keys = list(keys)
-    hot = freeze(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk).select(*keys))
-    found = hot.limit(SMALL + 1).count()
+    keys, order = list(keys), list(order)
+    long = freeze(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk))
+    found, rows = long.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not found:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    cuts = [i / splits for i in range(1, splits)]
-    points = freeze(
-        _by_key(df, _sized(hot, found), keys, "left_semi").groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(position, cuts, 10_000)).alias("_cuts"))
-    )
-    # count the cuts below a position in two steps of about sqrt(splits) each:
-    # whole blocks by their last cut, then inside the block
-    step = max(int(splits ** 0.5), 1)
-    ends = F.filter(F.transform("_cuts", lambda c, i: F.when((i + 1) % step == 0, c)), lambda c: c.isNotNull())
-    side = points.withColumn("_ends", ends)
-    less = lambda cuts: F.size(F.filter(cuts, lambda c: c < position))
-    joined = _by_key(df, _sized(side, found), keys, "left").withColumn("_block", less(F.col("_ends")) * step)
-    below = F.col("_block") + less(F.slice("_cuts", F.col("_block") + 1, F.lit(step)))
-    return joined.withColumn(CHUNK, F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("long")).drop(
-        "_cuts", "_ends", "_block"
+    hot = _by_key(df.select(*dict.fromkeys([*keys, *order])), _sized(long.select(*keys), found), keys, "left_semi")
+    ranged = hot.repartitionByRange(-(-rows // rows_per_chunk) + 1, *keys, *order).withColumn("_part", F.spark_partition_id())
+    firsts = freeze(ranged.groupBy(*keys, "_part").agg(F.min(F.struct(*order)).alias("_from")))
+    points = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list("_from")).alias("_cuts"))
+    # count the points up to a row in two steps of about the square root of their number
+    step = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    side = points.withColumn("_step", step).withColumn(
+        "_ends", F.filter(F.transform("_cuts", lambda c, i: F.when((i + 1) % F.col("_step") == 0, c)), lambda c: c.isNotNull())
     )
+    at = F.struct(*order)
+    passed = lambda cuts: F.size(F.filter(cuts, lambda c: c <= at))
+    joined = _by_key(df, _sized(side, firsts.count()), keys, "left").withColumn("_block", passed(F.col("_ends")) * F.col("_step"))
+    chunk = F.col("_block") + passed(F.slice("_cuts", F.col("_block") + 1, F.col("_step")))
+    return joined.withColumn(CHUNK, F.coalesce(chunk, F.lit(0)).cast("long")).drop("_cuts", "_ends", "_step", "_block")
 
 
 def _sized(side: DataFrame, rows: int) -> DataFrame:

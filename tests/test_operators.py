@@ -30,10 +30,10 @@ def brute(rows, key):
     return sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("how", ["fixed", "quantile"])
+@pytest.mark.parametrize("how", ["fixed", "ordered"])
 def test_chunked_windows(series, how):
     rows, df = series
-    cut = lambda: O.fixed_chunks(df, "pos", 13) if how == "fixed" else O.quantile_chunks(df, ["k"], F.col("pos"), rows_per_chunk=20, splits=9)
+    cut = lambda: O.fixed_chunks(df, "pos", 13) if how == "fixed" else O.ordered_chunks(df, ["k"], ["pos"], rows_per_chunk=20)
     num = {(r["k"], r["pos"]): r["rn"] for r in O.row_numbers(cut(), ["k"], [F.col("pos")]).collect()}
     lag = {(r["k"], r["pos"]): r["prev"] for r in O.previous_row(cut(), ["k"], ["pos"], F.col("v")).collect()}
     last = {(r["k"], r["pos"]): r["last"] for r in O.last_seen(cut(), ["k"], ["pos"], F.col("v")).collect()}
@@ -52,6 +52,16 @@ def test_chunked_windows(series, how):
             prev = v
 
 
+def test_chunks_of_one_key_and_time(spark):
+    """One key, one time stamp, ties decided by text: no chunk far over the limit, and the numbers are those of one window."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.lit(1).alias("ts"), F.sha2(F.col("id").cast("string"), 256).alias("tie"))
+    cut = O.ordered_chunks(df, ["k"], ["ts", "tie"], rows_per_chunk=500)
+    sizes = [r["count"] for r in cut.groupBy(O.CHUNK).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 20 and max(sizes) < 2_500
+    got = [r["tie"] for r in O.row_numbers(cut, ["k"], [F.col("ts"), F.col("tie")]).orderBy("rn").collect()]
+    assert got == sorted(got) and len(got) == 20_000
+
+
 # ---- unique names ---------------------------------------------------------------------
 
 def one_by_one(rows):
