@@ -224,3 +224,89 @@ def snapshot_stats(s, d):
         F.when(c("l_returnflag") == "A", "dog").when(c("l_returnflag") == "N", "cat").alias("animal_type"),
     )
     return Q.snapshot_stats(rows, ["facility_id"])
+
+
+def scraped(s, d):
+    """Rows of ``part`` as pages of three facilities with two animals each, and the listing table that a load meets."""
+    k, even = c("p_partkey").cast("string"), c("p_size") % 2 == 0
+    say = lambda *x: F.concat(*[y if not isinstance(y, str) else F.lit(y) for y in x])
+    sex = [F.when(even, "オス").otherwise("メス"), F.when(even, "メス").otherwise("オス")]
+    second = F.when(c("p_partkey") % 7 == 0, "1").otherwise("2")
+
+    def card(i, number, name):
+        named = say("<tr><th>仮名</th><td>", name, "</td></tr>") if name is not None else ""
+        return say('<div class="tab-animal-card"><img src="', k, f'-{i}.jpg"><table><tr><th>管理番号</th><td>K', k, "-", number, "</td></tr>", named,
+                   "<tr><th>種類</th><td>", F.when(even, "猫").otherwise("犬"), "</td></tr><tr><th>性別</th><td>", sex[i - 1], "</td></tr></table></div>")
+
+    cards = say(card(1, "1", c("p_brand")), "<p>間</p>", card(2, second, None))
+    row = lambda i, number: say('<figure><img src="', k, f'-{i}.jpg"></figure><table><caption>', number, "</caption><tr><th>種類</th></tr><tr><td>雑種</td><td>黒</td><td>", sex[i - 1], "</td></tr></table>")
+    tables = say(row(1, say("動物番号：K", k)), row(2, "番号なし"))
+    # no picture, no sex and too many ages: the whole snapshot is rejected
+    bad = lambda i: say('<div class="tab-animal-card"><table><tr><th>管理番号</th><td>X', k, f"-{i}</td></tr><tr><th>推定年齢</th><td>生後3歳</td></tr></table></div>")
+    n = c("p_partkey") % 3
+    pages = R.table(s, d, "part").select(
+        n.alias("facility_id"), c("p_partkey").alias("page_no"), F.lit("https://x.example/a/list.html").alias("url"),
+        F.when(n == 1, "ishikawa/kanazawa-city-cats").otherwise("kochi/kochi-pref").alias("facility"),
+        say("<html><body>", F.when(n == 0, cards).when(n == 1, tables).otherwise(say(bad(1), bad(2))), "</body></html>").alias("html"),
+    )
+    old = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    part = R.table(s, d, "part")
+    known = part.filter("p_partkey % 4 = 0").select(
+        n.alias("facility_id"), F.when(n == 0, say("kochi-pref-k", k, "-1")).when(n == 1, say("K", k)).otherwise(say("x", k)).alias("external_id"), F.lit("available").alias("status"))
+    gone = part.filter("p_partkey % 5 = 0").select(
+        (c("p_partkey") % 4).alias("facility_id"), say("gone-", k).alias("external_id"), F.when(c("p_partkey") % 2 == 0, "available").otherwise("adopted").alias("status"))
+    table = known.unionByName(gone).select(
+        "*", F.lit("unknown").alias("animal_type"), F.lit("old").alias("name"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("array<string>").alias("images"),
+        old.alias("last_scraped_at"), old.alias("created_at"), old.alias("updated_at"))
+    return pages, table
+
+
+SCRAPED = """WITH card AS (
+  SELECT p_partkey % 3 AS facility_id, p_partkey AS page_no, i, CASE p_partkey % 3 WHEN 0 THEN 'kochi-pref-k' || p_partkey || '-' || CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE i END
+      WHEN 1 THEN CASE i WHEN 1 THEN 'K' || p_partkey ELSE 'kanazawa_2' END ELSE 'kochi-pref-x' || p_partkey || '-' || i END AS external_id,
+    CASE WHEN p_partkey % 3 = 0 AND i = 1 THEN p_brand END AS given, CASE WHEN p_partkey % 3 = 1 OR p_size % 2 = 0 THEN 'cat' ELSE 'dog' END AS kind,
+    CASE WHEN (p_size + i) % 2 = 1 THEN 'male' ELSE 'female' END AS gender,
+    CASE WHEN p_partkey % 3 = 2 THEN 'rejected_document' WHEN p_partkey % 3 = 1 AND i = 2 THEN 'skipped_review'
+      WHEN p_partkey % 3 = 0 AND p_partkey % 7 = 0 AND i = 1 THEN 'superseded' ELSE 'loaded' END AS outcome
+  FROM part, (VALUES (1), (2)) t(i)),
+named AS (SELECT *, coalesce(given, CASE kind WHEN 'cat' THEN '保護猫' ELSE '保護犬' END || external_id) AS base FROM card WHERE outcome = 'loaded'),
+fresh AS (SELECT *, base || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS name FROM named
+  WINDOW w AS (PARTITION BY facility_id, base ORDER BY page_no, i)),
+known AS (
+  SELECT p_partkey % 3 AS facility_id, CASE p_partkey % 3 WHEN 0 THEN 'kochi-pref-k' || p_partkey || '-1' WHEN 1 THEN 'K' || p_partkey ELSE 'x' || p_partkey END AS external_id,
+    'available' AS status FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey % 4, 'gone-' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'available' ELSE 'adopted' END FROM part WHERE p_partkey % 5 = 0),
+after AS (
+  SELECT coalesce(k.facility_id, f.facility_id) AS facility_id, coalesce(k.external_id, f.external_id) AS external_id, coalesce(f.name, 'old') AS name,
+    CASE WHEN k.facility_id IS NULL THEN f.kind ELSE 'unknown' END AS animal_type, f.gender,
+    CASE WHEN f.facility_id IS NOT NULL THEN 'available' WHEN k.facility_id < 2 AND k.status = 'available' THEN 'removed' ELSE k.status END AS status,
+    k.facility_id IS NULL AS is_new FROM known k FULL OUTER JOIN fresh f ON k.facility_id = f.facility_id AND k.external_id = f.external_id)"""
+
+
+def loaded(s, d):
+    from ..operators import ingest
+    from ..sources import layouts
+
+    pages, table = scraped(s, d)
+    return ingest.from_pages(pages, layouts.catalogue(s), table, now())
+
+
+@query("ingest_pages", f"""{SCRAPED}
+SELECT *, is_new OR status = 'removed' OR name <> 'old' AS touched FROM after""")
+def ingest_pages(s, d):
+    """Pages to the listing table: extraction, cross-check, gate, names, upsert, soft delete."""
+    return loaded(s, d).table.select(
+        "facility_id", "external_id", "name", "animal_type", "gender", "status", (c("created_at") == now()).alias("is_new"), (c("updated_at") == now()).alias("touched"))
+
+
+@query("ingest_runs", f"""{SCRAPED},
+o AS (SELECT c.facility_id, count(*) AS n, count(*) FILTER (outcome IN ('loaded', 'superseded') AND k.facility_id IS NOT NULL OR outcome = 'superseded') AS updated,
+    count(*) FILTER (outcome = 'loaded' AND k.facility_id IS NULL) AS added
+  FROM card c LEFT JOIN known k ON k.facility_id = c.facility_id AND k.external_id = c.external_id GROUP BY 1),
+r AS (SELECT facility_id, count(*) AS removed FROM after WHERE status = 'removed' GROUP BY 1)
+SELECT o.facility_id, n AS html_count, n AS yaml_count, updated + added AS db_count, added, updated, coalesce(removed, 0) AS removed,
+  CASE WHEN updated + added < n THEN 'mismatch' ELSE 'success' END AS status, CASE o.facility_id WHEN 2 THEN 'critical' ELSE 'high' END AS document_level
+FROM o LEFT JOIN r ON r.facility_id = o.facility_id""")
+def ingest_runs(s, d):
+    """The ledger rows of the same load."""
+    return loaded(s, d).runs.select("facility_id", "html_count", "yaml_count", "db_count", "added", "updated", "removed", "status", "document_level")

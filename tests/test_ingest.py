@@ -63,3 +63,48 @@ def test_text_fallback(spark):
     ], "page_id int, url string, html string")
     got = extract.text_fallback(pages, spark.createDataFrame([(2,)], "page_id int")).collect()
     assert [(r["page_id"], r["animal_type"], r["gender"], r["age_estimate"], r["color"], r["needs_review"]) for r in got] == [(1, "cat", "male", "2歳", "白", True)]
+
+
+CARD = '<div class="tab-animal-card"><img src="{n}.jpg"><table><tr><th>管理番号</th><td>{n}</td></tr><tr><th>仮名</th><td>{name}</td></tr><tr><th>種類</th><td>猫</td></tr><tr><th>性別</th><td>オス</td></tr></table></div>'
+PAGE = "facility_id int, facility string, page_no int, url string, html string, note string"
+LISTED = "facility_id int, external_id string, animal_type string, name string, status string, created_at timestamp, updated_at timestamp"
+
+
+def load(spark, pages, listed, **more):
+    from foundling.sources import layouts
+
+    return ingest.from_pages(spark.createDataFrame(pages, PAGE), layouts.catalogue(spark), spark.createDataFrame(listed, LISTED), F.lit("2025-01-01 00:00:00").cast("timestamp"), **more)
+
+
+def test_pages_to_ledger(spark):
+    """A facility of many pages in small chunks, one without records, one rejected, one without a layout, one not scraped."""
+    pages = [(1, "kochi/kochi-pref", i, "https://k.jp/l.html", CARD.format(n=f"A{i}", name="タマ"), None) for i in range(40)]
+    pages += [(2, "kochi/kochi-pref", 0, "https://k.jp/l.html", "<p>ただいま募集はありません</p>", None), (4, "no/such", 0, "https://k.jp", CARD.format(n="Q", name="x"), None)]
+    pages += [(3, "kochi/kochi-pref", i, "https://k.jp", f'<div class="tab-animal-card"><table><tr><th>管理番号</th><td>B{i}</td></tr><tr><th>年齢</th><td>生後3歳</td></tr></table></div>', None) for i in range(4)]
+    listed = [(f, "old", "cat", "Old", "available", OLD, OLD) for f in (1, 2, 3, 4, 5)] + [(1, "kochi-pref-a3", "dog", "Three", "available", OLD, OLD), (1, None, "dog", "N", "available", OLD, OLD)]
+    got = load(spark, pages, listed, rows_per_chunk=7)
+    table = {(r["facility_id"], r["external_id"]): r for r in got.table.collect()}
+    assert {f: table[f, "old"]["status"] for f in (1, 2, 3, 4, 5)} == {1: "removed", 2: "removed", 3: "available", 4: "available", 5: "available"}
+    assert [table[1, f"kochi-pref-a{i}"]["name"] for i in range(40)] == ["タマ"] + [f"タマ-{i}" for i in range(2, 41)]
+    assert table[1, "kochi-pref-a3"]["animal_type"] == "dog" and table[1, None]["status"] == "available" and (3, "kochi-pref-b1") not in table
+    runs = {r["facility_id"]: (r["yaml_count"], r["added"], r["updated"], r["removed"], r["status"], r["document_level"]) for r in got.runs.collect()}
+    assert runs == {1: (40, 39, 1, 1, "success", "high"), 2: (0, 0, 0, 1, "empty", "high"), 3: (4, 0, 0, 0, "mismatch", "critical")}
+    forced = load(spark, pages, listed, override=True)
+    assert {r["facility_id"]: (r["added"], r["removed"]) for r in forced.runs.collect()}[3] == (4, 1)
+
+
+def test_no_pages(spark):
+    got = load(spark, [], [(1, "old", "cat", "Old", "available", OLD, OLD)])
+    assert [r["status"] for r in got.table.collect()] == ["available"] and got.runs.count() == 0 and got.rows.count() == 0
+
+
+def test_two_loads_of_one_capture(spark):
+    """The second load of the same pages adds and removes nothing."""
+    pages = [(1, "kochi/kochi-pref", i, "https://k.jp/l.html", CARD.format(n=f"A{i % 5}", name="タマ"), None) for i in range(6)]
+    once = load(spark, pages, [])
+    from foundling.sources import layouts
+
+    again = ingest.from_pages(spark.createDataFrame(pages, PAGE), layouts.catalogue(spark), once.table, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    key = lambda t: sorted((r["external_id"], r["name"], r["status"]) for r in t.collect())
+    assert key(once.table) == key(again.table) and len(key(once.table)) == 5
+    assert [(r["added"], r["updated"], r["removed"]) for r in again.runs.collect()] == [(0, 6, 0)]
