@@ -46,7 +46,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAMAGE = """
 WITH rec AS (
   SELECT page_id, url, coalesce(html, '') AS body,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || repeat('x', 36)
+      || '>' || chr(13) || chr(10) || 'WARC-Date: ' || repeat('x', 20) || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
       || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' AS head,
     chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS mid
   FROM pages

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,29 @@ def test_fixity(spark):
     assert found[100].first_byte == sum(n for k, n in sizes.items() if k is not None and k < 100)
     empty = left.limit(0)
     assert fixity.audit(empty, empty, key="k", record="r").count() == 0
+    assert {r.status for r in fixity.audit(left.limit(3), empty, key="k", record="r").collect()} == {"missing"}
+    with pytest.raises(TypeError):
+        fixity.audit(left.withColumn("k", F.col("k").cast("string")), left, key="k", record="r")
+
+
+def test_fixity_descends_below_differing_nodes_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fixity, "differing", lambda level, last, real=fixity.differing: (seen.append(level.count()), real(level, last))[1])
+    left = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("r"), F.col("id")).alias("r"), F.lit("x").alias("node"), F.lit(1).alias("side"))
+    assert fixity.audit(left, left, key="k", record="r").count() == 0 and seen == [2, 0]
+    seen.clear()
+    right = left.withColumn("r", F.when(F.col("k") == 777, "?").otherwise(F.col("r")))
+    found = fixity.audit(left, right, key="k", record="r").collect()
+    assert [(r.key, r.status, r.first_byte, r.end_byte) for r in found] == [(777, "changed", sum(len(f"r{i}") for i in range(777)), sum(len(f"r{i}") for i in range(778)))]
+    assert max(seen) <= 2 * fixity.FANOUT  # of 10,000 leaves
+
+
+def test_warc_record(spark):
+    made = spark.range(2).select(fixity.record(F.lit("http://x/"), F.lit("é"), F.lit("2024-05-06T07:08:09Z")).cast("string").alias("r")).collect()
+    head, body = made[0].r.split("\r\n\r\n", 1)
+    fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
+    assert made[0].r == made[1].r and body == "é\r\n\r\n" and fields["Content-Length"] == "2" and fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+    assert str(uuid.UUID(fields["WARC-Record-ID"][10:-1])) == fields["WARC-Record-ID"][10:-1]
 
 
 def test_licences(rows_of_text):
