@@ -13,6 +13,9 @@ candidate is lost, and the copies of a large group are not paired with each othe
 
 Defined results: null is an empty text; texts without words are alike; texts shorter than a shingle are one shingle;
 repeated rows fall into one component; an empty table gives no rows; extra columns pass through the struct ``row``.
+
+The sets are as large as the texts, so they are made in a second pass, and only those of nodes with a candidate are kept.  A
+table whose texts are not the same in each read must be frozen first.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .near import _LOWER, NAMES, _joined, _mixed, _rooted, components as near_co
 BANDS, ROWS = 16, 5
 #: At least so many of five shared: a similarity of 0.8 in whole numbers.
 PART, WHOLE = 4, 5
+#: So many nodes (16 bytes each) may go to every task; more are joined by a shuffle.
+FEW = 2_000_000
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -58,25 +63,45 @@ def cells(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node(own: np.ndarray) -> int:
+    """The 64 bits that stand for a set."""
     from hashlib import blake2b
 
+    return int.from_bytes(blake2b(own, digest_size=8).digest(), "little", signed=True)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 4 << 20):
-        nodes, bands, sets, prints = [], [], [], []
+        nodes, bands, prints = [], [], []
         for text in encoded(batch.column(1)):
             own = shingle_set(text)
             prints.append(fingerprint(text))
-            sets.append(own.tobytes())
-            nodes.append(int.from_bytes(blake2b(sets[-1], digest_size=8).digest(), "little", signed=True))
+            nodes.append(_node(own))
             bands.append(cells(own))
         ends = pa.array(np.arange(0, BANDS * len(nodes) + 1, BANDS, dtype=np.int32))
         lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(np.ascontiguousarray(m)) for m in np.stack(prints).T), pa.array(nodes, pa.int64()), lists, pa.array(sets, pa.binary())],
-            names=["row", *NAMES, "node", "cells", "own"],
+            [batch.column(0), *(pa.array(np.ascontiguousarray(m)) for m in np.stack(prints).T), pa.array(nodes, pa.int64()), lists],
+            names=["row", *NAMES, "node", "cells"],
         )
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", 4 << 20):
+        sets = [shingle_set(t) for t in encoded(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "own"])
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The set of each of the nodes; the others are left behind before anything is shuffled."""
+    nodes = freeze(nodes.distinct())
+    found = texts.mapInArrow(_sets, "node long, own binary")
+    if nodes.count() <= FEW:
+        return freeze(found.join(F.broadcast(nodes), "node", "left_semi").dropDuplicates(["node"]))
+    # copies of one text are brought together before the join
+    return freeze(found.dropDuplicates(["node"]).join(nodes, "node", "left_semi"))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -100,14 +125,13 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def components(marks: DataFrame, more: DataFrame) -> DataFrame:
+def components(marks: DataFrame, more: DataFrame, texts: DataFrame) -> DataFrame:
     """``node``, ``root`` for the nodes that have a link; ``marks`` has a row for each node, ``more`` further candidates as
-    ``node`` and ``root``."""
+    ``node`` and ``root``; ``texts`` is the column of texts."""
     index = marks.select("node", F.explode("cells").alias("cell"))
     shared = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = freeze(index.join(shared.select("cell", "least"), "cell"))
-    tested = members.select("node").union(more.select("node")).union(more.select("root")).distinct()
-    sets = freeze(marks.select("node", "own").join(tested, "node", "left_semi"))
+    sets = _sets_of(texts, members.select("node").union(more.select("node")).union(more.select("root")))
     candidates = members.filter("least < node").select(*_pair("least", "node")).union(more.select(*_pair("node", "root")))
     roots = stars(_verified(candidates, sets))
     for last in (False, True):
@@ -130,8 +154,8 @@ def classes(docs: DataFrame, *, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*rest, F.lit(True).alias("_")).alias("row"), F.col(text).alias("text"))
     schema = T.StructType([
         rows.schema["row"], *(T.StructField(c, T.LongType()) for c in NAMES),
-        T.StructField("node", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("own", T.BinaryType()),
+        T.StructField("node", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType())),
     ])
     rows = freeze(rows.mapInArrow(_marks, schema))
     more = near_components(rows.select("node", *NAMES).dropDuplicates(["node"]))
-    return _rooted(rows.select("row", "node"), components(rows.select("node", "cells", "own").dropDuplicates(["node"]), more))
+    return _rooted(rows.select("row", "node"), components(rows.select("node", "cells").dropDuplicates(["node"]), more, docs.select(F.col(text).alias("text"))))

@@ -41,3 +41,13 @@ def test_small_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id for r in corpus_pipeline.alike(spark, docs, "").collect()), key=str) == [1, 4, 7, 8, None]
     assert corpus_pipeline.alike(spark, docs.limit(0), "").count() == 0
+
+
+def test_nodes_by_a_shuffle_join(spark, monkeypatch):
+    """More nodes than may go to every task: the same documents stay."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(40)) for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t + end) for i, (t, end) in enumerate((t, e) for t in texts for e in ("", " more", ""))], "doc_id long, text string")
+    once = sorted(r.doc_id for r in corpus_pipeline.alike(spark, docs, "").collect())
+    monkeypatch.setattr(corpus_pipeline.copies, "FEW", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.alike(spark, docs, "").collect()) == once == list(range(0, 90, 3))
