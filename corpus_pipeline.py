@@ -34,11 +34,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that with the smallest id, then text digest; a row of it."""
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    chosen = copies.classes(named).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m")).select("m.doc_id", "m.mark")
-    rows = docs.select(whole(docs).alias("row"), F.xxhash64("text").alias("mark"))
-    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(chosen["doc_id"]) & (rows["mark"] == chosen["mark"]))
-    return kept.select("row", chosen["doc_id"].alias("id"), chosen["mark"]).dropDuplicates(["id", "mark"]).select("row.*")
+    mark = F.xxhash64("text").alias("mark")
+    chosen = copies.classes(docs.select("doc_id", "text", mark)).groupBy("root").agg(F.min(F.struct("row.doc_id", "row.mark")).alias("m"))
+    # one key that is never null, by which rows are both joined and made distinct
+    key = lambda i, m: F.substring(F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("-")), F.col(m).cast("string")), 256)), 1, 16).alias("key")
+    rows = docs.select("doc_id", mark, whole(docs).alias("row")).select(key("doc_id", "mark"), "row")
+    return rows.join(chosen.select(key("m.doc_id", "m.mark")), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
