@@ -37,17 +37,18 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np
         rest = np.sort(ids[~met])[:k]
         return [(0, int(i)) for i in rest], 0
     up = weight > 0
+    rising, falling = active[up], active[~up]
     depth, step = 0, STEP
     while depth < n:
         stop = min(n, depth + step)
-        best = lists[active]
-        rows = np.concatenate([best[up, n - stop:n - depth].ravel(), best[~up, depth:stop].ravel()])
+        # only this step's stretch of each list is copied
+        rows = np.concatenate([lists[rising, n - stop:n - depth].ravel(), lists[falling, depth:stop].ravel()])
         fresh = np.unique(rows[~met[rows]])
         met[fresh] = True
         scores, found = np.concatenate([scores, vectors[fresh] @ query]), np.concatenate([found, ids[fresh]])
         order = np.lexsort((found, -scores))[:k]
         scores, found = scores[order], found[order]
-        last = np.where(up, best[:, n - stop], best[:, stop - 1])
+        last = np.where(up, lists[active, n - stop], lists[active, stop - 1])
         if len(scores) == k and int(scores[-1]) > int(vectors[last, active] @ weight):
             depth = stop
             break
