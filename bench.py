@@ -26,7 +26,7 @@ HEADLINE = [
     "layout_extract", "contains_join", "zip_lists", "image_of_record",
     # quality and load
     "crosscheck_warnings", "review_gate", "envelope_explode", "latest_snapshot", "batch_last_wins", "upsert_merge", "mark_removed",
-    "unique_names", "unique_names_contested", "first_seen", "snapshot_diff", "reconcile_counts",
+    "unique_names", "unique_names_contested", "first_seen", "snapshot_diff", "reconcile_counts", "ingest_pages",
 ]
 
 
